@@ -76,10 +76,12 @@ def member_mean(members: Column, max_members: int) -> Column:
     The sum runs over the present members only, so an infinite member stays infinite.
     """
     entries = members_of(members, max_members)
-    present = _count_where(lambda m: ~F.isnan(m), entries)
-    total = _total(
-        [F.when(F.coalesce(~F.isnan(m), F.lit(False)), m.cast("double")).otherwise(F.lit(0.0)) for m in entries]
-    )
+    def there(m: Column) -> Column:
+        # isnan(null) is false, so null needs its own test.
+        return m.isNotNull() & ~F.isnan(m)
+
+    present = _count_where(there, entries)
+    total = _total([F.when(there(m), m.cast("double")).otherwise(F.lit(0.0)) for m in entries])
     return ratio(total, present)
 
 
