@@ -12,12 +12,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.values import finite
 from stormframe.operators.catalog import frame_history
-from stormframe.operators.grid import BLOCK_ID, with_halo
+from stormframe.operators.grid import BLOCK_ID, lay_pieces, with_halo
 from stormframe.operators.ordering import DEFAULT_CHUNK_SECONDS
 
 # Lead times in minutes, ensemble size, motion settings.
@@ -283,22 +284,16 @@ def advection_blocks(
         .agg(F.collect_list("_piece").alias("_pieces"))
     )
 
-    @F.pandas_udf("array<double>")
-    def assemble(pieces: pd.Series, place: pd.DataFrame) -> pd.Series:
-        out = []
-        for found, p in zip(pieces, place.itertuples(index=False), strict=True):
-            field = np.full((p.height, p.width), np.nan)
-            for piece in found:
-                part = np.asarray(piece["cells"], dtype=np.float64).reshape(-1, piece["width"])
-                r, c = piece["top"] - p.top, piece["left"] - p.left
-                part = part[max(0, -r) : p.height - r, max(0, -c) : p.width - c]
-                r, c = max(0, r), max(0, c)
-                field[r : r + part.shape[0], c : c + part.shape[1]] = part
-            out.append(field.ravel())
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def assemble(pieces: pa.Array, place: pa.Array) -> pa.Array:
+        fields = [
+            lay_pieces(pieces[i].values, p["top"], p["left"], p["height"], p["width"]).ravel()
+            for i, p in enumerate(place.to_pylist())
+        ]
+        return pa.array(fields, pa.list_(pa.float64()))
 
     place = F.struct(F.col("_top").alias("top"), F.col("_left").alias("left"), "height", "width")
-    cells = F.transform(assemble("_pieces", place), without_floor)
+    cells = F.transform(assemble("_pieces", place), lambda v: without_floor(v))
     return gathered.select("forecast_key", "block_row", "block_col", F.array(cells).alias("members"))
 
 
@@ -311,11 +306,15 @@ def apply_forecaster(stacks: DataFrame, fn, algorithm: str) -> DataFrame:
     Blocks are independent, so no grouping is needed: Spark's partitions are the work units.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [[np.asarray(fn(np.stack([np.asarray(m, dtype=np.float64) for m in s]))).tolist()] for s in batch["members"]]
-            yield batch.assign(members=made)
+            made = [
+                [np.asarray(fn(np.stack([m.values.to_numpy(zero_copy_only=False) for m in stack.values])), dtype=np.float64)]
+                for stack in batch.column("members")
+            ]
+            members = pa.array(made, pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], members], names=batch.schema.names)
 
     columns = ["forecast_key", "block_row", "block_col", "members"]
     schema = "forecast_key string, block_row int, block_col int, members array<array<double>>"
-    return stacks.select(*columns).mapInPandas(each, schema).withColumn("algorithm", F.lit(algorithm))
+    return stacks.select(*columns).mapInArrow(each, schema).withColumn("algorithm", F.lit(algorithm))
