@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.operators import forecast, joins, verify
+from stormframe.operators.catalog import filter_nowcasts as filter_catalog_nowcasts
 from stormframe.operators.grid import explode_cells
 from stormframe.plans.derived import Tables
 from stormframe.plans.registry import big, epoch, query, rounded
@@ -32,6 +36,21 @@ def lagged_ensemble_nowcasts(t: Tables) -> DataFrame:
     return rows.select("source_file_key", big("horizon"), big("ensemble_size"), F.concat_ws(",", "members").alias("members"))
 
 
+@query(
+    "filter_nowcasts",
+    """SELECT file_key AS source_file_key, valid_epoch + 1800 AS valid_epoch FROM grids WHERE product = 'P1'
+       AND valid_epoch + 1800 >= 1704067200 + 7200 AND valid_epoch + 1800 < 1704067200 + 14400""",
+    ("grids",),
+)
+def filter_nowcasts(t: Tables) -> DataFrame:
+    both = forecast.persistence(t.grids()).unionByName(forecast.lagged_ensemble(t.grids()))
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    kept = filter_catalog_nowcasts(
+        both, "P1", "00.50", "persistence", 30, start + timedelta(hours=2), start + timedelta(hours=4)
+    )
+    return kept.select("source_file_key", epoch("valid_at", "valid_epoch"))
+
+
 @query(
     "match_forecasts",
     "SELECT source_file_key, horizon, observation_file_key, observation_epoch FROM pairs",
@@ -255,8 +274,6 @@ def verify_advection(t: Tables) -> DataFrame:
 
 
 def _median(members):
-    import numpy as np
-
     return np.median(members, axis=0)
 
 

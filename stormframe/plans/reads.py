@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions import geo
 from stormframe.functions.color import reflectivity_rgba
+from stormframe.functions.parsing import parse_polygon
 from stormframe.functions.scores import member_mean
 from stormframe.operators import grid, tiles
 from stormframe.operators.catalog import frame_history
 from stormframe.operators.forecast import lagged_ensemble, member_blocks
-from stormframe.plans.derived import LAT0, LNG0, STEP, Tables
+from stormframe.plans.derived import LEVEL, Tables
 from stormframe.plans.registry import big, epoch, query, rounded
+from stormframe.session import scratch_folder
+from stormframe.sources import catalog as stored
 
 
 def axes(t: Tables) -> DataFrame:
@@ -124,8 +129,6 @@ def longitude_convention(t: Tables) -> DataFrame:
     ("rules", "cells", "polygon_reads"),
 )
 def reduce_polygons(t: Tables) -> DataFrame:
-    from stormframe.functions.parsing import parse_polygon
-
     polygons = t.rules().where((F.col("config.type") == "polygon") & (F.col("status") == "active")).select(
         F.col("rule_id").alias("polygon_id"), parse_polygon(F.col("config.polygon"))["ring"].alias("ring"),
         F.col("config.reducer").alias("reducer"), F.col("config.count_threshold").alias("threshold"),
@@ -418,3 +421,28 @@ def ensemble_mean(t: Tables) -> DataFrame:
 )
 def history(t: Tables) -> DataFrame:
     return frame_history(t.grids(), 8).select("file_key", F.concat_ws(",", F.transform("history", lambda h: h["file_key"])).alias("members"))
+
+
+@query(
+    "grid_store_window",
+    """SELECT file_key, row_i, col_i, round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) + 0 AS value FROM cells
+       WHERE product = 'P1' AND valid_epoch >= 1704067200 + 3600 AND valid_epoch < 1704067200 + 10800""",
+    ("cells",),
+)
+def grid_store_window(t: Tables) -> DataFrame:
+    """Blocks written to the store by day, then a product and time window read back as cells."""
+    folder = scratch_folder(t.spark, "grid-store")
+    stored.write_blocks(t.blocks(), folder)
+    window = {"since": datetime(2024, 1, 1, 1, tzinfo=UTC), "until": datetime(2024, 1, 1, 3, tzinfo=UTC)}
+    cells = stored.read_grid_cells(t.spark, folder, product="P1", level=LEVEL, **window)
+    return cells.select("file_key", big("row_i"), big("col_i"), rounded("value"))
+
+
+@query(
+    "grid_locators",
+    """SELECT file_key, product, valid_epoch, '["latitude","longitude"]' AS dims, '[8,8]' AS shape, 'float32' AS dtype, 256 AS nbytes FROM grids""",
+    ("grids",),
+)
+def grid_locators(t: Tables) -> DataFrame:
+    rows = stored.grid_locators(t.blocks())
+    return rows.select("file_key", "product", epoch("valid_at", "valid_epoch"), "dims", "shape", "dtype", "nbytes")

@@ -11,6 +11,9 @@ from stormframe.operators import calibration as cal
 from stormframe.plans.derived import Tables
 from stormframe.plans.registry import big, query, rounded
 
+# Means of two-digit values over 64 or 128 rows end in an exact half; both engines round it
+# the same way once it is moved off the edge.
+NUDGE = 1e-9
 SINCE = datetime(1996, 1, 1, tzinfo=UTC)
 _KEYS = ("algorithm", "horizon")
 _COUNTS = ("verification_count", "sample_count", "hits", "misses", "false_alarms", "correct_negatives", "brier_sample_count")
@@ -20,7 +23,7 @@ _MEANS = ("mae_mean", "bias_mean", "rmse_mean", "brier_mean", "crps_mean", "pod"
 def _tidy(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
         "algorithm", big("horizon"), *[big(c) for c in (*extra, *_COUNTS)], "threshold_dbz", big("ensemble_size"),
-        *[rounded(c) for c in _MEANS],
+        *[rounded(c, F.col(c) + NUDGE) for c in _MEANS],
     )
 
 
@@ -32,14 +35,14 @@ _SUMS_SQL = """
     CAST(coalesce(sum(sample_count) FILTER (WHERE brier_score IS NOT NULL), 0) AS BIGINT) AS brier_sample_count,
     CASE WHEN count(DISTINCT threshold_dbz) = 1 THEN max(threshold_dbz) END AS threshold_dbz,
     CASE WHEN count(DISTINCT ensemble_size) = 1 THEN CAST(max(ensemble_size) AS BIGINT) END AS ensemble_size,
-    round(coalesce(sum(mae * sample_count) / nullif(sum(sample_count), 0), 0), 6) + 0 AS mae_mean,
-    round(coalesce(sum(bias * sample_count) / nullif(sum(sample_count), 0), 0), 6) + 0 AS bias_mean,
-    round(coalesce(sum(rmse * sample_count) / nullif(sum(sample_count), 0), 0), 6) + 0 AS rmse_mean,
-    round(sum(brier_score * sample_count) / nullif(sum(sample_count) FILTER (WHERE brier_score IS NOT NULL), 0), 6) AS brier_mean,
-    round(sum(crps * sample_count) / nullif(sum(sample_count) FILTER (WHERE brier_score IS NOT NULL), 0), 6) AS crps_mean,
-    round(sum(hits) / nullif(sum(hits) + sum(misses), 0), 6) AS pod,
-    round(sum(false_alarms) / nullif(sum(hits) + sum(false_alarms), 0), 6) AS far,
-    round(sum(hits) / nullif(sum(hits) + sum(misses) + sum(false_alarms), 0), 6) AS csi"""
+    round(coalesce(sum(mae * sample_count) / nullif(sum(sample_count), 0), 0) + 1e-9, 6) + 0 AS mae_mean,
+    round(coalesce(sum(bias * sample_count) / nullif(sum(sample_count), 0), 0) + 1e-9, 6) + 0 AS bias_mean,
+    round(coalesce(sum(rmse * sample_count) / nullif(sum(sample_count), 0), 0) + 1e-9, 6) + 0 AS rmse_mean,
+    round(sum(brier_score * sample_count) / nullif(sum(sample_count) FILTER (WHERE brier_score IS NOT NULL), 0) + 1e-9, 6) AS brier_mean,
+    round(sum(crps * sample_count) / nullif(sum(sample_count) FILTER (WHERE brier_score IS NOT NULL), 0) + 1e-9, 6) AS crps_mean,
+    round(sum(hits) / nullif(sum(hits) + sum(misses), 0) + 1e-9, 6) AS pod,
+    round(sum(false_alarms) / nullif(sum(hits) + sum(false_alarms), 0) + 1e-9, 6) AS far,
+    round(sum(hits) / nullif(sum(hits) + sum(misses) + sum(false_alarms), 0) + 1e-9, 6) AS csi"""
 
 
 @query(
