@@ -93,26 +93,37 @@ def _turn(p: Column, q: Column, x: Column, y: Column) -> Column:
     return (q["lng"] - p["lng"]) * (y - p["lat"]) - (q["lat"] - p["lat"]) * (x - p["lng"])
 
 
-def on_ring(lng: Column | float, lat: Column | float, ring: Column) -> Column:
-    """The point lies on an edge."""
-    x, y = _num(lng), _num(lat)
-    return F.exists(
-        ring_edges(ring),
-        lambda e: x.between(F.least(e["p"]["lng"], e["q"]["lng"]), F.greatest(e["p"]["lng"], e["q"]["lng"]))
-        & y.between(F.least(e["p"]["lat"], e["q"]["lat"]), F.greatest(e["p"]["lat"], e["q"]["lat"]))
-        & (_turn(e["p"], e["q"], x, y) == 0.0),
+def _on_edge(e: Column, x: Column, y: Column) -> Column:
+    p, q = e["p"], e["q"]
+    return (
+        x.between(F.least(p["lng"], q["lng"]), F.greatest(p["lng"], q["lng"]))
+        & y.between(F.least(p["lat"], q["lat"]), F.greatest(p["lat"], q["lat"]))
+        & (_turn(p, q, x, y) == 0.0)
     )
 
 
-def _inside_part(part: Column, x: Column, y: Column) -> Column:
-    odd = F.size(F.filter(part, lambda ring: point_in_ring(x, y, ring))) % 2 == 1
-    return odd | F.exists(part, lambda ring: on_ring(x, y, ring))
+def parts_edges(parts: Column) -> Column:
+    """Edges of each polygon, rings run together: a point is inside on an odd count over all of them.
+
+    Worked out once per geometry, before it is joined with many points.
+    """
+    return F.transform(parts, lambda part: F.flatten(F.transform(part, lambda ring: ring_edges(ring))))
+
+
+def edges_contain_point(edges: Column, lng: Column | float, lat: Column | float) -> Column:
+    """Point in any polygon of ``parts_edges`` (holes excluded), the boundary counting as inside."""
+    x, y = _num(lng), _num(lat)
+
+    def inside(part: Column) -> Column:
+        odd = F.size(F.filter(part, lambda e: _crosses(e["p"], e["q"], y) & (_edge_x(e["p"], e["q"], y) > x))) % 2 == 1
+        return odd | F.exists(part, lambda e: _on_edge(e, x, y))
+
+    return F.coalesce(F.exists(edges, inside), F.lit(False))
 
 
 def parts_contain_point(parts: Column, lng: Column | float, lat: Column | float) -> Column:
     """Point in any polygon (holes excluded), the boundary counting as inside."""
-    x, y = _num(lng), _num(lat)
-    return F.coalesce(F.exists(parts, lambda part: _inside_part(part, x, y)), F.lit(False))
+    return edges_contain_point(parts_edges(parts), lng, lat)
 
 
 def parts_intersect_box(
@@ -136,9 +147,9 @@ def parts_intersect_box(
         sides = [_turn(p, q, x, y) for x in (x0, x1) for y in (y0, y1)]
         return overlaps & (F.least(*sides) <= 0.0) & (F.greatest(*sides) >= 0.0)
 
-    touches = F.exists(parts, lambda part: F.exists(part, lambda ring: F.exists(ring_edges(ring), edge_meets_box)))
-    encloses = F.exists(parts, lambda part: _inside_part(part, x0, y0))
-    return F.coalesce(touches | encloses, F.lit(False))
+    edges = parts_edges(parts)
+    touches = F.exists(edges, lambda part: F.exists(part, edge_meets_box))
+    return F.coalesce(touches | edges_contain_point(edges, x0, y0), F.lit(False))
 
 
 def box_parts(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stormframe.functions.values import at_least, finite, ratio
+from stormframe.functions.values import INF, at_least, ratio
 
 # Fixed values.
 DEFAULT_THRESHOLD = 35.0
@@ -61,13 +61,15 @@ def _total(terms: list[Column]) -> Column:
 
 
 def _count_where(test: Callable[[Column], Column], entries: list[Column]) -> Column:
-    return _total([F.when(F.coalesce(test(m), F.lit(False)), 1).otherwise(0) for m in entries])
+    # A null test counts as not met.
+    return _total([F.when(test(m), 1).otherwise(0) for m in entries])
 
 
 def members_complete(members: Column, max_members: int) -> Column:
     """Every member is finite."""
     size = F.size(members)
-    return (size > 0) & (_count_where(finite, members_of(members, max_members)) == size)
+    present = _count_where(lambda m: F.abs(m) < F.lit(INF), members_of(members, max_members))
+    return (size > 0) & (present == size)
 
 
 def member_mean(members: Column, max_members: int) -> Column:
@@ -76,17 +78,20 @@ def member_mean(members: Column, max_members: int) -> Column:
     The sum runs over the present members only, so an infinite member stays infinite.
     """
     entries = members_of(members, max_members)
+    # NaN and null both fail the comparison; infinity passes it.
     def there(m: Column) -> Column:
-        # isnan(null) is false, so null needs its own test.
-        return m.isNotNull() & ~F.isnan(m)
+        return F.abs(m) <= F.lit(INF)
 
     present = _count_where(there, entries)
     total = _total([F.when(there(m), m.cast("double")).otherwise(F.lit(0.0)) for m in entries])
     return ratio(total, present)
 
 
-def exceedance_probability(members: Column, threshold: Column | float, max_members: int) -> Column:
-    """Share of members at or above the threshold."""
+def exceedance_probability(members: Column, threshold: Column | float, max_members: int, complete: bool = False) -> Column:
+    """Share of members at or above the threshold; ``complete`` promises that none is NaN."""
+    if complete:
+        limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+        return ratio(_count_where(lambda m: m >= limit, members_of(members, max_members)), F.size(members))
     over = _count_where(lambda m: at_least(m, threshold), members_of(members, max_members))
     return ratio(over, F.size(members))
 

@@ -16,8 +16,8 @@ INF = float("inf")
 
 
 def finite(value: Column) -> Column:
-    """True for a number that is neither null, NaN nor infinite."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(INF))
+    """True for a number that is neither null, NaN nor infinite (NaN sorts above infinity)."""
+    return F.coalesce(F.abs(value) < F.lit(INF), F.lit(False))
 
 
 def at_least(value: Column, threshold: Column | float) -> Column:

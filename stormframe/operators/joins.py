@@ -11,19 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.functions.geo import parts_contain_point
+from stormframe.functions.geo import edges_contain_point, parts_edges
 
 MATCH_WINDOW_SECONDS = 60
 COVER_DEGREES = 1.0
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 32) -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 32, by: Sequence[str] | None = None
+) -> DataFrame:
     """Inner equi-join on keys with very few values (event types, products).
 
-    Left rows of one key are spread over ``salts`` partitions by their content and the right
-    side is listed once per salt, so no key is confined to one task.
+    Left rows of one key are spread over ``salts`` partitions by the columns ``by`` (all of
+    them if not given) and the right side is listed once per salt, so no key is confined to
+    one task.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int"))
     listed = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(listed, [*on, "_salt"]).drop("_salt")
 
@@ -97,6 +100,7 @@ def points_in_polygons(
 
     covered = (
         polygons.where(F.col("parts").isNotNull() & F.col("min_lng").isNotNull())
+        .withColumn("_edges", parts_edges(F.col("parts")))
         .withColumn("_cx", squares("min_lng", "max_lng"))
         .withColumn("_cy", squares("min_lat", "max_lat"))
     )
@@ -109,8 +113,8 @@ def points_in_polygons(
     return (
         placed.join(covered, ["_cx", "_cy"])
         .where(in_bounds)
-        .where(parts_contain_point(F.col("parts"), F.col(lng), F.col(lat)))
-        .drop("_cx", "_cy")
+        .where(edges_contain_point(F.col("_edges"), F.col(lng), F.col(lat)))
+        .drop("_cx", "_cy", "_edges")
     )
 
 
@@ -119,7 +123,7 @@ def rules_for_grids(rules: DataFrame, grids: DataFrame, subscriptions: DataFrame
     wanted = rules.where(F.col("status") == "active").select(
         "rule_id", "subscription_id", "config", F.col("config.product").alias("product"), F.col("config.level").alias("level")
     )
-    matched = spread_join(grids, wanted, ["product", "level"])
+    matched = spread_join(grids, wanted, ["product", "level"], by=["file_key"])
     if subscriptions is None:
         return matched
     live = subscriptions.where(F.col("status") == "active").select(F.col("id").alias("subscription_id"))

@@ -20,7 +20,7 @@ from stormframe.functions.scores import (
     members_complete,
     probability_bin,
 )
-from stormframe.functions.values import at_least, finite, ratio
+from stormframe.functions.values import finite, ratio
 from stormframe.operators.forecast import ENSEMBLE_SIZE, member_blocks
 from stormframe.operators.joins import MATCH_WINDOW_SECONDS, match_forecasts, same_shape
 
@@ -47,7 +47,8 @@ def cell_terms(forecast: Column, observed: Column, threshold: float | None) -> l
     ]
     if threshold is None:
         return terms + [F.lit(0).cast("long").alias(c) for c in _SUMS[4:8]]
-    said, seen = at_least(forecast, threshold), at_least(observed, threshold)
+    # Only reached for valid cells, so no NaN guard is needed.
+    said, seen = forecast >= threshold, observed >= threshold
     for name, f_event, o_event in (
         ("hits", said, seen), ("misses", ~said, seen), ("false_alarms", said, ~seen), ("correct_negatives", ~said, ~seen),
     ):
@@ -102,17 +103,17 @@ def _partial_sums(
         *keys,
         "observed",
         member_mean(members, max_members).alias("_forecast"),
-        F.when(usable, exceedance_probability(members, limit, max_members)).alias("_p"),
+        F.when(usable, exceedance_probability(members, limit, max_members, complete=True)).alias("_p"),
         F.when(usable, fair_crps(F.sort_array(members), observed, max_members)).alias("_crps"),
     )
-    event = F.when(at_least(observed, limit), 1.0).otherwise(0.0)
+    event = F.when(observed >= limit, 1.0).otherwise(0.0)
     p, counted = F.col("_p"), F.col("_p").isNotNull()
     terms = stage.select(
         *keys,
         F.when(counted, probability_bin(p)).alias("_bin"),
         *cell_terms(F.col("_forecast"), observed, threshold),
         F.when(counted, 1).otherwise(0).cast("long").alias("prob_n"),
-        F.when(counted & at_least(observed, limit), 1).otherwise(0).cast("long").alias("observed_events"),
+        F.when(counted & (observed >= limit), 1).otherwise(0).cast("long").alias("observed_events"),
         _or_zero(counted, p).alias("probability"),
         _or_zero(counted, (p - event) * (p - event)).alias("brier"),
         _or_zero(counted, F.col("_crps")).alias("crps"),

@@ -38,8 +38,13 @@ class Tables:
         self.spark = configure(spark)
         self.sf_dir = sf_dir
 
-    def base(self, name: str) -> DataFrame:
+    def base(self, name: str, heavy: bool = False) -> DataFrame:
+        """A provided table.  ``heavy`` work on fewer files than cores is spread first; with
+        many files the scan is parallel already and no shuffle is added."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if heavy and len(df.inputFiles()) < cores:
+            df = df.repartition(cores)
         naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
@@ -82,7 +87,7 @@ class Tables:
             "embedding",
             lambda e, i: F.when((missing + i) % 41 == 0, F.lit(float("nan"))).otherwise(F.lit(20.0) + F.lit(120.0) * e.cast("double")),
         )
-        vectors = self.base("embeddings").where(v % 10 != 9).select(
+        vectors = self.base("embeddings", heavy=True).where(v % 10 != 9).select(
             text("frame-", F.lpad(v.cast("string"), 6, "0")).alias("file_key"),
             text("P", v % 2).alias("product"),
             F.lit(LEVEL).alias("level"),
@@ -144,7 +149,7 @@ class Tables:
             F.lit(',"visib":'), F.get(visib, (e % 7).cast("int")),
             F.lit("}"),
         )
-        return self.base("events").select(payload.alias("payload"))
+        return self.base("events", heavy=True).select(payload.alias("payload"))
 
     # --- alerts ------------------------------------------------------------------------------
 
@@ -164,7 +169,7 @@ class Tables:
         box = F.array(vertex(x0, y0), vertex(x1, y0), vertex(x1, y1), vertex(x0, y1))
         triangle = F.array(vertex(x0, y0), vertex(x1, y0), vertex(x0, y1))
         ring = F.when(k % 3 == 1, triangle).otherwise(box)
-        rows = self.base("orders").select(
+        rows = self.base("orders", heavy=True).select(
             text("A", k).alias("id"),
             text("Storm ", F.col("o_orderstatus")).alias("event"),
             F.when(k % 5 != 0, text("Headline ", k)).alias("headline"),

@@ -18,7 +18,7 @@ from stormframe.streaming import jobs
 class StreamTables(Tables):
     """The same derivations over streaming reads."""
 
-    def base(self, name: str) -> DataFrame:
+    def base(self, name: str, heavy: bool = False) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
         stream = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
         naive = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Packed blocks are small in bytes and dear in work, so partitions may be small.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # HotSpot leaves methods over 8000 bytes uncompiled; beyond that, operators run one by one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -53,21 +53,27 @@ def _polygon_rings(coordinates: Column) -> Column:
     )
 
 
+# Coordinates stay text until the type tells how deep they nest.
+GEOMETRY_TYPE = "struct<type:string,coordinates:string,geometries:array<string>>"
+
+
+def read_geometry(text: Column) -> Column:
+    """The outer level of a GeoJSON geometry; keep it in a column, it is used several times."""
+    return F.from_json(text, GEOMETRY_TYPE)
+
+
 def _simple_parts(geometry: Column) -> Column:
-    """Parts of a Polygon or MultiPolygon given as JSON text."""
-    kind = F.get_json_object(geometry, "$.type")
-    text = F.get_json_object(geometry, "$.coordinates")
-    single = F.array(_polygon_rings(F.from_json(text, f"array<{_RING}>")))
-    several = F.transform(F.from_json(text, f"array<array<{_RING}>>"), _polygon_rings)
+    single = F.array(_polygon_rings(F.from_json(geometry["coordinates"], f"array<{_RING}>")))
+    several = F.transform(F.from_json(geometry["coordinates"], f"array<array<{_RING}>>"), lambda c: _polygon_rings(c))
+    kind = geometry["type"]
     return F.when(kind == "Polygon", single).when(kind == "MultiPolygon", several).cast(PARTS_TYPE)
 
 
 def geometry_parts(geometry: Column) -> Column:
-    """Polygons of a GeoJSON geometry; collections contribute the polygons they hold, one level deep."""
-    members = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
-    collected = F.flatten(F.filter(F.transform(members, _simple_parts), lambda p: p.isNotNull()))
-    is_collection = F.get_json_object(geometry, "$.type") == "GeometryCollection"
-    return F.when(is_collection, collected).otherwise(_simple_parts(geometry))
+    """Polygons of ``read_geometry``; collections contribute the polygons they hold, one level deep."""
+    members = F.transform(geometry["geometries"], lambda g: _simple_parts(read_geometry(g)))
+    collected = F.flatten(F.filter(members, lambda p: p.isNotNull()))
+    return F.when(geometry["type"] == "GeometryCollection", collected).otherwise(_simple_parts(geometry))
 
 
 # --- alerts ----------------------------------------------------------------------------------
@@ -85,6 +91,7 @@ def read_alert_features(payloads: DataFrame) -> DataFrame:
     """
     parsed = payloads.select(F.from_json("payload", ALERT_PAYLOAD).alias("p"))
     features = parsed.where(F.col("p.type") == "FeatureCollection").select(F.explode("p.features").alias("f"))
+    features = features.withColumn("_g", read_geometry(F.col("f.geometry")))
     p = F.col("f.properties")
     text = {c: F.trim(p[c]) for c in _ALERT_TEXT}
     times = {c: parse_utc(F.trim(p[c])) for c in _ALERT_TIMES}
@@ -108,7 +115,7 @@ def read_alert_features(payloads: DataFrame) -> DataFrame:
         text["areaDesc"].alias("area_desc"),
         *[times[c].alias(c) for c in _ALERT_TIMES],
         F.col("f.geometry").alias("geometry"),
-        geometry_parts(F.col("f.geometry")).alias("parts"),
+        geometry_parts(F.col("_g")).alias("parts"),
         reason.alias("error_reason"),
     )
 
@@ -119,7 +126,7 @@ def normalise_warnings(payloads: DataFrame) -> DataFrame:
     Features without an id are dropped.
     """
     parsed = payloads.select(F.from_json("payload", WARNING_PAYLOAD).alias("p"))
-    features = parsed.select(F.explode("p.features").alias("f"))
+    features = parsed.select(F.explode("p.features").alias("f")).withColumn("_g", read_geometry(F.col("f.geometry")))
     p = F.col("f.properties")
 
     def present(c: Column) -> Column:
@@ -143,7 +150,7 @@ def normalise_warnings(payloads: DataFrame) -> DataFrame:
         ends.alias("expires"),
         ends.alias("ends"),
         F.col("f.geometry").alias("geometry"),
-        geometry_parts(F.col("f.geometry")).alias("parts"),
+        geometry_parts(F.col("_g")).alias("parts"),
     )
 
 
