@@ -20,7 +20,6 @@ CADENCE = 120
 SIDE, BLOCK = 8, 4
 LAT0, LNG0, STEP = 30.0, -100.0, 0.25
 LEVEL = "00.50"
-AXIS = "square-8"
 
 
 def at_epoch(seconds: Column) -> Column:
@@ -72,7 +71,7 @@ class Tables:
             F.lit(SIDE).alias("n_cols"),
             F.lit(BLOCK).alias("block_height"),
             F.lit(BLOCK).alias("block_width"),
-            F.lit(AXIS).alias("axis_key"),
+            F.concat(F.lit("square-"), "product").alias("axis_key"),
             F.lit(LAT0).alias("lat0"),
             F.lit(STEP).alias("dlat"),
             F.lit(LNG0).alias("lng0"),

@@ -52,12 +52,13 @@ def grid_pack_roundtrip(t: Tables) -> DataFrame:
 
 @query(
     "grid_axes",
-    """SELECT 'lat' AS axis, CAST(i AS BIGINT) AS idx, 30.0::DOUBLE + i * 0.25::DOUBLE AS coord FROM range(8) t(i)
-       WHERE (SELECT count(*) FROM embeddings) > 0
-       UNION ALL SELECT 'lng', CAST(i AS BIGINT), -100.0::DOUBLE + i * 0.25::DOUBLE FROM range(8) t(i)""",
+    """SELECT 'square-' || product AS axis_key, axis, idx, coord FROM (SELECT DISTINCT product FROM grids),
+              (SELECT 'lat' AS axis, CAST(i AS BIGINT) AS idx, 30.0::DOUBLE + i * 0.25::DOUBLE AS coord FROM range(8) t(i)
+               UNION ALL SELECT 'lng', CAST(i AS BIGINT), -100.0::DOUBLE + i * 0.25::DOUBLE FROM range(8) t(i))""",
+    ("grids",),
 )
 def grid_axes(t: Tables) -> DataFrame:
-    return axes(t).select("axis", big("idx"), "coord")
+    return axes(t).select("axis_key", "axis", big("idx"), "coord")
 
 
 _NEAREST = """
