@@ -66,7 +66,7 @@ def match_forecasts(t: Tables) -> DataFrame:
     """SELECT p.source_file_key, p.observation_file_key, count(*) AS n_cells,
               count(*) FILTER (WHERE NOT isnan(f.value) AND NOT isnan(o.value)) AS n_valid
        FROM pairs p JOIN cells f ON f.file_key = p.source_file_key JOIN cells o ON o.file_key = p.observation_file_key AND o.idx = f.idx
-       WHERE p.horizon = 10 GROUP BY p.source_file_key, p.observation_file_key""",
+       GROUP BY p.source_file_key, p.observation_file_key""",
     ("pairs", "cells"),
 )
 def align_cells(t: Tables) -> DataFrame:
@@ -80,7 +80,8 @@ def align_cells(t: Tables) -> DataFrame:
 
 
 def _aligned(t: Tables) -> DataFrame:
-    pairs = joins.match_forecasts(forecast.persistence(t.grids(), (10,)), t.grids())
+    """Persistence cells beside the cells they are due at; each pair of frames has one lead time."""
+    pairs = joins.match_forecasts(forecast.persistence(t.grids()), t.grids())
     pair_id = F.struct("source_file_key", "observation_file_key").alias("pair_id")
     cells = explode_cells(t.blocks(), extra=())
 
@@ -120,7 +121,7 @@ def verify_persistence(t: Tables) -> DataFrame:
 
 @query(
     "score_deterministic",
-    f"SELECT source_file_key, observation_file_key, sample_count, mae, bias, rmse, hits FROM ({_DETERMINISTIC.format(fields='cells')}) WHERE horizon = 10",
+    f"SELECT source_file_key, observation_file_key, sample_count, mae, bias, rmse, hits FROM ({_DETERMINISTIC.format(fields='cells')})",
     ("pairs", "cells"),
 )
 def score_deterministic(t: Tables) -> DataFrame:
