@@ -182,6 +182,9 @@ def verify(
     stacks = member_blocks(due, blocks)
     if fields is not None:
         stacks = stacks.unionByName(fields.select(*stacks.columns))
+    # A larger ensemble must fail loudly; cutting it would change the scores.
+    too_many = F.raise_error(F.lit(f"an ensemble has more than max_members={max_members} members"))
+    stacks = stacks.withColumn("members", F.when(F.size("members") <= max_members, F.col("members")).otherwise(too_many))
     seen = blocks.select(
         F.col("file_key").alias("observation_file_key"), "block_row", "block_col",
         F.col("values").cast("array<double>").alias("_observed"),

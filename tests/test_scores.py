@@ -150,3 +150,11 @@ def test_longest_run_is_the_earliest_on_ties(spark):
     points = [("s", i, v) for i, v in enumerate([1.0, 2.0, None, 3.0, 4.0, NAN, 5.0])]
     runs = calibration.series_runs(spark.createDataFrame(points, "s string, b int, v double"), ["s"], "b", "v").collect()
     assert sorted((r.start, r.end, r.length, r.is_longest) for r in runs) == [(0, 1, 2, True), (3, 4, 2, False), (6, 6, 1, False)]
+
+
+def test_ensembles_over_the_maximum_are_refused(spark):
+    grids, blocks, _ = make_grid(spark, [1, 2], [3, 4], {f"f{i}": [40] * 4 for i in range(9)})
+    issued = forecast.lagged_ensemble(grids, 3, (10,))
+    assert verify.verify(issued, grids, blocks, max_members=3).count() == 4
+    with pytest.raises(Exception, match="max_members"):
+        verify.verify(issued, grids, blocks, max_members=2).collect()
