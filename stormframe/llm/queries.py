@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, mixing, shards, topk, toxicity, warc
+from stormframe.llm import decontam, mixing, ngram_join, shards, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -74,3 +74,8 @@ def _mix(table):
         F.col("_probability").alias("probability"),
         F.col("_sampled").alias("sampled"),
     )
+
+
+@query("op3_ngram_jaccard")
+def _ngram_jaccard(table):
+    return ngram_join.near_copies(table("documents"))
