@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, mixing, ngram_join, shards, topk, toxicity, warc
+from stormframe.llm import decontam, mixing, ngram_join, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -79,3 +79,8 @@ def _mix(table):
 @query("op3_ngram_jaccard")
 def _ngram_jaccard(table):
     return ngram_join.near_copies(table("documents"))
+
+
+@query("op6_suffix_array")
+def _suffix_array(table):
+    return suffix.deduplicate(table("documents"))
