@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,3 +177,32 @@ def text_batches(batch: pa.RecordBatch, column: str, most: int = 8 * PASS_BYTES)
 def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     """Rows kept from training: crc32 of the id's decimal text leaves ``remainder``.  A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+# ---------------------------------------------------------------- fixed-size vectors summed over tasks
+
+VECTOR = "chunk int, part int, counts binary"
+_CHUNKS = 64
+
+
+def vector_rows(total: np.ndarray) -> pa.RecordBatch:
+    """A task's vector of counts as compressed rows of 1/64 of its length."""
+    part = TaskContext.get().partitionId()
+    chunks = np.array_split(total.astype(np.int64), _CHUNKS)
+    rows = [zlib.compress(c.tobytes(), 1) for c in chunks]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(_CHUNKS), pa.int32()), pa.array([part % 16] * _CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"]
+    )
+
+
+def summed(vectors: DataFrame) -> np.ndarray:
+    """The sum of all tasks' vectors, added up chunk by chunk in two steps; only the sum comes to the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.int64(0)
+        for c in table["counts"].to_pylist():
+            total = total + np.frombuffer(zlib.decompress(c), np.int64)
+        return pa.table({"chunk": table["chunk"][:1], "part": table["part"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    sums = vectors.groupBy("chunk", "part").applyInArrow(add, VECTOR).groupBy("chunk").applyInArrow(add, VECTOR).toArrow().to_pylist()
+    return np.concatenate([np.frombuffer(zlib.decompress(c["counts"]), np.int64) for c in sorted(sums, key=lambda c: c["chunk"])]) if sums else np.zeros(0, np.int64)

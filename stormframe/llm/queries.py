@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, mixing, ngram_join, shards, suffix, topk, toxicity, warc
+from stormframe.llm import decontam, lm, mixing, ngram_join, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -84,3 +84,8 @@ def _ngram_jaccard(table):
 @query("op6_suffix_array")
 def _suffix_array(table):
     return suffix.deduplicate(table("documents"))
+
+
+@query("op5_lm_scoring")
+def _lm(table):
+    return lm.score(table("documents"))
