@@ -1,4 +1,4 @@
-"""What several operators share: scratch tables, connected components, hot keys and word hashes."""
+"""What several operators share: scratch tables, word hashes and sums of vectors."""
 
 from __future__ import annotations
 
@@ -39,36 +39,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# ---------------------------------------------------------------- connected components
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """``(node, component)`` of every node of undirected ``links(a, b)``; component is its smallest node.
-
-    Alternates large-star and small-star steps (every node points its larger, then its smaller,
-    neighbours to the least one) until the links are stars.  A hub is never gathered: its
-    neighbours stay rows, and only their minimum is aggregated.
-    """
-    edges = written(
-        links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), F.col("a").alias("u"))
-        small = small.select("a", "b").union(small.select(F.col("u").alias("a"), "b")).where(F.col("a") != F.col("b")).distinct()
-        edges = written(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
-
-
 # ---------------------------------------------------------------- words of whole texts
 
 #: Words are maximal runs of bytes other than these; A-Z are folded to a-z.

@@ -4,34 +4,25 @@ A text's set holds the hashes of its distinct 4-word shingles.  Under one global
 two sets of Jaccard similarity t share an element of their prefixes.  Texts of equal sets are one
 class; classes of equal size and prefix are one group, and only groups are joined by prefix elements.
 Group pairs that pass the length and position filters are expanded to their members and verified.
-
-Only connected components are asked for, so pairs inside one component need no test.  Rounds of stars
-come first: each group is tried against one group of another component at a time, which merges
-dense clusters with work in proportion to their size.  The last round then joins every pair of groups
-that still lie in different components, so that no link is lost.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import WordHasher, components, mix, text_batches, written
+from stormframe.llm.common import VECTOR, WordHasher, mix, summed, text_batches, vector_rows, written
+from stormframe.llm.links import grouped_components, touched_members
 
 SHINGLE = 4
 #: Similarity in hundredths.
 SIMILAR = 85
 #: Counters of the frequency sketch that orders shingles, and bits of the filter on wanted sets.
 SKETCH_BITS, FILTER_BITS = 20, 22
-CHUNKS = 64
-#: Stars are tried while the pairs left between components outnumber the prefix entries by this, and so often at most.
-FEW_PAIRS, MOST_STARS = 2, 6
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -72,31 +63,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
 
 def frequency_sketch(documents: DataFrame) -> np.ndarray:
     """Counts of shingles (once per text) by the first bits of their hash: a fixed number of counters, at any size."""
-    width = 1 << (SKETCH_BITS - CHUNKS.bit_length() + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, s, _ in _each(batches):
             total += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        part = TaskContext.get().partitionId()
-        rows = [zlib.compress(c.tobytes(), 1) for c in total.reshape(CHUNKS, width)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array([part % 16] * CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"]
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for c in table["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(c), np.int64)
-        return pa.table({"chunk": table["chunk"][:1].cast(pa.int32()), "part": table["part"][:1].cast(pa.int32()), "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "chunk int, part int, counts binary"
-    some = documents.select("text").mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
-    chunks = some.groupBy("chunk").applyInArrow(add, schema).toArrow().to_pylist()
-    out = np.zeros((CHUNKS, width), np.int64)
-    for c in chunks:
-        out[c["chunk"]] = np.frombuffer(zlib.decompress(c["counts"]), np.int64)
-    return out.ravel()
+        yield vector_rows(total)
+
+    counts = summed(documents.select("text").mapInArrow(count, VECTOR))
+    return counts if len(counts) else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -213,74 +188,9 @@ def class_components(documents: DataFrame, rows: DataFrame) -> DataFrame:
     entries = entries.repartition("token")
     shared = entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     entries = written(entries.join(shared, "token"), "entries")
-    heads = members.groupBy("group").agg(F.min("key").alias("head"), F.max("key").alias("tail"))
-    touched = entries.select("group").distinct()
-    members = written(members.join(heads, "group").join(touched.withColumn("touched", F.lit(True)), "group", "left").where("touched OR head <> tail").drop("tail", "touched"), "members")
+    members = touched_members(members, entries)
     sets = written(wanted_sets(documents, members.select("key").distinct()), "sets")
-    links = tested = labels = None
-
-    def labelled(frame: DataFrame, key: str) -> DataFrame:
-        if labels is None:
-            return frame.withColumn("label", F.col(key))
-        of = labels.select(F.col("node").alias(key), F.col("component").alias("_c"))
-        return frame.join(of, key, "left").withColumn("label", F.coalesce("_c", key)).drop("_c")
-
-    def try_pairs(pairs: DataFrame) -> bool:
-        """Verify new pairs; join what links.  False if there were none."""
-        nonlocal links, tested, labels
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        tested = pairs if tested is None else tested.union(pairs)
-        new = written(verified(pairs, sets), "links")
-        if new.isEmpty():
-            return True
-        links = new if links is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-        labels = written(components(links, "labels"), "labels")
-        return True
-
-    # Members of one group first: each against the group's head.
-    try_pairs(members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
-    total = entries.count()
-    for star in range(MOST_STARS):
-        state = labelled(members.select("group", "head").distinct(), "head")
-        placed = entries.join(state, "group")
-        per = placed.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("left"))
-        left = per.agg(F.sum("left")).first()[0] or 0
-        if left <= FEW_PAIRS * total:
-            break
-        hub = F.min(F.struct(F.xxhash64("head", F.lit(star)).alias("h"), "head", "label", "n", "at")).alias("hub")
-        hubs = placed.groupBy("token").agg(hub, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "hub")
-        near = placed.join(hubs, "token").where((F.col("label") != F.col("hub.label")) & _may_link(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
-        # Of the hubs that a group meets, that with which it shares most.
-        met = near.groupBy("head", F.col("hub.head").alias("other")).agg(F.count("*").alias("c"))
-        best = met.groupBy("head").agg(F.max(F.struct("c", "other")).alias("m")).select(F.col("head").alias("a"), F.col("m.other").alias("b"))
-        if not try_pairs(best):
-            break
-    # Every pair of groups that is not yet in one component.
-    state = labelled(members, "key")
-    of_group = state.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    placed = entries.join(of_group, "group")
-    open_tokens = placed.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("token")
-    placed = placed.join(open_tokens, "token")
-    other = placed.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "n", "at", "lo", "hi")))
-    met = placed.join(other, "token").where(
-        (F.col("group") < F.col("group2"))
-        & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))
-        & _may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"))
-    )
-    met = met.select("group", "group2").distinct()
-    mine = state.select("group", F.col("key").alias("a"), F.col("label").alias("la"))
-    theirs = state.select(F.col("group").alias("group2"), F.col("key").alias("b"), F.col("label").alias("lb"))
-    across = met.join(mine, "group").join(theirs, "group2").where("la <> lb").select("a", "b")
-    within = mine.join(theirs, F.col("group") == F.col("group2")).where("a < b AND la <> lb").select("a", "b")
-    try_pairs(across.union(within))
-    if labels is None:
-        return rows.select("key", F.col("key").alias("label")).limit(0)
-    return labels.select(F.col("node").alias("key"), F.col("component").alias("label"))
+    return grouped_components(entries, members, ("n", "at"), lambda a, b: _may_link(a("n"), a("at"), b("n"), b("at")), lambda pairs: verified(pairs, sets))
 
 
 def near_copies(documents: DataFrame) -> DataFrame:

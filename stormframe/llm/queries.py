@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, lm, mixing, ngram_join, shards, suffix, topk, toxicity, warc
+from stormframe.llm import decontam, line_dedup, lm, mixing, ngram_join, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -89,3 +89,8 @@ def _suffix_array(table):
 @query("op5_lm_scoring")
 def _lm(table):
     return lm.score(table("documents"))
+
+
+@query("op1_line_dedup")
+def _lines(table):
+    return line_dedup.deduplicate_lines(table("documents"))
