@@ -152,18 +152,6 @@ def parts_intersect_box(
     return F.coalesce(touches | edges_contain_point(edges, x0, y0), F.lit(False))
 
 
-def box_parts(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Column) -> Column:
-    """Geometry of a plain rectangle."""
-
-    def vertex(x: Column, y: Column) -> Column:
-        return F.struct(x.cast("double").alias("lng"), y.cast("double").alias("lat"))
-
-    ring = F.array(
-        vertex(min_lng, min_lat), vertex(max_lng, min_lat), vertex(max_lng, max_lat), vertex(min_lng, max_lat)
-    )
-    return F.array(F.array(ring))
-
-
 def parts_bounds(parts: Column) -> Column:
     """STRUCT<min_lng,min_lat,max_lng,max_lat>; null for a missing geometry."""
     vertices = F.flatten(F.flatten(parts))

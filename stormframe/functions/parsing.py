@@ -148,11 +148,6 @@ def box_problem(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Colu
     )
 
 
-def window_problem(start: Column, end: Column) -> Column:
-    """Reason a half-open time window is invalid, or null."""
-    return F.when(start >= end, F.lit("empty_window"))
-
-
 def parse_codes(text: Column) -> Column:
     """Upper-cased codes of a comma-separated list, blanks dropped."""
     trimmed = F.transform(F.split(text, ","), lambda p: F.upper(F.trim(p)))

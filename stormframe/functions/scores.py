@@ -1,14 +1,7 @@
-"""Forecast scores as columns.
-
-The per-cell ensemble columns are unrolled over ``max_members`` so that they compile;
-``max_members`` is an upper bound that the caller guarantees.
-"""
+"""Forecast scores as columns; ensembles may have any number of members."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,61 +44,33 @@ def probability_bin(p: Column, n_bins: int = BIN_COUNT) -> Column:
     return out
 
 
-def members_of(members: Column, max_members: int) -> list[Column]:
-    """First ``max_members`` entries, null past the end."""
-    return [F.get(members, F.lit(k)) for k in range(max_members)]
-
-
-def _total(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def _total(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
 
 
-def _count_where(test: Callable[[Column], Column], entries: list[Column]) -> Column:
-    # A null test counts as not met.
-    return _total([F.when(test(m), 1).otherwise(0) for m in entries])
+def members_complete(members: Column) -> Column:
+    """Every member is finite; an array without members is not complete."""
+    return (F.size(members) > 0) & F.forall(members, lambda m: F.coalesce(F.abs(m) < F.lit(INF), F.lit(False)))
 
 
-def members_complete(members: Column, max_members: int) -> Column:
-    """Every member is finite."""
-    size = F.size(members)
-    present = _count_where(lambda m: F.abs(m) < F.lit(INF), members_of(members, max_members))
-    return (size > 0) & (present == size)
-
-
-def member_mean(members: Column, max_members: int) -> Column:
+def member_mean(members: Column) -> Column:
     """Mean over the members that are not NaN; null when none is.
 
     The sum runs over the present members only, so an infinite member stays infinite.
     """
-    entries = members_of(members, max_members)
     # NaN and null both fail the comparison; infinity passes it.
-    def there(m: Column) -> Column:
-        return F.abs(m) <= F.lit(INF)
+    present = F.filter(members, lambda m: F.abs(m) <= F.lit(INF))
+    return ratio(_total(F.transform(present, lambda m: m.cast("double"))), F.size(present))
 
-    present = _count_where(there, entries)
-    total = _total([F.when(there(m), m.cast("double")).otherwise(F.lit(0.0)) for m in entries])
-    return ratio(total, present)
 
+def exceedance_probability(members: Column, threshold: Column | float) -> Column:
+    """Share of members at or above the threshold."""
+    return ratio(F.size(F.filter(members, lambda m: at_least(m, threshold))), F.size(members))
 
-def exceedance_probability(members: Column, threshold: Column | float, max_members: int, complete: bool = False) -> Column:
-    """Share of members at or above the threshold; ``complete`` promises that none is NaN."""
-    if complete:
-        limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-        return ratio(_count_where(lambda m: m >= limit, members_of(members, max_members)), F.size(members))
-    over = _count_where(lambda m: at_least(m, threshold), members_of(members, max_members))
-    return ratio(over, F.size(members))
 
-
-def fair_crps(sorted_members: Column, observed: Column, max_members: int) -> Column:
+def fair_crps(sorted_members: Column, observed: Column) -> Column:
     """Fair ensemble CRPS of one cell from its *sorted* members; one member gives |x - y|."""
     size = F.size(sorted_members).cast("double")
-    entries = members_of(sorted_members, max_members)
-    error = _total([F.coalesce(F.abs(m.cast("double") - observed), F.lit(0.0)) for m in entries]) / size
-    weighted = _total(
-        [
-            F.coalesce((F.lit(2.0 * (k + 1)) - size - F.lit(1.0)) * m.cast("double"), F.lit(0.0))
-            for k, m in enumerate(entries)
-        ]
-    )
+    error = _total(F.transform(sorted_members, lambda m: F.abs(m.cast("double") - observed))) / size
+    weighted = _total(F.transform(sorted_members, lambda m, k: (F.lit(2.0) * (k + 1) - size - F.lit(1.0)) * m.cast("double")))
     return error - F.when(size < 2, F.lit(0.0)).otherwise(F.try_divide(weighted, size * (size - 1)))
-

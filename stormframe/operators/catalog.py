@@ -247,8 +247,8 @@ def unmaterialised(files: DataFrame, grids: DataFrame) -> DataFrame:
 
 
 def unmaterialised_files(files: DataFrame, grids: DataFrame, n: int = MATERIALISE_BATCH) -> DataFrame:
-    """The ``n`` newest files without a grid."""
-    return newest(unmaterialised(files, grids), "valid_at", n, CATALOG_MAX)
+    """The ``n`` newest files without a grid; a work queue, so no page size applies and ``n <= 0`` asks for nothing."""
+    return unmaterialised(files, grids).orderBy(F.col("valid_at").desc(), "file_key").limit(max(n, 0))
 
 
 def pending_counts(files: DataFrame, grids: DataFrame) -> DataFrame:

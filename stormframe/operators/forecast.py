@@ -100,23 +100,27 @@ def lagged_ensemble(
 
 
 def member_blocks(nowcasts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``members ARRAY<ARRAY<DOUBLE>>`` per forecast_key and block, oldest member first.
+    """``members``, arrays of cells, per forecast_key and block, oldest member first.
 
     A field is stacked once however many lead times use it.  Single-member fields need no
-    grouping; a stack gathers at most ``ENSEMBLE_SIZE`` entries.
+    grouping; a stack gathers one entry per member.
     """
     fields = nowcasts.select("forecast_key", "members").dropDuplicates(["forecast_key"])
-    packed = blocks.select(*BLOCK_ID, F.col("values").cast("array<double>").alias("_v"))
+    packed = blocks.select(*BLOCK_ID, F.col("values").alias("_v"))
+    # A frame's blocks are many: rows learn the places first and meet the cells block by block.
+    places = blocks.select(*BLOCK_ID)
     single = (
         fields.where(F.size("members") == 1)
         .select("forecast_key", F.col("members")[0].alias("file_key"))
-        .join(packed, "file_key")
+        .join(places, "file_key")
+        .join(packed, list(BLOCK_ID))
         .select("forecast_key", "block_row", "block_col", F.array("_v").alias("members"))
     )
     several = (
         fields.where(F.size("members") > 1)
         .select("forecast_key", F.posexplode("members").alias("_pos", "file_key"))
-        .join(packed, "file_key")
+        .join(places, "file_key")
+        .join(packed, list(BLOCK_ID))
         .groupBy("forecast_key", "block_row", "block_col")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_stack"))
         .select("forecast_key", "block_row", "block_col", F.transform("_stack", lambda e: e["_v"]).alias("members"))
@@ -309,7 +313,7 @@ def apply_forecaster(stacks: DataFrame, fn, algorithm: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [
-                [np.asarray(fn(np.stack([m.values.to_numpy(zero_copy_only=False) for m in stack.values])), dtype=np.float64)]
+                [np.asarray(fn(np.stack([m.values.to_numpy(zero_copy_only=False).astype(np.float64) for m in stack.values])), dtype=np.float64)]
                 for stack in batch.column("members")
             ]
             members = pa.array(made, pa.list_(pa.list_(pa.float64())))

@@ -1,12 +1,16 @@
 """Scoring of forecasts against what was later observed.
 
-Forecast fields and observations meet as packed blocks.  Cells are unpacked after the last
-join and folded at once into partial sums per (pair, probability bin), so what is shuffled
+Forecast fields and observations meet as packed blocks.  A kernel folds
+them into partial sums per (pair, probability bin), so what is shuffled
 after the joins is a dozen rows per pair and task however large the grids are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +20,11 @@ from stormframe.functions.scores import (
     bin_edges,
     exceedance_probability,
     fair_crps,
-    member_mean,
     members_complete,
     probability_bin,
 )
 from stormframe.functions.values import finite, ratio
-from stormframe.operators.forecast import ENSEMBLE_SIZE, member_blocks
+from stormframe.operators.forecast import member_blocks
 from stormframe.operators.joins import MATCH_WINDOW_SECONDS, match_forecasts, same_shape
 
 PAIR = ("nowcast_id", "observation_file_key")
@@ -82,51 +85,98 @@ def _means(threshold: float | None) -> list[Column]:
     ]
 
 
-def score_probabilistic(
-    aligned: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_members: int = ENSEMBLE_SIZE
-) -> DataFrame:
-    """Brier score, fair CRPS and reliability bins per ``pair_id`` of cells with ``members``."""
-    cells = aligned.select("pair_id", "members", F.col("observed"))
-    sums = _partial_sums(cells, ["pair_id"], F.lit(True), threshold, max_members)
-    size = aligned.groupBy("pair_id").agg(F.max(F.size("members")).cast("int").alias("ensemble_size"))
-    return sums.join(size, "pair_id").select("pair_id", "ensemble_size", *_probability_scores())
-
-
-def _partial_sums(
-    cells: DataFrame, keys: list[str], is_ensemble: Column, threshold: float | None, max_members: int
-) -> DataFrame:
-    """Sums per key from cells with ``members`` and ``observed``, and the bins as an array."""
-    limit = DEFAULT_THRESHOLD if threshold is None else threshold
+def score_probabilistic(aligned: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Brier score, fair CRPS and reliability bins per ``pair_id`` of cells with ``members``, of any number."""
     members, observed = F.col("members"), F.col("observed")
-    usable = is_ensemble & finite(observed) & members_complete(members, max_members)
-    stage = cells.select(
-        *keys,
-        "observed",
-        member_mean(members, max_members).alias("_forecast"),
-        F.when(usable, exceedance_probability(members, limit, max_members, complete=True)).alias("_p"),
-        F.when(usable, fair_crps(F.sort_array(members), observed, max_members)).alias("_crps"),
+    usable = finite(observed) & members_complete(members)
+    stage = aligned.select(
+        "pair_id",
+        F.size(members).alias("_size"),
+        (observed >= threshold).alias("_event"),
+        F.when(usable, exceedance_probability(members, threshold)).alias("_p"),
+        F.when(usable, fair_crps(F.sort_array(members), observed)).alias("_crps"),
     )
-    event = F.when(observed >= limit, 1.0).otherwise(0.0)
     p, counted = F.col("_p"), F.col("_p").isNotNull()
+    event = F.when(F.col("_event"), 1.0).otherwise(0.0)
     terms = stage.select(
-        *keys,
+        "pair_id",
+        "_size",
         F.when(counted, probability_bin(p)).alias("_bin"),
-        *cell_terms(F.col("_forecast"), observed, threshold),
         F.when(counted, 1).otherwise(0).cast("long").alias("prob_n"),
-        F.when(counted & (observed >= limit), 1).otherwise(0).cast("long").alias("observed_events"),
+        F.when(counted & F.col("_event"), 1).otherwise(0).cast("long").alias("observed_events"),
         _or_zero(counted, p).alias("probability"),
         _or_zero(counted, (p - event) * (p - event)).alias("brier"),
         _or_zero(counted, F.col("_crps")).alias("crps"),
     )
-    per_bin = terms.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    sums = terms.groupBy("pair_id", "_bin").agg(F.max("_size").alias("_size"), *[F.sum(c).alias(c) for c in _SUMS[8:]])
+    merged = _merge_bins(sums, ["pair_id"], _SUMS[8:], F.max("_size").cast("int").alias("ensemble_size"))
+    return merged.select("pair_id", "ensemble_size", *_probability_scores())
+
+
+def _merge_bins(per_bin: DataFrame, keys: list[str], sums: tuple[str, ...], *more: Column) -> DataFrame:
+    """Sums over the bins of a key, and the bins as an array."""
     return per_bin.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
-        F.collect_list(
-            F.when(F.col("_bin").isNotNull(), F.struct("_bin", "prob_n", "observed_events", "probability"))
-        ).alias("_bins"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "prob_n", "observed_events", "probability"))).alias("_bins"),
+        *more,
     )
 
 
+def _block_sums(members: np.ndarray, observed: np.ndarray, ensemble: bool, threshold: float | None) -> Iterator[tuple]:
+    """(bin, sums...) of a block's cells, bin None for those without a probability; ``members`` is [M, cells]."""
+    there = ~np.isnan(members)
+    present = there.sum(0)
+    with np.errstate(all="ignore"):
+        forecast = np.where(there, members, 0.0).sum(0) / present
+        gap = forecast - observed
+    valid = np.isfinite(forecast) & np.isfinite(observed)
+    gap = np.where(valid, gap, 0.0)
+    limit = DEFAULT_THRESHOLD if threshold is None else threshold
+    said, seen = forecast >= limit, observed >= limit
+    counted = ensemble & np.isfinite(observed) & np.isfinite(members).all(0)
+    size = len(members)
+    p = np.where(counted, (members >= limit).sum(0) / size, 0.0)
+    bins = np.where(counted, np.searchsorted(np.array(bin_edges(BIN_COUNT)), p, "right") - 1, -1)
+    crps = np.zeros(len(observed))
+    if counted.any():
+        ordered, y = np.sort(members[:, counted], axis=0), observed[counted]
+        crps[counted] = np.abs(ordered - y).mean(0)
+        if size > 1:
+            weight = 2.0 * np.arange(1, size + 1) - size - 1.0
+            crps[counted] -= (weight[:, None] * ordered).sum(0) / (size * (size - 1))
+    some = threshold is not None
+    cells = (
+        valid, np.abs(gap), gap, gap * gap, some & valid & said & seen, some & valid & ~said & seen, some & valid & said & ~seen,
+        some & valid & ~said & ~seen, counted, counted & seen, p, np.where(counted, (p - seen) ** 2, 0.0), crps,
+    )
+    for b in np.unique(bins):
+        own = bins == b
+        yield (None if b < 0 else int(b), *[c[own].sum().item() for c in cells])
+
+
+def _fold(meeting: DataFrame, threshold: float | None) -> DataFrame:
+    """Blocks of members and observations to a few rows of sums each, before any shuffle."""
+    names = [*PAIR, "_bin", *_SUMS]
+    whole = {"n", "hits", "misses", "false_alarms", "correct_negatives", "prob_n", "observed_events"}
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64() if c in whole else pa.float64() for c in _SUMS]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            ids = [batch.column(c).to_pylist() for c in (*PAIR, "_ensemble")]
+            for i, (nowcast, seen, ensemble) in enumerate(zip(*ids, strict=True)):
+                stack = [m.values.to_numpy(zero_copy_only=False) for m in batch.column("members")[i].values]
+                observed = batch.column("_observed")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                for sums in _block_sums(np.stack(stack).astype(np.float64), observed, ensemble, threshold):
+                    rows.append((nowcast, seen, *sums))
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    sums = ", ".join(f"{c} {'bigint' if c in whole else 'double'}" for c in _SUMS)
+    return meeting.select(*PAIR, "_ensemble", "members", "_observed").mapInArrow(each, f"nowcast_id string, observation_file_key string, _bin int, {sums}")
+
+
 def _dense_bins(bins: Column) -> Column:
     """Ten bins in order, the empty ones with zeros."""
     lowers = F.array(*[F.lit(e) for e in bin_edges(BIN_COUNT)])
@@ -156,6 +206,11 @@ def _probability_scores() -> list[Column]:
     ]
 
 
+def _is_ensemble(size: str) -> Column:
+    """One member is no ensemble: it has no probability to score."""
+    return F.coalesce(F.col(size) > 1, F.lit(False))
+
+
 def verify(
     nowcasts: DataFrame,
     observations: DataFrame,
@@ -163,7 +218,6 @@ def verify(
     fields: DataFrame | None = None,
     threshold: float | None = DEFAULT_THRESHOLD,
     seconds: int = MATCH_WINDOW_SECONDS,
-    max_members: int = ENSEMBLE_SIZE,
 ) -> DataFrame:
     """Match, align and score every forecast that an observed grid falls due for.
 
@@ -182,29 +236,20 @@ def verify(
     stacks = member_blocks(due, blocks)
     if fields is not None:
         stacks = stacks.unionByName(fields.select(*stacks.columns))
-    # A larger ensemble must fail loudly; cutting it would change the scores.
-    too_many = F.raise_error(F.lit(f"an ensemble has more than max_members={max_members} members"))
-    stacks = stacks.withColumn("members", F.when(F.size("members") <= max_members, F.col("members")).otherwise(too_many))
-    seen = blocks.select(
-        F.col("file_key").alias("observation_file_key"), "block_row", "block_col",
-        F.col("values").cast("array<double>").alias("_observed"),
-    )
+    # Pairs learn their blocks' places first, so that heavy rows meet block by block.
+    places = blocks.select(F.col("file_key").alias("observation_file_key"), "block_row", "block_col")
+    seen = blocks.select(F.col("file_key").alias("observation_file_key"), "block_row", "block_col", F.col("values").alias("_observed"))
     meeting = (
-        pairs.select(*PAIR, "forecast_key", F.col("ensemble_size").isNotNull().alias("_ensemble"))
-        .join(stacks, "forecast_key")
+        pairs.select(*PAIR, "forecast_key", _is_ensemble("ensemble_size").alias("_ensemble"))
+        .join(places, "observation_file_key")
+        .join(stacks, ["forecast_key", "block_row", "block_col"])
         .join(seen, ["observation_file_key", "block_row", "block_col"])
     )
-    at = F.col("_pos")
-    unpacked = meeting.select(*PAIR, "_ensemble", "members", F.posexplode("_observed").alias("_pos", "observed"))
-    per_cell = F.slice(
-        F.array(*[F.get(F.get("members", F.lit(k)), at) for k in range(max_members)]), F.lit(1), F.size("members")
-    )
-    cells = unpacked.select(*PAIR, "_ensemble", per_cell.alias("members"), "observed")
-    keys = [*PAIR, "_ensemble"]
-    sums = _partial_sums(cells, keys, F.col("_ensemble"), threshold, max_members)
+    per_bin = _fold(meeting, threshold).groupBy(*PAIR, "_bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    sums = _merge_bins(per_bin, list(PAIR), _SUMS)
     scored = sums.select(*PAIR, *_means(threshold), *_probability_scores())
     joined = pairs.drop("forecast_key").join(scored, list(PAIR), "left")
-    ensemble = F.col("ensemble_size").isNotNull()
+    ensemble = _is_ensemble("ensemble_size")
     zero = {"sample_count": 0, "mae": 0.0, "bias": 0.0, "rmse": 0.0}
     return joined.select(
         *PAIR, "product", "level", "algorithm", "horizon", "valid_at",

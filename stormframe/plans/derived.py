@@ -38,12 +38,10 @@ class Tables:
         self.sf_dir = sf_dir
 
     def base(self, name: str, heavy: bool = False) -> DataFrame:
-        """A provided table.  ``heavy`` work on fewer files than cores is spread first; with
-        many files the scan is parallel already and no shuffle is added."""
+        """A provided table.  ``heavy`` work per row is dealt out evenly, however the files are cut."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if heavy and len(df.inputFiles()) < cores:
-            df = df.repartition(cores)
+        if heavy:
+            df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 

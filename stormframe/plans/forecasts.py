@@ -145,7 +145,7 @@ _ENSEMBLE = """
     scored AS MATERIALIZED (
         SELECT q.source_file_key, q.horizon, q.observation_file_key, s.n, o.value AS o, s.f,
                CASE WHEN s.f IS NOT NULL AND NOT isnan(o.value) THEN s.f - o.value END AS d,
-               CASE WHEN s.whole AND NOT isnan(o.value) THEN s.p END AS p,
+               CASE WHEN s.whole AND s.n > 1 AND NOT isnan(o.value) THEN s.p END AS p,
                list_avg(list_transform(s.m, lambda x: abs(x - o.value))) - x.spread AS crps
         FROM pairs q JOIN stacks s ON s.source_file_key = q.source_file_key
         JOIN cells o ON o.file_key = q.observation_file_key AND o.idx = s.idx
@@ -160,8 +160,9 @@ _ENSEMBLE = """
                count(*) FILTER (WHERE d IS NOT NULL AND f >= 35 AND o >= 35) AS hits, count(*) FILTER (WHERE d IS NOT NULL AND f < 35 AND o >= 35) AS misses,
                count(*) FILTER (WHERE d IS NOT NULL AND f >= 35 AND o < 35) AS false_alarms,
                count(*) FILTER (WHERE d IS NOT NULL AND f < 35 AND o < 35) AS correct_negatives,
-               max(n) AS ensemble_size, round(coalesce(avg((p - CASE WHEN o >= 35 THEN 1 ELSE 0 END) ** 2) FILTER (WHERE p IS NOT NULL), 0), 12) AS brier_score,
-               round(coalesce(avg(crps) FILTER (WHERE p IS NOT NULL), 0), 6) + 0 AS crps
+               max(n) AS ensemble_size,
+               CASE WHEN max(n) > 1 THEN round(coalesce(avg((p - CASE WHEN o >= 35 THEN 1 ELSE 0 END) ** 2) FILTER (WHERE p IS NOT NULL), 0), 12) END AS brier_score,
+               CASE WHEN max(n) > 1 THEN round(coalesce(avg(crps) FILTER (WHERE p IS NOT NULL), 0), 6) + 0 END AS crps
         FROM scored GROUP BY source_file_key, horizon, observation_file_key)""",
     ("history", "pairs", "cells"),
 )

@@ -411,7 +411,7 @@ def ensemble_mean(t: Tables) -> DataFrame:
         per_cell.alias("m"),
     )
     return unpacked.select(
-        "source_file_key", big("row_i"), big("col_i"), F.size("m").cast("long").alias("members"), rounded("value", member_mean(F.col("m"), 8))
+        "source_file_key", big("row_i"), big("col_i"), F.size("m").cast("long").alias("members"), rounded("value", member_mean(F.col("m")))
     )
 
 

@@ -14,9 +14,12 @@ from stormframe.operators.grid import explode_cells
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(key, size, etag) of the objects under a path; contents are pruned from the scan."""
+    """(key, size, etag) of the objects under a folder, keys relative to it; contents are pruned from the scan."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toString().rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select(F.col("path").alias("key"), F.col("length").alias("size"), F.lit(None).cast("string").alias("etag"))
+    key = F.expr(f"substring(path, {len(whole) + 2})")
+    return found.select(key.alias("key"), F.col("length").alias("size"), F.lit(None).cast("string").alias("etag"))
 
 
 def read_file_catalog(listing: DataFrame) -> DataFrame:

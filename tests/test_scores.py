@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def test_bin_edges(spark):
 
 def test_member_mean_keeps_infinity_and_skips_missing(spark):
     df = spark.createDataFrame([([1.0, NAN, 3.0],), ([NAN, NAN],), ([float("inf"), 1.0],)], "m array<double>")
-    got = [r[0] for r in df.select(scores.member_mean(F.col("m"), 8)).collect()]
+    got = [r[0] for r in df.select(scores.member_mean(F.col("m"))).collect()]
     assert got == [2.0, None, float("inf")]
 
 
@@ -152,9 +153,27 @@ def test_longest_run_is_the_earliest_on_ties(spark):
     assert sorted((r.start, r.end, r.length, r.is_longest) for r in runs) == [(0, 1, 2, True), (3, 4, 2, False), (6, 6, 1, False)]
 
 
-def test_ensembles_over_the_maximum_are_refused(spark):
+@pytest.mark.parametrize("size", [2, 9, 20])
+def test_ensembles_of_any_size_are_scored_whole(spark, size):
+    rng = np.random.default_rng(size)
+    fields = {f"f{i:02d}": rng.uniform(0, 60, 4).round(1).tolist() for i in range(size + 5)}
+    grids, blocks, _ = make_grid(spark, [1, 2], [3, 4], fields)
+    issued = forecast.lagged_ensemble(grids, size, (10,))
+    rows = verify.verify(issued, grids, blocks).join(issued.select("nowcast_id", "members"), "nowcast_id").where(F.size("members") == size).collect()
+    assert rows
+    for r in rows:
+        m, y = np.array([fields[k] for k in r.members], dtype=np.float32).astype(float), np.array(fields[r.observation_file_key], dtype=np.float32).astype(float)
+        p = (m >= 35).mean(0)
+        spread = np.abs(m[:, None] - m[None]).sum((0, 1)) / (2 * size * (size - 1))
+        assert r.ensemble_size == size and r.brier_score == pytest.approx(((p - (y >= 35)) ** 2).mean())
+        assert r.crps == pytest.approx((np.abs(m - y).mean(0) - spread).mean())
+        assert r.mae == pytest.approx(np.abs(m.mean(0) - y).mean()) and sum(b["count"] for b in r.reliability_bins) == 4
+    aligned = spark.createDataFrame([(1, m[:, k].tolist(), float(y[k])) for k in range(4)], "pair_id int, members array<double>, observed double")
+    again = verify.score_probabilistic(aligned).first()
+    assert (again.ensemble_size, again.brier_score, again.crps) == (size, pytest.approx(r.brier_score), pytest.approx(r.crps))
+
+
+def test_one_member_is_no_ensemble(spark):
     grids, blocks, _ = make_grid(spark, [1, 2], [3, 4], {f"f{i}": [40] * 4 for i in range(9)})
-    issued = forecast.lagged_ensemble(grids, 3, (10,))
-    assert verify.verify(issued, grids, blocks, max_members=3).count() == 4
-    with pytest.raises(Exception, match="max_members"):
-        verify.verify(issued, grids, blocks, max_members=2).collect()
+    rows = verify.verify(forecast.lagged_ensemble(grids, 1, (10,)), grids, blocks).collect()
+    assert rows and all(r.ensemble_size == 1 and r.brier_score is None and r.crps is None and r.reliability_bins is None for r in rows)
