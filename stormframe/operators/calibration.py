@@ -35,7 +35,7 @@ def pod_far_csi(df: DataFrame) -> DataFrame:
     return df.withColumns({"pod": pod(h, m), "far": far(h, f), "csi": csi(h, m, f)})
 
 
-def _aggregates() -> list[Column]:
+def series_aggregates() -> list[Column]:
     n = F.col("sample_count")
 
     def total(value: Column, name: str) -> Column:
@@ -74,7 +74,7 @@ def calibration(
 ) -> DataFrame:
     """Sample-weighted scores per algorithm and lead time, in key order."""
     chosen = _selected(df, since, product, level, algorithm)
-    return pod_far_csi(chosen.groupBy(*GROUP).agg(*_aggregates())).orderBy(*GROUP)
+    return pod_far_csi(chosen.groupBy(*GROUP).agg(*series_aggregates())).orderBy(*GROUP)
 
 
 def bucket_start(time: Column, seconds: int) -> Column:
@@ -95,7 +95,7 @@ def calibration_series(
     """The same per time bucket (``bucket_epoch``)."""
     chosen = _selected(df, since, product, level, algorithm)
     bucket = bucket_start(F.col("verified_at"), bucket_seconds).alias("bucket_epoch")
-    return pod_far_csi(chosen.groupBy(*GROUP, bucket).agg(*_aggregates())).orderBy(*GROUP, "bucket_epoch")
+    return pod_far_csi(chosen.groupBy(*GROUP, bucket).agg(*series_aggregates())).orderBy(*GROUP, "bucket_epoch")
 
 
 def nested_series(series: DataFrame) -> DataFrame:

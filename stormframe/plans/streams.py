@@ -6,22 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.operators import calibration as cal
-from stormframe.operators.forecast import persistence
-from stormframe.plans.actions import _evals
+from stormframe.operators.forecast import lagged_ensemble, persistence
+from stormframe.plans.actions import _FIRED, _evals
 from stormframe.plans.derived import Tables
+from stormframe.plans.forecasts import _DETERMINISTIC
 from stormframe.plans.registry import big, epoch, query, rounded
 from stormframe.session import scratch_folder
 from stormframe.sources import events as messages
 from stormframe.streaming import jobs
 
 
+#: The event time by which each streamed table arrives, and in how many pieces.
+ARRIVAL = {"events": "ts", "embeddings": "vec_id", "lineitem": "l_shipdate", "orders": "o_orderdate"}
+ARRIVALS = 3
+
+
 class StreamTables(Tables):
-    """The same derivations over streaming reads."""
+    """The same derivations over streaming reads; a table arrives in ``ARRIVALS`` pieces, one micro-batch each."""
 
     def base(self, name: str, heavy: bool = False) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
-        naive = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        folder = scratch_folder(self.spark, f"arrivals-{name}")
+        at = F.col(ARRIVAL[name])
+        order = at.cast("timestamp").cast("double") if dict(table.dtypes)[ARRIVAL[name]] not in ("bigint", "int") else at.cast("double")
+        low, high = table.agg(F.min(order), F.max(order)).first()
+        piece = F.least(F.lit(ARRIVALS - 1), F.floor((order - low) * ARRIVALS / max(high - low, 1)))
+        for k in range(ARRIVALS):
+            table.where(piece == k).coalesce(1).write.parquet(f"{folder}/{k}")
+        stream = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        naive = [f.name for f in table.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         return stream.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else stream
 
 
@@ -54,6 +67,33 @@ def nowcasts(t: Tables) -> DataFrame:
     return made.select("source_file_key", big("horizon"), epoch("valid_at", "valid_epoch"))
 
 
+@query(
+    "stream_lagged_nowcasts",
+    """SELECT source_file_key, CAST(h AS BIGINT) AS horizon, count(*) AS ensemble_size, string_agg(member_key, ',' ORDER BY ago DESC) AS members
+       FROM history, (VALUES (10), (30), (60)) t(h) GROUP BY source_file_key, h""",
+    ("history",),
+)
+def lagged_nowcasts(t: Tables) -> DataFrame:
+    """Ensembles of new frames, whose members arrived in earlier batches."""
+    step = jobs.nowcast_stream(_streams(t).grids(), lambda grids, h: lagged_ensemble(grids, horizons=h), grids=t.grids)
+    made = jobs.drain(t.spark, step[0], "lagged", step[1])
+    return made.select("source_file_key", big("horizon"), big("ensemble_size"), F.concat_ws(",", "members").alias("members"))
+
+
+@query(
+    "stream_verify_scores",
+    f"SELECT source_file_key, horizon, observation_file_key, sample_count, mae, hits FROM ({_DETERMINISTIC.format(fields='cells')})",
+    ("pairs", "cells"),
+)
+def verify_scores(t: Tables) -> DataFrame:
+    """Scores of stored forecasts as their observations arrive, one row per forecast and observation."""
+    said = persistence(t.grids())
+    step = jobs.score_batch(lambda: said, t.blocks)
+    scores = jobs.drain(t.spark, _streams(t).grids(), "scores", step, key=["nowcast_id", "observation_file_key"])
+    named = scores.drop("horizon").join(said.select("nowcast_id", "source_file_key", "horizon"), "nowcast_id")
+    return named.select("source_file_key", big("horizon"), "observation_file_key", "sample_count", rounded("mae"), "hits")
+
+
 @query("stream_verify_pairs", "SELECT source_file_key, horizon, observation_file_key FROM pairs", ("pairs",))
 def verify_pairs(t: Tables) -> DataFrame:
     said = persistence(_streams(t).grids())
@@ -68,17 +108,18 @@ def verify_new_grids(t: Tables) -> DataFrame:
     return pairs.select("source_file_key", big("horizon"), "observation_file_key")
 
 
-@query(
-    "stream_rule_firing",
-    """SELECT rule_id, file_key, satisfied, satisfied AND NOT coalesce(lag(satisfied) OVER (PARTITION BY rule_id ORDER BY valid_epoch, file_key), false) AS fired
-       FROM evals""",
-    ("evals",),
-)
+@query("stream_rule_firing", f"SELECT rule_id, file_key, satisfied, fired FROM {_FIRED}", ("evals", "rules"))
 def rule_firing(t: Tables) -> DataFrame:
+    """Evaluations arrive in order of time, in several batches; the first of a rule meets its stored state."""
     folder = scratch_folder(t.spark, "evaluations")
-    _evals(t).write.parquet(folder)
-    evals = t.spark.readStream.schema(t.spark.read.parquet(folder).schema).parquet(folder)
-    return jobs.drain(t.spark, jobs.rule_stream(evals), "firing").select("rule_id", "file_key", "satisfied", "fired")
+    evals = _evals(t).persist()
+    low, high = evals.agg(F.min(F.unix_timestamp("valid_at")), F.max(F.unix_timestamp("valid_at"))).first()
+    piece = F.least(F.lit(ARRIVALS - 1), F.floor((F.unix_timestamp("valid_at") - low) * ARRIVALS / max(high - low, 1)))
+    for k in range(ARRIVALS):
+        evals.where(piece == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    evals.unpersist()
+    stream = t.spark.readStream.schema(evals.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    return jobs.drain(t.spark, jobs.rule_stream(stream, t.rules()), "firing").select("rule_id", "file_key", "satisfied", "fired")
 
 
 @query(
@@ -88,8 +129,8 @@ def rule_firing(t: Tables) -> DataFrame:
 )
 def conflate_newest(t: Tables) -> DataFrame:
     slim = _streams(t).grids().select("product", "level", "valid_at", "file_key")
-    newest = jobs.drain(t.spark, slim, "conflated", lambda batch: jobs.conflate(batch, ["product", "level"], "valid_at"))
-    return newest.select("product", "level", "file_key", "superseded")
+    parts = jobs.drain(t.spark, slim, "conflated", lambda batch: jobs.conflate(batch, ["product", "level"], "valid_at"))
+    return jobs.merge_conflated(parts, ["product", "level"], "valid_at").select("product", "level", "file_key", "superseded")
 
 
 @query(
@@ -99,7 +140,7 @@ def conflate_newest(t: Tables) -> DataFrame:
 )
 def materialise_pending(t: Tables) -> DataFrame:
     step = jobs.materialise_pending(lambda: t.files().drop("vec_id"), t.grids, 16)
-    return jobs.drain(t.spark, _streams(t).files(), "pending", step).select("file_key")
+    return jobs.drain(t.spark, _streams(t).files(), "pending", step, key=["file_key"]).select("file_key")
 
 
 @query(
@@ -112,7 +153,7 @@ def materialise_pending(t: Tables) -> DataFrame:
 )
 def calibration_series(t: Tables) -> DataFrame:
     running = jobs.calibration_series_stream(_streams(t).verifications(), 86400)
-    out = jobs.drain(t.spark, running, "series", mode="update")
+    out = jobs.drain(t.spark, running, "series", mode="update", key=["algorithm", "horizon", "bucket_epoch"])
     return out.select("algorithm", big("horizon"), "bucket_epoch", "verification_count", "sample_count", rounded("mae_mean"), "hits")
 
 
@@ -145,7 +186,7 @@ def recent_feed(t: Tables) -> DataFrame:
 )
 def series_matches_batch(t: Tables) -> DataFrame:
     """Buckets on which the streaming and the batch series agree."""
-    streamed = jobs.drain(t.spark, jobs.calibration_series_stream(_streams(t).verifications(), 86400), "twin", mode="update")
+    streamed = jobs.drain(t.spark, jobs.calibration_series_stream(_streams(t).verifications(), 86400), "twin", mode="update", key=["algorithm", "horizon", "bucket_epoch"])
     batch = cal.calibration_series(t.verifications(), None, 86400)
-    keys = ["algorithm", "horizon", "bucket_epoch", "verification_count", "sample_count", "hits", "misses", "false_alarms"]
+    keys = ["algorithm", "horizon", "bucket_epoch", "verification_count", "sample_count", "hits", "misses", "false_alarms", "brier_sample_count"]
     return streamed.select(*keys).join(batch.select(*keys), keys).agg(F.count("*").alias("buckets"))

@@ -2,7 +2,7 @@
 
 Stateful steps are keyed and bounded by a watermark; what needs exact history reads the
 target table inside ``foreachBatch``.  Writes are keyed by batch id, so a replayed batch
-replaces its own output.
+replaces its own output; what replaces earlier rows is read by key, the latest batch first.
 """
 
 from __future__ import annotations
@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stormframe.operators.calibration import GROUP
-from stormframe.operators.catalog import CATALOG_MAX, newest, unmaterialised
+from stormframe.functions.scores import DEFAULT_THRESHOLD
+from stormframe.operators.calibration import GROUP, pod_far_csi, series_aggregates
+from stormframe.operators.catalog import newest, unmaterialised_files
 from stormframe.operators.forecast import HORIZONS, persistence
 from stormframe.operators.joins import MATCH_WINDOW_SECONDS, match_forecasts
+from stormframe.operators.verify import verify
 from stormframe.session import scratch_folder
 
+#: How far back stored grids are read as history of a new one.
+HISTORY_SECONDS = 6 * 3600
+
 BatchFn = Callable[[DataFrame, int], None]
 
 
@@ -51,11 +56,25 @@ def drain(
     name: str,
     transform: Callable[[DataFrame], DataFrame] | None = None,
     mode: str = "append",
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Run a stream to the end of its input into a scratch table and return the table."""
+    """Run a stream to the end of its input into a scratch table and return the table.
+
+    With ``key``, later batches replace the rows of their keys, as update mode means them to.
+    """
     folder = scratch_folder(spark, name)
     run_available(stream, batch_writer(f"{folder}/out", transform), f"{folder}/checkpoint", mode).awaitTermination()
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    table = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return table if key is None else latest_rows(table, key)
+
+
+def latest_rows(table: DataFrame, key: Sequence[str], batch: str = "batch") -> DataFrame:
+    """The row of each key that the last batch holding it wrote; batches carry one row per key."""
+    rest = [c for c in table.columns if c not in (*key, batch)]
+    if not rest:
+        return table.select(*key).distinct()
+    last = table.groupBy(*key).agg(F.max_by(F.struct(*rest), batch).alias("_r"))
+    return last.select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def first_seen(stream: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -76,10 +95,28 @@ def only_unknown(known: Callable[[], DataFrame], key: Sequence[str]) -> Callable
 
 
 def nowcast_stream(
-    stream: DataFrame, forecast: Callable[[DataFrame, Sequence[int]], DataFrame] = persistence, horizons: Sequence[int] = HORIZONS
+    stream: DataFrame,
+    forecast: Callable[[DataFrame, Sequence[int]], DataFrame] = persistence,
+    horizons: Sequence[int] = HORIZONS,
+    grids: Callable[[], DataFrame] | None = None,
+    lookback_seconds: int = HISTORY_SECONDS,
 ) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """A grid stream and the batch step that turns new grids into nowcast rows."""
-    return stream, lambda batch: forecast(batch, horizons)
+    """A grid stream and the batch step that turns new grids into nowcast rows.
+
+    Methods that need history (``lagged_ensemble``, advection) get it from ``grids``, the table of
+    stored grids, back to ``lookback_seconds`` before the batch; rows come out for new grids only.
+    """
+
+    def step(batch: DataFrame) -> DataFrame:
+        if grids is None:
+            return forecast(batch, horizons)
+        since = batch.agg(F.min("valid_at").alias("_since"))
+        stored = grids().crossJoin(since).where(F.col("valid_at") >= F.col("_since") - F.make_dt_interval(secs=F.lit(lookback_seconds))).drop("_since")
+        known = stored.join(batch.select("file_key"), "file_key", "left_anti").unionByName(batch.select(*stored.columns))
+        new = batch.select(F.col("file_key").alias("source_file_key")).distinct()
+        return forecast(known, horizons).join(new, "source_file_key", "left_semi")
+
+    return stream, step
 
 
 def verify_stream(
@@ -119,25 +156,46 @@ def verify_batch(nowcast_table: Callable[[], DataFrame], seconds: int = MATCH_WI
     return lambda batch: match_forecasts(nowcast_table(), batch, seconds)
 
 
-_RULE_OUT = "rule_id string, file_key string, valid_at timestamp, value double, satisfied boolean, fired boolean"
-
+def score_batch(
+    nowcast_table: Callable[[], DataFrame], blocks: Callable[[], DataFrame], threshold: float | None = DEFAULT_THRESHOLD, seconds: int = MATCH_WINDOW_SECONDS
+) -> Callable[[DataFrame], DataFrame]:
+    """Batch step: score the stored forecasts that the new grids fall due for; keyed by forecast and observation."""
+    return lambda batch: verify(nowcast_table(), batch, blocks(), None, threshold, seconds)
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    firing = state.get[0] if state.exists else False
-    rows = pd.concat(list(batches)).sort_values(["valid_at", "file_key"])
-    before = rows["satisfied"].shift(1, fill_value=firing).astype(bool)
-    state.update((bool(rows["satisfied"].iloc[-1]),))
-    yield rows.assign(fired=rows["satisfied"] & ~before)[["rule_id", "file_key", "valid_at", "value", "satisfied", "fired"]]
 
+_RULE_OUT = "rule_id string, file_key string, valid_at timestamp, value double, satisfied boolean, fired boolean, late boolean"
 
-def rule_stream(evals: DataFrame) -> DataFrame:
-    """Edge-triggered firing with one boolean of state per rule.
 
-    A rule has one evaluation per grid, so a key holds as many rows as the batch has grids.
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    firing, upto = state.get if state.exists else (None, None)
+    rows = pd.concat(list(batches)).sort_values(["valid_at", "file_key"])
+    if firing is None:
+        firing = bool(rows["seed"].iloc[0])
+    late = rows["valid_at"] < upto if upto is not None else pd.Series(False, index=rows.index)
+    due = rows["satisfied"].where(~late)
+    current = due[~late].astype(bool)
+    before = current.shift(1, fill_value=firing).astype(bool)
+    fired = (current & ~before).reindex(rows.index, fill_value=False)
+    if len(current):
+        state.update((bool(current.iloc[-1]), rows["valid_at"].max()))
+    yield rows.assign(fired=fired, late=late)[["rule_id", "file_key", "valid_at", "value", "satisfied", "fired", "late"]]
+
+
+def rule_stream(evals: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Edge-triggered firing with a boolean and a time of state per rule.
+
+    A rule's first evaluation is compared with ``state`` (rule_id, currently_firing), what is stored
+    from earlier runs.  An evaluation older than one that an earlier batch brought is ``late``: it is
+    reported, but neither fires nor changes the state.  A rule has one evaluation per grid, so a key
+    holds as many rows as the batch has grids.
     """
     slim = evals.select("rule_id", "file_key", "valid_at", "value", "satisfied")
-    return slim.groupBy("rule_id").applyInPandasWithState(
-        _advance, _RULE_OUT, "firing boolean", "append", GroupStateTimeout.NoTimeout
+    if state is None:
+        seeded = slim.withColumn("seed", F.lit(False))
+    else:
+        seeded = slim.join(state.select("rule_id", F.coalesce("currently_firing", F.lit(False)).alias("seed")), "rule_id", "left")
+    return seeded.withColumn("seed", F.coalesce("seed", F.lit(False))).groupBy("rule_id").applyInPandasWithState(
+        _advance, _RULE_OUT, "firing boolean, upto timestamp", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -150,34 +208,32 @@ def conflate(batch: DataFrame, by: Sequence[str], arrival: str) -> DataFrame:
     return newest_row.select(*by, *[F.col("_r")[c].alias(c) for c in payload], "superseded")
 
 
+def merge_conflated(parts: DataFrame, by: Sequence[str], arrival: str) -> DataFrame:
+    """What ``conflate`` gave for several batches, as if it had seen them as one."""
+    payload = [c for c in parts.columns if c not in (*by, "superseded", "batch")]
+    newest_row = parts.groupBy(*by).agg(
+        F.max_by(F.struct(*payload), F.struct(arrival, *payload)).alias("_r"), (F.sum("superseded") + F.count("*") - 1).alias("superseded")
+    )
+    return newest_row.select(*by, *[F.col("_r")[c].alias(c) for c in payload], "superseded")
+
+
 def materialise_pending(
     files: Callable[[], DataFrame], grids: Callable[[], DataFrame], n: int
 ) -> Callable[[DataFrame], DataFrame]:
-    """Batch step: any event asks for all pending work, newest first."""
+    """Batch step: any event asks for the ``n`` newest pending files.  Keyed by file, as later batches may ask again."""
 
     def step(batch: DataFrame) -> DataFrame:
-        pending = newest(unmaterialised(files(), grids()), "valid_at", n, CATALOG_MAX)
+        pending = unmaterialised_files(files(), grids(), n)
         return pending if not batch.isEmpty() else pending.limit(0)
 
     return step
 
 
 def calibration_series_stream(verifications: DataFrame, bucket_seconds: int = 3600, delay: str = "1 hour") -> DataFrame:
-    """Running weighted scores per algorithm, lead time and tumbling bucket."""
+    """Running weighted scores per algorithm, lead time and tumbling bucket, the columns of the batch series."""
     bucket = F.window("verified_at", f"{bucket_seconds} seconds")
-    n = F.col("sample_count")
-    summed = (
-        verifications.withWatermark("verified_at", delay)
-        .groupBy(*GROUP, bucket.alias("bucket"))
-        .agg(
-            F.count("*").alias("verification_count"),
-            F.sum(n).alias("sample_count"),
-            *[F.sum(F.col(c) * n).alias(f"_{c}") for c in ("mae", "bias", "rmse")],
-            *[F.sum(c).alias(c) for c in ("hits", "misses", "false_alarms", "correct_negatives")],
-        )
-    )
-    means = {f"{c}_mean": F.coalesce(F.try_divide(F.col(f"_{c}"), F.col("sample_count")), F.lit(0.0)) for c in ("mae", "bias", "rmse")}
-    return summed.withColumns({"bucket_epoch": F.unix_timestamp("bucket.start"), **means}).drop("bucket", "_mae", "_bias", "_rmse")
+    summed = verifications.withWatermark("verified_at", delay).groupBy(*GROUP, bucket.alias("bucket")).agg(*series_aggregates())
+    return pod_far_csi(summed.withColumn("bucket_epoch", F.unix_timestamp("bucket.start"))).drop("bucket")
 
 
 def recent_feed_batch(path: str, n: int, ts: str = "created_at", key: str = "id") -> BatchFn:
