@@ -121,12 +121,12 @@ def list_deliveries(t: Tables) -> DataFrame:
     "failing_subscriptions",
     """SELECT subscription_id, epoch_us(max(created_at)) AS last_failed_at FROM (
          SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY created_at DESC, id DESC) AS rn
-         FROM deliveries WHERE status IN ('ok', 'failed')) WHERE rn <= 2
-       GROUP BY subscription_id HAVING count(*) = 2 AND bool_and(status = 'failed')""",
+         FROM deliveries WHERE status IN ('ok', 'failed')) WHERE rn <= 5
+       GROUP BY subscription_id HAVING count(*) = 5 AND bool_and(status = 'failed')""",
     ("deliveries",),
 )
 def failing_subscriptions(t: Tables) -> DataFrame:
-    return rules.failing_subscriptions(t.deliveries(), 2).select("subscription_id", micros("last_failed_at"))
+    return rules.failing_subscriptions(t.deliveries()).select("subscription_id", micros("last_failed_at"))
 
 
 _STATUS = """CASE WHEN response_status BETWEEN 200 AND 299 THEN 'ok' WHEN response_status BETWEEN 400 AND 499 THEN 'failed'

@@ -118,15 +118,16 @@ class Tables:
     # --- probes ----------------------------------------------------------------------------
 
     def points(self) -> DataFrame:
-        """Probes in and around the grid; every fifth longitude is given in [0, 360)."""
-        e = F.col("event_id")
+        """Probes in and around the grid, over all frames and some time beyond; every fifth longitude is given in [0, 360)."""
+        e, frames = F.col("event_id"), F.col("_frames")
+        count = self.base("embeddings").agg((F.max("vec_id") + 1).alias("_frames"))
         lng = F.lit(-100.125) + (e % 140) / F.lit(64.0)
-        return self.base("events").select(
+        return self.base("events").crossJoin(count).select(
             e.alias("point_id"),
             text("P", e % 3).alias("product"),
             F.lit(LEVEL).alias("level"),
-            at_epoch(F.lit(EPOCH0 - 300) + (e * 37) % 40000).alias("at_time"),
-            text("frame-", F.lpad((e % 500).cast("string"), 6, "0")).alias("frame"),
+            at_epoch(F.lit(EPOCH0 - 300) + (e * 37) % (frames * (CADENCE // 2) + 10000)).alias("at_time"),
+            text("frame-", F.lpad((e % frames).cast("string"), 6, "0")).alias("frame"),
             (F.lit(29.875) + (F.col("user_id") % 130) / F.lit(64.0)).alias("latitude"),
             F.when(e % 5 == 0, lng + 360.0).otherwise(lng).alias("longitude"),
         )

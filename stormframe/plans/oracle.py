@@ -18,11 +18,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM grids, range(64) AS t(i)"""),
     "points": ((), """
         SELECT event_id AS point_id, 'P' || (event_id % 3) AS product,
-               1704067200 - 300 + (event_id * 37) % 40000 AS at_epoch,
-               'frame-' || lpad(CAST(event_id % 500 AS VARCHAR), 6, '0') AS frame,
+               1704067200 - 300 + (event_id * 37) % (n * 60 + 10000) AS at_epoch,
+               'frame-' || lpad(CAST(event_id % n AS VARCHAR), 6, '0') AS frame,
                29.875::DOUBLE + (user_id % 130) / 64.0::DOUBLE AS latitude,
                -100.125::DOUBLE + (event_id % 140) / 64.0::DOUBLE AS signed_lng
-        FROM events"""),
+        FROM events, (SELECT max(vec_id) + 1 AS n FROM embeddings)"""),
     "alerts": ((), """
         SELECT o_orderkey AS k, 'A' || o_orderkey AS id, 'Storm ' || o_orderstatus AS event,
                CASE WHEN o_orderkey % 5 <> 0 THEN 'Headline ' || o_orderkey END AS headline,

@@ -295,12 +295,12 @@ def tile_pixel_centres(t: Tables) -> DataFrame:
     """SELECT file_key, row_i, col_i, round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) + 0 AS value FROM cells, (
          SELECT 28 / 128.0::DOUBLE * 360 - 180 AS w, 29 / 128.0::DOUBLE * 360 - 180 AS e,
                 degrees(atan(sinh(pi() * (1 - 2 * 53 / 128.0::DOUBLE)))) AS s, degrees(atan(sinh(pi() * (1 - 2 * 52 / 128.0::DOUBLE)))) AS n)
-       WHERE col_i BETWEEN ceil((w + 100) / 0.25::DOUBLE) - 1 AND floor((e + 100) / 0.25::DOUBLE) + 1
-         AND row_i BETWEEN ceil((s - 30) / 0.25::DOUBLE) - 1 AND floor((n - 30) / 0.25::DOUBLE) + 1""",
+       WHERE col_i BETWEEN ceil((w + 100) / 0.25::DOUBLE) - 8 AND floor((e + 100) / 0.25::DOUBLE) + 8
+         AND row_i BETWEEN ceil((s - 30) / 0.25::DOUBLE) - 8 AND floor((n - 30) / 0.25::DOUBLE) + 8""",
     ("cells",),
 )
 def clip_to_tile(t: Tables) -> DataFrame:
-    cells = tiles.clip_to_tile(t.blocks(), t.grids(), 7, 28, 52, margin=1)
+    cells = tiles.clip_to_tile(t.blocks(), t.grids(), 7, 28, 52)
     return cells.select("file_key", big("row_i"), big("col_i"), rounded("value"))
 
 
