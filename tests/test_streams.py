@@ -59,3 +59,36 @@ def test_conflation_counts_what_it_skips(spark):
     batch = spark.createDataFrame(rows, "product string, file_key string, arrived timestamp")
     got = {r["product"]: (r.file_key, r.superseded) for r in jobs.conflate(batch, ["product"], "arrived").collect()}
     assert got == {"P": ("f3", 3), "Q": ("g", 0)}
+
+
+def test_update_mode_over_many_batches_leaves_one_row_per_bucket(spark, tmp_path):
+    rows = [("a", 10, START, n, 1.0 * n, 0.0, 1.0, 1, 2, 3, 4, 35.0, None, None, None) for n in (1, 3)]
+    schema = (
+        "algorithm string, horizon int, verified_at timestamp, sample_count bigint, mae double, bias double, rmse double, hits bigint, misses bigint, "
+        "false_alarms bigint, correct_negatives bigint, threshold_dbz double, ensemble_size int, brier_score double, crps double"
+    )
+    df = spark.createDataFrame(rows, schema)
+    for n in (1, 3):
+        arrive(df.where(F.col("sample_count") == n), tmp_path / "in", f"s{n}")
+    running = jobs.calibration_series_stream(source(spark, df, tmp_path / "in"))
+    got = jobs.drain(spark, running, "series", mode="update", key=["algorithm", "horizon", "bucket_epoch"]).collect()
+    assert [(r.verification_count, r.sample_count, r.mae_mean, r.hits) for r in got] == [(2, 4, 2.5, 2)]
+
+
+def test_conflation_over_batches_equals_one_batch(spark):
+    rows = [("P", f"f{i}", at(i)) for i in range(4)] + [("Q", "g", at(0))]
+    df = spark.createDataFrame(rows, "product string, file_key string, arrived timestamp")
+    parts = [jobs.conflate(df.where(F.col("file_key").isin(k)), ["product"], "arrived").withColumn("batch", F.lit(n)) for n, k in enumerate((["f0", "f2"], ["f1", "f3", "g"]))]
+    got = jobs.merge_conflated(parts[0].union(parts[1]), ["product"], "arrived")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.conflate(df, ["product"], "arrived").select(*got.columns).collect()))
+
+
+def test_rules_start_from_their_stored_state_and_late_grids_do_not_fire(spark, tmp_path):
+    rows = [("a", "f1", at(1), 1.0, True, None), ("a", "f3", at(3), 1.0, False, None), ("a", "f2", at(2), 1.0, True, None), ("a", "f4", at(4), 1.0, True, None)]
+    df = spark.createDataFrame(rows, EVALS)
+    state = spark.createDataFrame([("a", True)], "rule_id string, currently_firing boolean")
+    for step in (["f1", "f3"], ["f2", "f4"]):
+        arrive(df.where(F.col("file_key").isin(step)), tmp_path / "in", step[0])
+        run(jobs.rule_stream(source(spark, df, tmp_path / "in"), state), tmp_path / "out", tmp_path / "checkpoint")
+    got = {r.file_key: (r.fired, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"f1": (False, False), "f3": (False, False), "f2": (False, True), "f4": (True, False)}

@@ -184,3 +184,22 @@ def test_stored_days_are_replaced_whole(spark, tmp_path):
     got = {r.file_key: r.values_ for r in stored.read_blocks(spark, path).withColumnRenamed("values", "values_").collect()}
     assert got["a"][0] == 1.0 and got["b"][0] == 7.0
     assert stored.read_blocks(spark, path).where("level = '00.50'").count() == 2
+
+
+def test_a_listed_folder_becomes_a_catalog(spark, tmp_path):
+    name = "CONUS/MergedReflectivityComposite_00.50/20240101/MRMS_MergedReflectivityComposite_00.50_20240101-120000.grib2.gz"
+    for key in (name, "CONUS/readme.txt"):
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_bytes(b"12345")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        listing = stored.list_objects(spark, root)
+        assert {r.key for r in listing.collect()} == {name, "CONUS/readme.txt"}
+        rows = stored.usable(stored.read_file_catalog(listing)).collect()
+        assert [(r.file_key, r["product"], r.level, r.size_bytes) for r in rows] == [(name, "MergedReflectivityComposite", "00.50", 5)]
+
+
+def test_the_work_queue_is_no_page(spark):
+    files = spark.createDataFrame([(f"f{i:04d}", START) for i in range(600)], "file_key string, valid_at timestamp")
+    none = spark.createDataFrame([], "file_key string")
+    assert catalog.unmaterialised_files(files, none, 550).count() == 550
+    assert catalog.unmaterialised_files(files, none, 0).count() == 0
