@@ -270,7 +270,8 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int
     first = np.flatnonzero(new)
     closed = np.concatenate([np.flatnonzero(~inside), [starts]])
     stop = np.minimum(np.concatenate([first[1:], [starts]]), closed[np.searchsorted(closed, first)])
-    return first, stop - first, piece[first], h[place[first]]
+    # Least hashes are small numbers; mixed once more, an anchor's bits are even again.
+    return first, stop - first, piece[first], mix(h[place[first]])
 
 
 def pieces(texts: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
