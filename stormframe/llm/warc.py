@@ -38,33 +38,39 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(bare, r"^[^/?:]*", ""))
 
 
-def captures(pages: DataFrame, first: int = FIRST_CAPTURE) -> DataFrame:
-    """Pages as captures: key, time, payload, digest, and whether an earlier one (by id) holds the payload.
+def captures(pages: DataFrame, first: int = FIRST_CAPTURE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Pages as captures: key, time, payload, digest, and the page of smallest id that holds the payload already.
+
+    Partitions hold about ``archive_bytes`` each (a longer payload is not cut).
 
     A null html is an empty payload; a null url an empty one.  Repeated rows of the response's id are
     responses too; rows without id always are.
     """
     payload = F.coalesce("html", F.lit(""))
-    base = pages.select(
-        "page_id",
-        F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"),
-        payload.alias("payload"),
+    page = (
+        F.col("page_id"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"),
     )
-    base = base.withColumns(
-        {
-            "urlkey": url_key(F.col("url")),
-            "captured_at": F.date_format(F.timestamp_seconds(F.lit(first) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        }
-    )
-    long = F.col("payload_bytes") >= REVISIT_BYTES
+    marks = pages.select(*page).where(F.col("payload_bytes") >= REVISIT_BYTES)
     # One row per digest that occurs twice; a digest of very many pages is summed up in the map tasks,
-    # and adaptive execution splits its side of the join.
-    first_of = base.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = base.join(first_of, "payload_digest", "left")
-    again = F.col("first_id").isNotNull() & (F.col("page_id") != F.col("first_id")) & long
-    return told.withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    # and adaptive execution splits its side of the join.  Payloads stay out of it.
+    first_of = marks.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = marks.join(first_of, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    total = marks.agg(F.sum("payload_bytes"), F.count("*")).first()
+    archives = max(1, -(-((total[0] or 0) + 600 * total[1]) // archive_bytes))
+    base = pages.select(*page, F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), payload.alias("payload"))
+    # Payloads move once: an archive is a partition of this join.
+    return (
+        base.repartition(archives, "page_id", "payload_digest")
+        .join(again, ["page_id", "payload_digest"], "left")
+        .withColumns(
+            {
+                "urlkey": url_key(F.col("url")),
+                "captured_at": F.date_format(F.timestamp_seconds(F.lit(first) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            }
+        )
+    )
 
 
 def records(captured: DataFrame) -> Column:
@@ -98,11 +104,9 @@ def records(captured: DataFrame) -> Column:
     )
 
 
-def write_archives(captured: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Archives of about ``archive_bytes`` (a longer record is not cut), each sorted by URL key, time and id."""
-    total = captured.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
-    runs = captured.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("page_id", "payload_digest"))
-    runs = runs.sortWithinPartitions("urlkey", "captured_at", "page_id")
+def write_archives(captured: DataFrame, path: str) -> None:
+    """One archive per partition, sorted by URL key, time and id."""
+    runs = captured.sortWithinPartitions("urlkey", "captured_at", "page_id")
     # Two line ends close a record, so a text file with that line separator is a WARC file.
     runs.select(records(runs).alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
 
@@ -230,5 +234,5 @@ def merge_runs(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 def capture_index(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to archives under ``path``, read them back, and merge their index."""
-    write_archives(written(captures(pages), "captures"), path, archive_bytes)
+    write_archives(captures(pages, archive_bytes=archive_bytes), path)
     return merge_runs(written(read_archives(pages.sparkSession, path), "index"), range_rows)
