@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: its lineage ends there."""
+    """``df`` as a table in the shared folder, read back: its lineage ends there.
+
+    What only earlier tables were made from is garbage then; the driver collects it at once, for
+    Spark removes shuffle files only when their plans are collected.
+    """
     path = scratch(df.sparkSession, name)
+    df.sparkSession._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -158,15 +163,14 @@ _CHUNKS = 64
 def vector_rows(total: np.ndarray) -> pa.RecordBatch:
     """A task's vector of counts as compressed rows of 1/64 of its length."""
     part = TaskContext.get().partitionId()
-    chunks = np.array_split(total.astype(np.int64), _CHUNKS)
-    rows = [zlib.compress(c.tobytes(), 1) for c in chunks]
+    rows = [zlib.compress(c.astype(np.int64).tobytes(), 1) for c in np.array_split(total, _CHUNKS)]
     return pa.RecordBatch.from_arrays(
         [pa.array(range(_CHUNKS), pa.int32()), pa.array([part % 16] * _CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"]
     )
 
 
-def summed(vectors: DataFrame) -> np.ndarray:
-    """The sum of all tasks' vectors, added up chunk by chunk in two steps; only the sum comes to the driver."""
+def summed(vectors: DataFrame, finish: Callable[[np.ndarray], np.ndarray] = lambda counts: counts) -> np.ndarray:
+    """The sum of all tasks' vectors, added up chunk by chunk in two steps; only the sum, after ``finish``, comes together on the driver."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.int64(0)
@@ -174,5 +178,7 @@ def summed(vectors: DataFrame) -> np.ndarray:
             total = total + np.frombuffer(zlib.decompress(c), np.int64)
         return pa.table({"chunk": table["chunk"][:1], "part": table["part"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    sums = vectors.groupBy("chunk", "part").applyInArrow(add, VECTOR).groupBy("chunk").applyInArrow(add, VECTOR).toArrow().to_pylist()
-    return np.concatenate([np.frombuffer(zlib.decompress(c["counts"]), np.int64) for c in sorted(sums, key=lambda c: c["chunk"])]) if sums else np.zeros(0, np.int64)
+    sums = vectors.groupBy("chunk", "part").applyInArrow(add, VECTOR).groupBy("chunk").applyInArrow(add, VECTOR).toArrow()
+    order = np.argsort(sums["chunk"].to_numpy())
+    chunks = [finish(np.frombuffer(zlib.decompress(sums["counts"][int(i)].as_py()), np.int64)) for i in order]
+    return np.concatenate(chunks) if chunks else finish(np.zeros(0, np.int64))

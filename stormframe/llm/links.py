@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from stormframe.llm.common import written
 
-#: Stars are tried while the pairs left between components outnumber the entries by this, and so often at most.
-FEW_PAIRS, MOST_STARS = 2, 6
+#: Stars are tried while the pairs left between components outnumber the entries by this, so often at
+#: most, and while at least this share of what they try links.
+FEW_PAIRS, MOST_STARS, FRUITFUL = 2, 4, 0.25
 
 
 
@@ -65,12 +66,14 @@ def grouped_components(
     carried: tuple[str, ...],
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    enough: Callable[[Column, Callable[[str], Column], Callable[[str], Column]], Column] = lambda shared, a, b: shared > 0,
 ) -> DataFrame:
     """``(key, label)`` of every key that links with another; label is the smallest key it reaches.
 
     ``entries(token, group, *carried)`` hold tokens that at least two groups share; ``members(key,
     group, head)`` the keys.  ``may_link(a, b)`` says of two entries of one token whether their groups
-    can link at all, and ``verify(pairs(a, b))`` keeps the pairs of keys that do.
+    can link at all, ``enough(shared, a, b)`` whether two groups can that share so many tokens, and
+    ``verify(pairs(a, b))`` keeps the pairs of keys that do.
     """
     links = tested = labels = None
 
@@ -81,20 +84,22 @@ def grouped_components(
         return frame.join(of, key, "left").withColumn("label", F.coalesce("_c", key)).drop("_c")
 
     def try_pairs(pairs: DataFrame) -> bool:
-        """Verify new pairs; join what links.  False if there were none."""
+        """Verify new pairs; join what links.  False if few of them did."""
         nonlocal links, tested, labels
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             return False
         tested = pairs if tested is None else tested.union(pairs)
         new = written(verify(pairs), "links")
-        if not new.isEmpty():
+        linked = new.count()
+        if linked:
             links = new if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
             labels = written(components(links, "labels"), "labels")
-        return True
+        return linked >= FRUITFUL * count
 
     def here(name: str) -> Column:
         return F.col(name)
@@ -112,7 +117,9 @@ def grouped_components(
         hubs = placed.groupBy("token").agg(hub, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "hub")
         near = placed.join(hubs, "token").where((F.col("label") != F.col("hub.label")) & may_link(here, lambda c: F.col(f"hub.{c}")))
         # Of the hubs that a group meets, that with which it shares most.
-        met = near.groupBy("head", F.col("hub.head").alias("other")).agg(F.count("*").alias("c"))
+        own, others = [F.first(c).alias(c) for c in carried], [F.first(f"hub.{c}").alias(f"{c}2") for c in carried]
+        met = near.groupBy("head", F.col("hub.head").alias("other")).agg(F.count("*").alias("c"), *own, *others)
+        met = met.where(enough(F.col("c"), here, lambda c: F.col(f"{c}2")))
         best = met.groupBy("head").agg(F.max(F.struct("c", "other")).alias("m")).select(F.col("head").alias("a"), F.col("m.other").alias("b"))
         if not try_pairs(best):
             break
@@ -123,7 +130,12 @@ def grouped_components(
     placed = placed.join(open_tokens, "token")
     other = placed.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "lo", "hi", *carried)))
     apart = (F.col("group") < F.col("group2")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))
-    met = placed.join(other, "token").where(apart & may_link(here, lambda c: F.col(f"{c}2"))).select("group", "group2").distinct()
+    def there(name: str) -> Column:
+        return F.col(f"{name}2")
+
+    met = placed.join(other, "token").where(apart & may_link(here, there)).groupBy("group", "group2")
+    met = met.agg(F.count("*").alias("c"), *(F.first(x).alias(x) for c in carried for x in (c, f"{c}2")))
+    met = met.where(enough(F.col("c"), here, there)).select("group", "group2")
     mine = state.select("group", F.col("key").alias("a"), F.col("label").alias("la"))
     theirs = state.select(F.col("group").alias("group2"), F.col("key").alias("b"), F.col("label").alias("lb"))
     across = met.join(mine, "group").join(theirs, "group2").where("la <> lb").select("a", "b")

@@ -3,12 +3,13 @@
 A text's set holds the hashes of its distinct 4-word shingles.  Under one global order (rare first),
 two sets of Jaccard similarity t share an element of their prefixes.  Texts of equal sets are one
 class; classes of equal size and prefix are one group, and only groups are joined by prefix elements.
-Group pairs that pass the length and position filters are expanded to their members and verified.
+Group pairs whose sizes fit and whose prefixes share enough are expanded to their members and verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from stormframe.llm.links import grouped_components, touched_members
 SHINGLE = 4
 #: Similarity in hundredths.
 SIMILAR = 85
-#: Counters of the frequency sketch that orders shingles, and bits of the filter on wanted sets.
-SKETCH_BITS, FILTER_BITS = 20, 22
+#: Bits of the largest frequency sketch that orders shingles, and of the filter on wanted sets.
+MOST_SKETCH_BITS, FILTER_BITS = 23, 22
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -61,30 +62,43 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
             yield batch.slice(row, end - row), *shingle_sets(hashes, counts)
 
 
-def frequency_sketch(documents: DataFrame) -> np.ndarray:
-    """Counts of shingles (once per text) by the first bits of their hash: a fixed number of counters, at any size."""
+def sketch_bits(documents: DataFrame) -> int:
+    """Counters for one in fifteen shingles or so, between 2**16 and 2**MOST_SKETCH_BITS."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    return min(max(16, (size // 128).bit_length()), MOST_SKETCH_BITS)
+
+
+def frequency_ranks(documents: DataFrame, bits: int) -> np.ndarray:
+    """The rank of shingles by the first bits of their hash: a thousand times the binary logarithm of their count.
+
+    Counts are of texts, in 2**bits counters; the rank orders elements, rare ones first, and decides
+    nothing else.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for _, s, _ in _each(batches):
-            total += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            at, n = np.unique(s >> np.uint64(64 - bits), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.int32)
         yield vector_rows(total)
 
-    counts = summed(documents.select("text").mapInArrow(count, VECTOR))
-    return counts if len(counts) else np.zeros(1 << SKETCH_BITS, np.int64)
+    def rank(counts: np.ndarray) -> np.ndarray:
+        return np.floor(1000 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
+
+    ranks = summed(documents.select("text").mapInArrow(count, VECTOR), rank)
+    return ranks if len(ranks) else np.zeros(1 << bits, np.uint16)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return n + (-SIMILAR * n // 100) + 1
 
 
-def prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
+def prefixes(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
     """``(doc_id, key, n, group, prefix)`` per row: the set's key and size, its group, and its rarest elements.
 
     Keys are 64-bit hashes of sets.  A task gives the prefix only with the first row of each group.
     """
-    # Doubling counts are a thousand steps apart; 16 bits hold any count.
-    rank = np.floor(1000 * np.log2(np.maximum(sketch, 1))).astype(np.uint64)
+    bits = len(ranks).bit_length() - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -96,7 +110,8 @@ def prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
             if len(s):
                 sums[some] = np.add.reduceat(mix(s + np.uint64(0x2545F4914F6CDD1D)), first[some])
             key = mix(sums + n.astype(np.uint64) * _K[0])
-            order = np.lexsort(((rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16)), doc))
+            rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+            order = np.lexsort((rank << np.uint64(48) | s >> np.uint64(16), doc))
             size = np.where(some, prefix_size(n), 0)
             inside = np.arange(len(s)) - first[doc] < size[doc]
             chosen = s[order][inside]
@@ -173,24 +188,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def _may_link(n: Column, at: Column, m: Column, other: Column) -> Column:
-    """Length and position filters for sizes ``n``, ``m`` and a common element's places."""
-    reach = F.least(n - at, m - other)
-    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & ((100 + SIMILAR) * reach >= SIMILAR * (n + m))
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+
+
+def _prefixes_agree(shared: Column, n: Column, m: Column) -> Column:
+    """Can two sets link whose prefixes share so many elements?
+
+    Of the prefix that ends first in the global order, every common element is in the other prefix
+    too; beyond it, no more can be common than the rest of its set.
+    """
+
+    def rest(size: Column) -> Column:
+        return -F.floor(-SIMILAR * size / 100) - 1
+
+    return (100 + SIMILAR) * (shared + F.greatest(rest(n), rest(m))) >= SIMILAR * (n + m)
 
 
 def class_components(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """``(key, label)`` of every class that links with another; label is the smallest key it reaches."""
     groups = rows.where("prefix IS NOT NULL").groupBy("group").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     members = rows.where("n > 0").select("key", "group").distinct()
-    entries = groups.select("group", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = groups.select("group", "n", F.explode("prefix").alias("token"))
     # One exchange by token serves both the count and the join.
     entries = entries.repartition("token")
     shared = entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     entries = written(entries.join(shared, "token"), "entries")
     members = touched_members(members, entries)
-    sets = written(wanted_sets(documents, members.select("key").distinct()), "sets")
-    return grouped_components(entries, members, ("n", "at"), lambda a, b: _may_link(a("n"), a("at"), b("n"), b("at")), lambda pairs: verified(pairs, sets))
+    sets: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Sets are made for the keys of pairs alone, when the first pair needs them."""
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        for made in sets:
+            keys = keys.join(made.select("key"), "key", "left_anti")
+        keys = written(keys, "wanted")
+        if not keys.isEmpty():
+            sets.append(written(wanted_sets(documents, keys), "sets"))
+        return verified(pairs, reduce(DataFrame.union, sets))
+
+    return grouped_components(
+        entries,
+        members,
+        ("n",),
+        lambda a, b: _sizes_fit(a("n"), b("n")),
+        verify,
+        lambda shared, a, b: _prefixes_agree(shared, a("n"), b("n")),
+    )
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -200,7 +244,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     (null, empty, blanks) have no shingles and link with nothing.  Repeated rows link with each other;
     a row without id links as any other, and its component's id is null only where no member has one.
     """
-    rows = written(prefixes(documents, frequency_sketch(documents)), "prefixes")
+    rows = written(prefixes(documents, frequency_ranks(documents, sketch_bits(documents))), "prefixes")
     labels = class_components(documents, rows)
     placed = rows.select("doc_id", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
