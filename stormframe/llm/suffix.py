@@ -20,12 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import PASS_BYTES, as_binary, mix, text_batches, written
+from stormframe.llm.common import as_binary, mix, text_batches, written
 
 LENGTH = 400
 GRAM = 32
 #: Bits of the filter on anchors that occur twice, and bytes of distinct fragments of one shard, about.
-FILTER_BITS, SHARD_BYTES = 26, 4_000_000
+FILTER_BITS, SHARD_BYTES = 26, 1_500_000
+#: Bytes of distinct fragments of one anchor up to which they are sorted together, and strings of a
+#: more common anchor that are compared in one task, about.
+ANCHOR_BYTES, TASK_STRINGS = 750_000, 2_000_000
+#: Bytes of text that one numpy pass works on; longer texts are cut, their strings overlapping.
+PIECE_BYTES = 2_000_000
 CHUNKS = 64
 
 _rng = np.random.Generator(np.random.PCG64(606))
@@ -85,7 +90,7 @@ def _induce(t: np.ndarray, larger: np.ndarray, seeds: np.ndarray, sigma: int) ->
     sizes = np.bincount(t, minlength=sigma)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     by_symbol = np.argsort(t[seeds], kind="stable")
     seeds = seeds[by_symbol]
     seed_edges = np.searchsorted(t[seeds], np.arange(sigma + 1))
@@ -202,7 +207,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     position before; only the other positions are measured.
     """
     n = len(t)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     i = np.arange(n)
     same = (i > 0) & (before > 0) & (t[i - 1] == t[np.maximum(before, 1) - 1])
@@ -275,7 +280,7 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int
 
 
 def pieces(texts: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(data, edges, rows, offsets)``: texts side by side, about ``PASS_BYTES`` at a time; longer ones are cut, their strings overlapping."""
+    """``(data, edges, rows, offsets)``: texts side by side, about ``PIECE_BYTES`` at a time; longer ones are cut, their strings overlapping."""
     texts = as_binary(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -284,9 +289,9 @@ def pieces(texts: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray,
     held = 0
     for row in range(len(texts)):
         lo, hi = int(offsets[row]), int(offsets[row + 1])
-        for at in range(lo, max(lo, hi - length + 1), PASS_BYTES):
-            end = min(hi, at + PASS_BYTES + length - 1)
-            if held and held + end - at > PASS_BYTES + length:
+        for at in range(lo, max(lo, hi - length + 1), PIECE_BYTES):
+            end = min(hi, at + PIECE_BYTES + length - 1)
+            if held and held + end - at > PIECE_BYTES + length:
                 yield _joined(data, parts, offsets)
                 parts, held = [], 0
             parts.append((row, at, end))
@@ -381,7 +386,8 @@ def repeats_in_shards(made: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFr
     """``(digest, starts, ends)`` of every fragment with repeated starts, as ranges relative to its first one.
 
     Copies of one fragment are one string with a count.  The strings of anchors that have several
-    distinct ones are dealt to shards of about ``shard_bytes`` and sorted there.
+    distinct ones are dealt to shards of about ``shard_bytes`` and sorted there; an anchor of very many
+    (a line that a third of all texts hold, in other surroundings each time) is dealt string by string.
     """
     counts = made.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
     per = counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + LENGTH).alias("bytes"))
@@ -391,11 +397,11 @@ def repeats_in_shards(made: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFr
         "digest", F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("ends")
     )
     mixed = counts.where("kinds > 1")
-    total = mixed.agg(F.sum(F.col("n") + LENGTH)).first()[0]
-    if not total:
-        return copied
-    shards = -(-total // shard_bytes)
-    bodies = made.where("body IS NOT NULL").select("anchor", "digest", "body").join(mixed.select("anchor").distinct(), "anchor", "left_semi")
+    common = F.col("bytes") > ANCHOR_BYTES
+    total = mixed.agg(F.sum(F.when(~common, F.col("n") + LENGTH)).alias("bytes"), F.sum(F.when(common, F.col("n"))).alias("strings")).first()
+    shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
+    bodies = made.where("body IS NOT NULL").select("anchor", "digest", "body")
+    bodies = bodies.join(mixed.select("anchor", common.alias("common")).distinct(), "anchor")
 
     def sort(table: pa.Table) -> pa.Table:
         distinct = dict(zip(table["digest"].to_pylist(), table["body"].to_pylist(), strict=True))
@@ -411,12 +417,70 @@ def repeats_in_shards(made: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFr
         kinds = {"digest": pa.binary(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
-    dealt = bodies.withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    dealt = bodies.where("NOT common").select(F.pmod("anchor", F.lit(shards)).alias("shard"), "digest", "body")
     found = dealt.groupBy("shard").applyInArrow(sort, "digest binary, starts array<int>, ends array<int>")
+    if total["strings"]:
+        found = found.union(repeats_one_by_one(bodies.where("common").select("digest", "body"), -(-total["strings"] // TASK_STRINGS)))
     # A copied fragment is repeated as a whole, whatever else it shares.
     return copied.union(found.join(copied.select("digest"), "digest", "left_anti"))
 
 
+def repeats_one_by_one(bodies: DataFrame, parts: int) -> DataFrame:
+    """``(digest, starts, ends)`` as above, of fragments too many to be sorted together.
+
+    Every string goes, as a 64-bit hash, to the task of that hash; hashes that two places share come
+    back to their fragments.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owner, place, digests = [], [], [], batch.column("digest").to_pylist()
+            for k, body in enumerate(batch.column("body").to_pylist()):
+                data = np.frombuffer(zlib.decompress(body), np.uint8)
+                at = np.arange(len(data) - LENGTH + 1)
+                hashes.append(mix(Hashes(data).of(at, at + LENGTH)))
+                owner.append(np.full(len(at), k, np.int32))
+                place.append(at.astype(np.int32))
+            if not hashes:
+                continue
+            h, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+            part = (h % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[p] : edges[p + 1]]
+                used, local = np.unique(owner[own], return_inverse=True)
+                columns = [[p], [h[own].tobytes()], [local.astype(np.int32).tobytes()], [place[own].tobytes()], [b"".join(digests[u] for u in used)]]
+                kinds = [pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "h", "owner", "place", "digests"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        h, owner, place = [], [], []
+        for hs, own, at, ds in zip(*(table[c].to_pylist() for c in ("h", "owner", "place", "digests")), strict=True):
+            numbers = np.array([number.setdefault(ds[i : i + 16], len(number)) for i in range(0, len(ds), 16)])
+            h.append(np.frombuffer(hs, np.uint64))
+            owner.append(numbers[np.frombuffer(own, np.int32)])
+            place.append(np.frombuffer(at, np.int32))
+        h, owner, place = np.concatenate(h), np.concatenate(owner), np.concatenate(place)
+        # A fragment that several tasks sent counts once.
+        order = np.lexsort((place, owner, h))
+        h, owner, place = h[order], owner[order], place[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+        h, owner, place = h[new], owner[new], place[new]
+        twice = np.zeros(len(h), bool)
+        twice[1:] = h[1:] == h[:-1]
+        twice[:-1] |= twice[1:]
+        digests = list(number)
+        return pa.table({"digest": pa.array([digests[i] for i in owner[twice]], pa.binary()), "place": pa.array(place[twice], pa.int32())})
+
+    dealt = bodies.mapInArrow(deal, "part int, h binary, owner binary, place binary, digests binary")
+    hit = dealt.groupBy("part").applyInArrow(compare, "digest binary, place int")
+    per = hit.groupBy("digest").agg(F.sort_array(F.collect_set("place")).alias("starts"))
+    return per.select("digest", "starts", F.transform("starts", lambda i: i + 1).alias("ends"))
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``documents(doc_id, text)``.
 
