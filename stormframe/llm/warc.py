@@ -7,6 +7,7 @@ one range of keys per task, into globally ordered capture histories.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -105,10 +106,10 @@ def records(captured: DataFrame) -> Column:
 
 
 def write_archives(captured: DataFrame, path: str) -> None:
-    """One archive per partition, sorted by URL key, time and id."""
+    """One compressed archive per partition, sorted by URL key, time and id; offsets count in what is decompressed."""
     runs = captured.sortWithinPartitions("urlkey", "captured_at", "page_id")
     # Two line ends close a record, so a text file with that line separator is a WARC file.
-    runs.select(records(runs).alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    runs.select(records(runs).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse(archive: str, data: bytes) -> Iterator[dict]:
@@ -153,7 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in INDEX.split(", ") if not f.startswith("urlkey")])
         for batch in batches:
             for i in range(batch.num_rows):
-                found = list(parse(batch.column("path")[i].as_py(), batch.column("content")[i].as_py()))
+                found = list(parse(batch.column("path")[i].as_py(), gzip.decompress(batch.column("content")[i].as_py())))
                 yield pa.RecordBatch.from_pylist(found, schema)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
