@@ -49,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 #: Words are maximal runs of bytes other than these; A-Z are folded to a-z.
 SEPARATORS = b" \t\n\v\f\r"
 #: Bytes of text that one numpy pass works on; longer texts are cut between words.
-PASS_BYTES = 4_000_000
+PASS_BYTES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
