@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import gzip
 import hashlib
 import os
 import random
@@ -51,7 +52,7 @@ def test_archives_round_trip_in_global_order(spark):
     order = [(r.urlkey, r.captured_at, -1 if r.page_id is None else r.page_id) for r in got]
     assert order == sorted(order) and len({r.archive for r in got}) > 1
     r = next(r for r in got if r.record_type == "response" and r.payload_bytes > 100)
-    with open(r.archive.removeprefix("file:"), "rb") as file:
+    with gzip.open(r.archive.removeprefix("file:"), "rb") as file:
         file.seek(r.record_offset)
         record = file.read(r.record_length)
     assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")

@@ -88,7 +88,9 @@ def test_suffix_arrays_and_common_prefixes(symbols):
             assert common[b] == same
 
 
-def test_repeats_against_counting(spark, docs):
+@pytest.mark.parametrize("together", [750_000, 0])
+def test_repeats_against_counting(spark, docs, monkeypatch, together):
+    monkeypatch.setattr(suffix, "ANCHOR_BYTES", together)
     rng = random.Random(9)
     passage = sentence(rng, 120)
     rows = [(i, sentence(rng, rng.randrange(5, 300))) for i in range(20)]
@@ -99,7 +101,7 @@ def test_repeats_against_counting(spark, docs):
 
 
 def test_repeats_of_odd_rows_and_long_texts(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix, "PASS_BYTES", 1500)
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 1500)
     rng = random.Random(2)
     long = sentence(rng, 2000)
     rows = [(1, long), (2, long[3000:5000] + sentence(rng, 100)), *((i + 10 if i else None, t) for i, t in EDGES if i != 7)]
