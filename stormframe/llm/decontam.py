@@ -4,7 +4,7 @@ Texts become template tokens: numbers, names (capitalised words) and units turn
 placeholders, everything else is lower-cased.  Windows of template tokens are joined by hash between
 documents and benchmark items, and a match counts only if its slots are consistent: equal values in
 the item stand where equal values stand in the document.  A question with other numbers or names is
-so found as well.
+so found as well; where a window has few literal words, the windows around it must be found too.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.llm.common import PASS_BYTES, as_binary, mix, text_batches
 
 WINDOW = 13
-#: Items with fewer template tokens than this are no template; windows with fewer literal words compare slot values too.
-LEAST_TOKENS, LITERALS = 5, 6
+#: Items with fewer template tokens than this are no template: they are found with their slot values alone.  Windows with
+#: fewer literal words count with other values only where they make up a passage of so many, or a whole item of WHOLE_LITERALS.
+LEAST_TOKENS, LITERALS, WHOLE_LITERALS = 5, 6, 2
 #: Bits of the filter that decides which windows of documents take part in the join.
 FILTER_BITS = 22
 
@@ -105,11 +106,15 @@ def _windows(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
-def window_keys(tokens: np.ndarray, kind: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """A hash per window of ``n`` tokens: of the template, and where that has few literal words, of the slots' values too."""
+def few_literals(kind: np.ndarray, n: int) -> np.ndarray:
+    """Which windows of ``n`` tokens have too few literal words to count alone with other slot values."""
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    few = literal[n:] - literal[:-n] < min(LITERALS, n - 1) if len(tokens) >= n else np.zeros(0, bool)
-    return np.where(few, _windows(np.where(kind == LITERAL, tokens, mix(value ^ tokens)), n), _windows(tokens, n))
+    return literal[n:] - literal[:-n] < min(LITERALS, n - 1)
+
+
+def window_keys(tokens: np.ndarray, kind: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """A hash per window of ``n`` tokens, of the template alone; of windows shorter than a template, of the slots' values too."""
+    return _windows(tokens if n >= LEAST_TOKENS else np.where(kind == LITERAL, tokens, mix(value ^ tokens)), n)
 
 
 def _pattern(values: list[int]) -> str:
@@ -117,13 +122,14 @@ def _pattern(values: list[int]) -> str:
     return ",".join(str(values.index(v)) for v in values)
 
 
-WINDOW_ROW = "id long, size int, key long, pattern string, at long, slots array<long>"
+WINDOW_ROW = "id long, size int, key long, pattern string, at long, slots array<long>, few boolean, literals array<long>, tokens long"
 
 
 def windows(texts: DataFrame, id_column: str, sizes: list[int] | None, known: np.ndarray | None) -> DataFrame:
     """Windows of whole texts as rows.  ``sizes`` None: one size per text, ``WINDOW`` or all its tokens.
 
-    With ``known``, sorted filter bits, only windows whose bit is among them.
+    With ``known``, sorted filter bits, only windows whose bit is among them.  ``literals`` are the
+    places of a window's literal words in its text, ``tokens`` the size of the text.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +146,10 @@ def windows(texts: DataFrame, id_column: str, sizes: list[int] | None, known: np
             tokens, kind, value, starts = template(data, breaks)
             edges = np.searchsorted(starts, breaks)
             found: list[tuple] = []
-            for n in sizes if sizes is not None else range(LEAST_TOKENS, WINDOW + 1):
+            for n in sizes if sizes is not None else range(1, WINDOW + 1):
                 if len(tokens) < n:
                     continue
-                key = window_keys(tokens, kind, value, n)
+                key, few = window_keys(tokens, kind, value, n), few_literals(kind, n)
                 hit = bits[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] if bits is not None else np.ones(len(key), bool)
                 at = np.flatnonzero(hit)
                 text = np.searchsorted(edges, at, "right") - 1
@@ -152,12 +158,14 @@ def windows(texts: DataFrame, id_column: str, sizes: list[int] | None, known: np
                     inside &= np.minimum(edges[text + 1] - edges[text], WINDOW) == n
                 for i, t in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
                     slots = value[i : i + n][kind[i : i + n] != LITERAL].view(np.int64).tolist()
-                    found.append((ids[t], n, int(key[i].view(np.int64)), _pattern(slots), i - int(edges[t]), slots))
+                    at_text = int(edges[t])
+                    literals = (np.flatnonzero(kind[i : i + n] == LITERAL) + (i - at_text)).tolist()
+                    whole = int(edges[t + 1]) - at_text
+                    found.append((ids[t], n, int(key[i].view(np.int64)), _pattern(slots), i - at_text, slots, bool(few[i]), literals, whole))
             if found:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["id", "size", "key", "pattern", "at", "slots"]
-                )
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()), pa.int64()]
+                names = ["id", "size", "key", "pattern", "at", "slots", "few", "literals", "tokens"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
     return texts.select(F.col(id_column).alias("id"), "text").mapInArrow(rows, WINDOW_ROW)
 
@@ -166,30 +174,59 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_windows, one_to_one, verbatim)`` of every document and item that share a consistent window.
 
     Within a window, slots of the document and the item must be equal to each other in the same
-    places.  ``n_windows`` counts the item's windows found in place; ``one_to_one`` says whether the
-    slots of all of them map one to one (the first and last may have grown together with what stands
-    around the passage); ``verbatim`` is false where some slot has another value.  Null and empty texts share nothing, nor do items of fewer than ``LEAST_TOKENS``
-    template tokens.  Repeated rows give one row; a null id is an id of its own.  Only the bits of
-    the filter, at most 2**FILTER_BITS, come to the driver; a large benchmark fills the filter and
-    sends more windows to the join, which decides.
+    places.  A window of few literal words counts with equal slot values, or where the windows found
+    in place with it hold ``LITERALS`` literal words together or are the whole item, which then has
+    ``WHOLE_LITERALS``, and all their slots map one to one.  Items of fewer than ``LEAST_TOKENS``
+    template tokens are found as a whole with their slot values.  ``n_windows`` counts the item's
+    windows found in place; ``one_to_one`` says whether the slots of all of them map one to one (the
+    first and last may have grown together with what stands around the passage); ``verbatim`` is
+    false where some slot has another value.  Null and empty texts share nothing.  Repeated rows give
+    one row; a null id is an id of its own.  Only the bits of the filter, at most 2**FILTER_BITS,
+    come to the driver; a large benchmark fills the filter and sends more windows to the join, which
+    decides.
     """
     items = windows(benchmark.select("item_id", "text"), "item_id", None, None).distinct()
     bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     known = items.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    found = windows(documents, "doc_id", sizes, known)
-    i = items.select(F.col("id").alias("item_id"), "size", "key", "pattern", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    pairs = found.withColumnRenamed("id", "doc_id").join(i, ["size", "key", "pattern"])
+    found = windows(documents, "doc_id", sizes, known).select(F.col("id").alias("doc_id"), "size", "key", "pattern", "at", "slots")
+    i = items.withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"})
+    pairs = found.join(i, ["size", "key", "pattern"])
     slot = F.arrays_zip("item_slots", "slots")
+    alone = ~F.col("few") | (F.col("item_slots") == F.col("slots"))
     by = ("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+
+    def distinct(arrays: Column) -> Column:
+        return F.array_distinct(F.flatten(F.collect_set(arrays)))
+
     # A shift's windows are at most the item's, and so are its slots.
-    per = pairs.groupBy(*by).agg(F.countDistinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"))
-    one = F.size("slots")
-    sound = (F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == one) & (
-        F.size(F.array_distinct(F.transform("slots", lambda s: s["slots"]))) == one
+    per = pairs.groupBy(*by).agg(
+        F.collect_set("item_at").alias("every"),
+        F.collect_set(F.when(alone, F.col("item_at"))).alias("strong"),
+        distinct(slot).alias("every_slot"),
+        distinct(F.when(alone, slot)).alias("strong_slot"),
+        F.size(distinct(F.col("literals"))).alias("literals"),
+        F.max(F.col("tokens") - F.col("size") + 1).alias("windows"),
+    )
+
+    def sound(slots: Column) -> Column:
+        one = F.size(slots)
+        return (F.size(F.array_distinct(F.transform(slots, lambda s: s["item_slots"]))) == one) & (
+            F.size(F.array_distinct(F.transform(slots, lambda s: s["slots"]))) == one
+        )
+
+    passage = (F.col("literals") >= LITERALS) | ((F.size("every") == F.col("windows")) & (F.col("literals") >= WHOLE_LITERALS))
+    per = per.withColumn("together", passage & sound(F.col("every_slot"))).where("together OR size(strong) > 0")
+    per = per.select(
+        "doc_id",
+        "item_id",
+        F.size(F.when(F.col("together"), F.col("every")).otherwise(F.col("strong"))).alias("n"),
+        F.when(F.col("together"), F.col("every_slot")).otherwise(F.col("strong_slot")).alias("slots"),
     )
     same = F.forall("slots", lambda s: s["item_slots"] == s["slots"])
-    return per.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max(sound).alias("one_to_one"), F.max(same).alias("verbatim"))
+    return per.groupBy("doc_id", "item_id").agg(
+        F.sum("n").cast("long").alias("n_windows"), F.max(sound(F.col("slots"))).alias("one_to_one"), F.max(same).alias("verbatim")
+    )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -179,6 +179,27 @@ def test_templates_catch_copies_and_other_parameters(spark, docs):
     assert decontam.contaminated(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_templates_of_few_literal_words_and_short_items(spark, docs):
+    train, share = "A train travels 60 km in 2 hours and 90 km in 3 hours", "What is 15 percent of 80?"
+    bench = spark.createDataFrame([(1, train), (2, share), (3, "Name four rivers"), (4, "7 km, 8 hours, 9 Miles")], "item_id long, text string")
+    rows = [
+        (1, "so it goes: " + train.replace("60", "45").replace("90", "75").replace("2 h", "4 h").replace("3 h", "6 h") + ", they say"),
+        (2, "asked again. " + share.replace("15", "20").replace("80", "50") + " and so on"),
+        (3, "please: Name four rivers, and no more"),
+        (4, "please: Name four lakes, and no more"),
+        # Consistency fails: one value stands where the item has two.
+        (5, train.replace("60", "45").replace("90", "45")),
+        # A part of a template with few literal words, and a template without any, are no copies.
+        (6, "it was 20 percent of 50"),
+        (7, "over 5 km, 6 hours, 4 Miles"),
+        (8, f"{train} {share}"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (8, 1), (8, 2)}
+    assert not got[1, 1].verbatim and got[1, 1].one_to_one and got[1, 1].n_windows == 2
+    assert not got[2, 2].verbatim and got[3, 3].verbatim and got[8, 1].verbatim
+
+
 def plain_template(text):
     out = []
     for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text or ""):
