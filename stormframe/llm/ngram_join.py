@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join: grouped prefix join over word shingles.
 
-A text's set holds the hashes of its distinct 4-word shingles.  Under one global order (rare first),
+A text's set holds the hashes of its distinct word shingles.  Under one global order (rare first),
 two sets of Jaccard similarity t share an element of their prefixes.  Texts of equal sets are one
 class; classes of equal size and prefix are one group, and only groups are joined by prefix elements.
 Group pairs whose sizes fit and whose prefixes share enough are expanded to their members and verified.
@@ -19,28 +19,30 @@ from pyspark.sql import functions as F
 from stormframe.llm.common import VECTOR, WordHasher, mix, summed, text_batches, vector_rows, written
 from stormframe.llm.links import grouped_components, touched_members
 
+#: Words of a shingle, and similarity in hundredths, where a caller names no others.
 SHINGLE = 4
-#: Similarity in hundredths.
 SIMILAR = 85
 #: Bits of the largest frequency sketch that orders shingles, and of the filter on wanted sets.
 MOST_SKETCH_BITS, FILTER_BITS = 23, 22
 
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0F2EC75A1FE1575], np.uint64)
 
 
 # ---------------------------------------------------------------- sets of shingles
 
 
-def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of consecutive texts, ascending within each, and how many each text has."""
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of shingles of up to ``len(_K)`` words, ascending within each of consecutive texts, and how many each text has."""
+    if not 1 <= shingle <= len(_K):
+        raise ValueError(f"a shingle has 1 to {len(_K)} words")
     ends = np.cumsum(counts)
     doc = np.repeat(np.arange(len(counts)), counts)
-    whole = np.flatnonzero(np.arange(len(hashes)) + SHINGLE <= ends[doc]) if len(hashes) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(np.arange(len(hashes)) + shingle <= ends[doc]) if len(hashes) else np.zeros(0, np.int64)
     s = np.zeros(len(whole), np.uint64)
-    for j in range(SHINGLE):
+    for j in range(shingle):
         s += hashes[whole + j] * _K[j]
     parts, docs = [mix(s)], [doc[whole]]
-    for short in range(1, SHINGLE):
+    for short in range(1, shingle):
         which = np.flatnonzero(counts == short)
         s = np.full(len(which), short, np.uint64) * np.uint64(0xA0761D6478BD642F)
         for j in range(short):
@@ -55,11 +57,11 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return s[new], np.bincount(doc[new], minlength=len(counts))
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _each(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     hasher = WordHasher()
     for batch in (x for whole in batches for x in text_batches(whole, "text")):
         for row, end, hashes, counts in hasher.words(batch.column("text")):
-            yield batch.slice(row, end - row), *shingle_sets(hashes, counts)
+            yield batch.slice(row, end - row), *shingle_sets(hashes, counts, shingle)
 
 
 def sketch_bits(documents: DataFrame) -> int:
@@ -68,7 +70,7 @@ def sketch_bits(documents: DataFrame) -> int:
     return min(max(16, (size // 128).bit_length()), MOST_SKETCH_BITS)
 
 
-def frequency_ranks(documents: DataFrame, bits: int) -> np.ndarray:
+def frequency_ranks(documents: DataFrame, bits: int, shingle: int = SHINGLE) -> np.ndarray:
     """The rank of shingles by the first bits of their hash: a thousand times the binary logarithm of their count.
 
     Counts are of texts, in 2**bits counters; the rank orders elements, rare ones first, and decides
@@ -77,7 +79,7 @@ def frequency_ranks(documents: DataFrame, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int32)
-        for _, s, _ in _each(batches):
+        for _, s, _ in _each(batches, shingle):
             at, n = np.unique(s >> np.uint64(64 - bits), return_counts=True)
             total[at.astype(np.int64)] += n.astype(np.int32)
         yield vector_rows(total)
@@ -89,11 +91,11 @@ def frequency_ranks(documents: DataFrame, bits: int) -> np.ndarray:
     return ranks if len(ranks) else np.zeros(1 << bits, np.uint16)
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    return n + (-SIMILAR * n // 100) + 1
+def prefix_size(n: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    return n + (-similar * n // 100) + 1
 
 
-def prefixes(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
+def prefixes(documents: DataFrame, ranks: np.ndarray, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """``(doc_id, key, n, group, prefix)`` per row: the set's key and size, its group, and its rarest elements.
 
     Keys are 64-bit hashes of sets.  A task gives the prefix only with the first row of each group.
@@ -102,7 +104,7 @@ def prefixes(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, s, n in _each(batches):
+        for batch, s, n in _each(batches, shingle):
             doc = np.repeat(np.arange(len(n)), n)
             first = np.cumsum(n) - n
             some = n > 0
@@ -112,7 +114,7 @@ def prefixes(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
             key = mix(sums + n.astype(np.uint64) * _K[0])
             rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
             order = np.lexsort((rank << np.uint64(48) | s >> np.uint64(16), doc))
-            size = np.where(some, prefix_size(n), 0)
+            size = np.where(some, prefix_size(n, similar), 0)
             inside = np.arange(len(s)) - first[doc] < size[doc]
             chosen = s[order][inside]
             edge = np.concatenate([[0], np.cumsum(size)])
@@ -136,7 +138,7 @@ def prefixes(documents: DataFrame, ranks: np.ndarray) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(rows, "doc_id long, key long, n long, group long, prefix array<long>")
 
 
-def wanted_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
+def wanted_sets(documents: DataFrame, keys: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(key, shingles)`` of the sets whose key is in ``keys``, made anew from the texts.
 
     A filter of at most 2**FILTER_BITS bits goes to the tasks; the join afterwards decides.
@@ -147,7 +149,7 @@ def wanted_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
         on = np.zeros(1 << FILTER_BITS, bool)
         on[bits] = True
         seen: set[int] = set()
-        for _, s, n in _each(batches):
+        for _, s, n in _each(batches, shingle):
             first, some = np.cumsum(n) - n, n > 0
             if not some.any():
                 continue
@@ -166,7 +168,7 @@ def wanted_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return made.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The ``pairs(a, b)`` of keys whose sets reach the similarity."""
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
@@ -179,7 +181,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= SIMILAR * (len(x) + len(y) - common))
+                good.append(100 * common >= similar * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -188,11 +190,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+def _sizes_fit(n: Column, m: Column, similar: int) -> Column:
+    return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
-def _prefixes_agree(shared: Column, n: Column, m: Column) -> Column:
+def _prefixes_agree(shared: Column, n: Column, m: Column, similar: int) -> Column:
     """Can two sets link whose prefixes share so many elements?
 
     Of the prefix that ends first in the global order, every common element is in the other prefix
@@ -200,12 +202,12 @@ def _prefixes_agree(shared: Column, n: Column, m: Column) -> Column:
     """
 
     def rest(size: Column) -> Column:
-        return -F.floor(-SIMILAR * size / 100) - 1
+        return -F.floor(-similar * size / 100) - 1
 
-    return (100 + SIMILAR) * (shared + F.greatest(rest(n), rest(m))) >= SIMILAR * (n + m)
+    return (100 + similar) * (shared + F.greatest(rest(n), rest(m))) >= similar * (n + m)
 
 
-def class_components(documents: DataFrame, rows: DataFrame) -> DataFrame:
+def class_components(documents: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """``(key, label)`` of every class that links with another; label is the smallest key it reaches."""
     groups = rows.where("prefix IS NOT NULL").groupBy("group").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     members = rows.where("n > 0").select("key", "group").distinct()
@@ -224,28 +226,29 @@ def class_components(documents: DataFrame, rows: DataFrame) -> DataFrame:
             keys = keys.join(made.select("key"), "key", "left_anti")
         keys = written(keys, "wanted")
         if not keys.isEmpty():
-            sets.append(written(wanted_sets(documents, keys), "sets"))
-        return verified(pairs, reduce(DataFrame.union, sets))
+            sets.append(written(wanted_sets(documents, keys, shingle), "sets"))
+        return verified(pairs, reduce(DataFrame.union, sets), similar)
 
     return grouped_components(
         entries,
         members,
         ("n",),
-        lambda a, b: _sizes_fit(a("n"), b("n")),
+        lambda a, b: _sizes_fit(a("n"), b("n"), similar),
         verify,
-        lambda shared, a, b: _prefixes_agree(shared, a("n"), b("n")),
+        lambda shared, a, b: _prefixes_agree(shared, a("n"), b("n"), similar),
     )
 
 
-def near_copies(documents: DataFrame) -> DataFrame:
+def near_copies(documents: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``documents(doc_id, text)``.
 
+    Texts link whose sets of ``shingle`` words have a Jaccard similarity of ``similar`` hundredths.
     component_id is the smallest doc_id that links reach, the row's own included; texts without words
     (null, empty, blanks) have no shingles and link with nothing.  Repeated rows link with each other;
     a row without id links as any other, and its component's id is null only where no member has one.
     """
-    rows = written(prefixes(documents, frequency_ranks(documents, sketch_bits(documents))), "prefixes")
-    labels = class_components(documents, rows)
+    rows = written(prefixes(documents, frequency_ranks(documents, sketch_bits(documents), shingle), shingle, similar), "prefixes")
+    labels = class_components(documents, rows, shingle, similar)
     placed = rows.select("doc_id", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = placed.join(smallest, "label", "left")

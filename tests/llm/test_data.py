@@ -275,6 +275,31 @@ def test_mixture_of_odd_rows_and_its_shares(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_near_copy_stage_takes_five_words_and_four_fifths(spark, docs):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(8):
+        words = [f"w{rng.randrange(400)}" for _ in range(100)]
+        # A copy cut to 83 of 100 words, one cut to 77, and one with four words changed apart.
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate([words, words[:83], words[:77], [f"x{i}" if i % 33 == 10 else w for i, w in enumerate(words)]])]
+    rows += [(900 + i, t) for i, t in enumerate(["a b c d", "A b c d", "a b c", None, ""])]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id for r in pipeline.drop_near_copies(spark, docs(rows), "").collect()}
+    assert got == set(label.values())
+    assert got != {c for _, c in near_copies(rows).values()}
+
+
 def test_stages_against_plain_decisions(spark):
     import corpus_pipeline as pipeline
 
