@@ -272,6 +272,33 @@ def test_mixture_of_odd_rows_and_its_shares(spark):
     assert mixing.mix_weights(frame.limit(0)).count() == 0
 
 
+def test_every_source_has_a_target_and_topics_follow_the_words(spark):
+    rng = random.Random(6)
+    subject = [[f"{name}{k}" for k in range(60)] for name in ("sea", "law")]
+    tongue = {"en": [f"the{k}" for k in range(25)], "de": [f"der{k}" for k in range(25)]}
+    rows = []
+    for i in range(4000):
+        about, lang = i % 2, rng.choice(["en", "en", "de"])
+        words = [rng.choice(subject[about]) for _ in range(20)] + [rng.choice(tongue[lang]) for _ in range(20)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), lang, rng.choice(["a"] * 8 + ["b"] * 3 + ["c", None]), about))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, about int")
+    mixed = mixing.mix_weights(frame, topics=2, keep=0.3).collect()
+    of = [collections.Counter(r._topic for r in mixed if r.about == a) for a in (0, 1)]
+    top = [c.most_common(1)[0][0] for c in of]
+    assert top[0] != top[1] and all(c[t] > 0.98 * c.total() for c, t in zip(of, top, strict=True))
+    assert {(r.source, r._source) for r in mixed} == {("a", 0), ("b", 1), ("c", 2), (None, 3)}
+    all_, kept, wished = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in mixed:
+        all_[r.source] += r._tokens
+        kept[r.source] += r._tokens * r._probability
+    for n in all_:
+        wished[n] = all_[n] ** 0.5
+    for n in all_:
+        assert kept[n] / kept.total() == pytest.approx(wished[n] / sum(wished.values()), abs=1e-6)
+    assert kept.total() == pytest.approx(0.3 * all_.total())
+
+
 # ------------------------------------------------------------------ pipeline
 
 
