@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, line_dedup, lm, mixing, ngram_join, shards, suffix, topk, toxicity, warc
+from stormframe.llm import decontam, line_dedup, lm, merkle, mixing, ngram_join, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -94,3 +94,67 @@ def _lm(table):
 @query("op1_line_dedup")
 def _lines(table):
     return line_dedup.deduplicate_lines(table("documents"))
+
+
+@query(
+    "op11_merkle_manifest",
+    """
+    WITH RECURSIVE bits AS (
+        SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+    ), rows_ AS (
+        SELECT doc_id, source, text, n_chars, lang, xor(list_reduce(
+                   list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                   lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS tampered
+        FROM documents, bits
+    ), texts AS (SELECT *, text AS as_read FROM rows_ UNION ALL SELECT *, replace(text, chr(10), '') FROM rows_ WHERE tampered),
+    hashed AS (
+        SELECT doc_id, source, text, as_read, tampered, sha256(
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')
+                   || coalesce(strlen(as_read) || ':' || as_read, '-')) AS h
+        FROM texts
+    ), leaves AS (
+        SELECT r.doc_id, dense_rank() OVER (ORDER BY r.source NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY r.source ORDER BY r.doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY r.source) AS n,
+               r.h AS leaf, coalesce(t.h, r.h) AS shown
+        FROM (SELECT DISTINCT doc_id, source, h FROM hashed WHERE text IS NOT DISTINCT FROM as_read) r
+        LEFT JOIN (SELECT DISTINCT doc_id, h FROM hashed WHERE text <> as_read) t ON t.doc_id = r.doc_id
+    ), nodes AS (
+        SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM leaves
+        UNION ALL SELECT tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY ALL
+    ), tops AS (
+        SELECT 0 AS lvl, tree AS pos, count(*) OVER () AS n, h FROM nodes WHERE n = 1
+        UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY ALL
+    ), every_node AS (SELECT * FROM nodes UNION ALL SELECT -1, * FROM tops),
+    beside AS (
+        SELECT tree, lvl, pos,
+               coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM every_node WHERE n > 1
+    ), ways AS (
+        SELECT tree AS home, pos AS place, tree, 0 AS lvl, pos, n, shown AS h, '' AS proof FROM leaves
+        UNION ALL
+        SELECT home, place, CASE WHEN up.n = 1 THEN -1 ELSE w.tree END, CASE WHEN up.n = 1 THEN 0 ELSE w.lvl + 1 END,
+               CASE WHEN up.n = 1 THEN home ELSE w.pos // 3 END, CASE WHEN up.n = 1 THEN (SELECT max(n) FROM tops) ELSE up.n END,
+               sha256(b.l || w.h || b.r), w.proof || b.l || b.r
+        FROM (SELECT home, place, CASE WHEN n = 1 AND tree >= 0 THEN -1 ELSE tree END AS tree, CASE WHEN n = 1 AND tree >= 0 THEN 0 ELSE lvl END AS lvl,
+                     CASE WHEN n = 1 AND tree >= 0 THEN home ELSE pos END AS pos, h, proof FROM ways) w
+        JOIN beside b ON b.tree = w.tree AND b.lvl = w.lvl AND b.pos = w.pos
+        JOIN (SELECT tree, lvl, pos, CASE WHEN tree = -1 AND n = 1 THEN 0 ELSE n END AS n FROM every_node) up
+          ON up.tree = w.tree AND up.lvl = w.lvl + 1 AND up.pos = w.pos // 3
+    ), done AS (SELECT home, place, arg_max(h, strlen(proof)) AS h, max(proof) AS p, arg_max(proof, strlen(proof)) AS proof FROM ways GROUP BY ALL)
+    SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = t.h AS verified
+    FROM leaves v JOIN done d ON d.home = v.tree AND d.place = v.pos JOIN nodes s ON s.tree = v.tree AND s.n = 1 JOIN tops t ON t.n = 1
+    """,
+)
+def _merkle(table):
+    docs = table("documents")
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    shown = F.when(tampered & F.col("text").contains("\n"), merkle.leaf(text=F.replace("text", F.lit("\n"), F.lit(""))))
+    proved = merkle.proofs(merkle.build(docs, {"shown": shown}), ["shown"])
+    proved = proved.withColumn("folded_root", merkle.fold(F.coalesce("shown", "leaf"), F.col("proof")))
+    digest = merkle.digest(F.array_join(merkle.siblings(F.col("proof")), ""))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
