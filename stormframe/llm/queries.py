@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, line_dedup, lm, merkle, mixing, ngram_join, shards, suffix, topk, toxicity, warc
+from stormframe.llm import decontam, line_dedup, lm, merkle, mixing, ngram_join, phrases, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -158,3 +158,35 @@ def _merkle(table):
     return proved.select(
         "doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
+
+
+@query(
+    "op13_phrases",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+        FROM documents
+    ), sizes AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+    spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+    grams AS (
+        SELECT lang, w[i:i + k - 1] AS g, k, count(*) AS a
+        FROM spots, (VALUES (1), (2), (3), (4), (5)) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+    ), cuts AS (
+        SELECT c.lang, c.g, c.k, c.a, s.n, x.k AS cut, x.a AS l, y.a AS r, (1000 * CAST(c.a AS HUGEINT) * s.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+        FROM grams c JOIN sizes s USING (lang) JOIN grams x ON x.lang = c.lang AND x.k < c.k AND x.g = c.g[1:x.k]
+        JOIN grams y ON y.lang = c.lang AND y.k = c.k - x.k AND y.g = c.g[x.k + 1:c.k]
+    ), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS i FROM cuts),
+    longer AS (
+        SELECT DISTINCT lang, g[j:j + k - 1] AS g, a FROM (SELECT lang, g, a, k AS whole, unnest(range(2, k)) AS k FROM grams) x, (VALUES (1), (2), (3), (4)) t(j)
+        WHERE j + k - 1 <= whole
+    ), kept AS (
+        SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+        FROM lowest c WHERE i = 1 AND NOT EXISTS (SELECT 1 FROM longer y WHERE y.lang = c.lang AND y.g = c.g AND y.a >= c.a)
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked WHERE rank <= 2000
+    """,
+)
+def _phrases(table):
+    return phrases.collocations(table("documents"))
