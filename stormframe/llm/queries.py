@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stormframe.llm import decontam, line_dedup, lm, merkle, mixing, ngram_join, phrases, shards, suffix, topk, toxicity, warc
+from stormframe.llm import decontam, line_dedup, lm, merkle, mixing, ngram_join, phrases, pii, shards, suffix, topk, toxicity, warc
 from stormframe.llm.common import scratch
 from stormframe.llm.registry import ORACLES, QUERIES, query
 
@@ -190,3 +190,24 @@ def _merkle(table):
 )
 def _phrases(table):
     return phrases.collocations(table("documents"))
+
+
+@query("op12_personal_data")
+def _personal_data(table):
+    found = pii.detect(table("documents"))
+    opened = F.filter("spans", lambda s: s["open"])
+
+    def listed(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(one, ",")
+
+    def count(kind: str):
+        return F.size(F.filter(opened, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(listed(opened), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["open"])).cast("long").alias("n_disguised"),
+    )
