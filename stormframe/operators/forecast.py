@@ -11,14 +11,14 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.values import finite
+from stormframe.operators import motion
 from stormframe.operators.catalog import frame_history
-from stormframe.operators.grid import BLOCK_ID, lay_pieces, with_halo
+from stormframe.operators.grid import BLOCK_ID, lay_pieces
 from stormframe.operators.ordering import DEFAULT_CHUNK_SECONDS
 
 # Lead times in minutes, ensemble size, motion settings.
@@ -28,7 +28,6 @@ LOOKBACK = 3
 STEP_MINUTES = 2.0
 FLOOR_DBZ = 5.0
 FLOOR_SLACK = 1e-6
-MAX_SHIFT = 2
 
 PERSISTENCE, LAGGED, ADVECTION = "persistence", "lagged-ensemble", "advection"
 
@@ -145,90 +144,23 @@ def lead_steps(horizon: Column, step_minutes: float = STEP_MINUTES) -> Column:
     return F.greatest(F.lit(1), F.bround(horizon / F.lit(step_minutes)).cast("int"))
 
 
-def _shift_errors(current: np.ndarray, padded: np.ndarray, reach: int) -> list[float]:
-    """Squared difference of a block and the earlier frame at every shift, row-major from (-reach, -reach)."""
-    height, width = current.shape
-    return [
-        float(((current - padded[reach - dr : reach - dr + height, reach - dc : reach - dc + width]) ** 2).sum())
-        for dr in range(-reach, reach + 1)
-        for dc in range(-reach, reach + 1)
-    ]
-
-
 def block_motion(
-    grids: DataFrame,
-    blocks: DataFrame,
-    lookback: int = LOOKBACK,
-    max_shift: int = MAX_SHIFT,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    grids: DataFrame, blocks: DataFrame, lookback: int = LOOKBACK, chunk_seconds: int = DEFAULT_CHUNK_SECONDS
 ) -> DataFrame:
-    """Cells moved per frame step (``d_row``, ``d_col``) of each block, by block matching.
+    """Cells moved per frame step (``d_row``, ``d_col``) of each block over the last ``lookback`` frames, as far as they went.
 
-    The shift of least squared difference over the last ``lookback`` frames, the shortest
-    shift on ties.  Only frames with a full history of equal shape appear.
+    Only frames with a full history of equal shape appear.
     """
-    history = frame_history(grids, lookback, chunk_seconds=chunk_seconds)
-    alike = F.forall("history", lambda f: (f["n_rows"] == F.col("n_rows")) & (f["n_cols"] == F.col("n_cols")))
-    steps = (
-        history.where((F.size("history") == lookback) & alike)
-        .select(
-            F.col("file_key").alias("source_file_key"),
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(lookback - 2)),
-                    lambda i: F.struct(
-                        F.get("history", i)["file_key"].alias("earlier"),
-                        F.get("history", i + 1)["file_key"].alias("later"),
-                    ),
-                )
-            ).alias("_pair"),
-        )
-        .select("source_file_key", "_pair.*")
-    )
-    floored = blocks.withColumn("values", F.transform("values", lambda v: with_floor(v.cast("double"))))
-    before = with_halo(floored, grids, max_shift).select(
-        F.col("file_key").alias("earlier"), "block_row", "block_col", "padded"
-    )
-    after = floored.select(
-        F.col("file_key").alias("later"), "block_row", "block_col", "height", "width", F.col("values").alias("_now")
-    )
-    # Consecutive frames are compared once and their errors shared by every later source.
-    compared = (
-        steps.select("earlier", "later").distinct().join(after, "later").join(before, ["earlier", "block_row", "block_col"])
-    )
-
-    @F.pandas_udf("array<double>")
-    def errors(now: pd.Series, padded: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        out = []
-        for a, b, h, w in zip(now, padded, height, width, strict=True):
-            current = np.asarray(a, dtype=np.float64).reshape(h, w)
-            earlier = np.asarray(b, dtype=np.float64).reshape(h + 2 * max_shift, w + 2 * max_shift)
-            out.append(_shift_errors(current, earlier, max_shift))
-        return pd.Series(out)
-
-    side = 2 * max_shift + 1
-    scored = compared.select("earlier", "later", "block_row", "block_col", errors("_now", "padded", "height", "width").alias("_e"))
-    per_shift = scored.join(steps, ["earlier", "later"]).select(
-        "source_file_key", "block_row", "block_col", F.posexplode("_e").alias("_k", "_err")
-    )
-    total = per_shift.groupBy("source_file_key", "block_row", "block_col", "_k").agg(F.sum("_err").alias("_err"))
-    d_row = (F.floor(F.col("_k") / side) - max_shift).cast("int")
-    d_col = (F.col("_k") % side - max_shift).cast("int")
-    best = total.groupBy("source_file_key", "block_row", "block_col").agg(
-        F.min_by(
-            F.struct(d_row.alias("d_row"), d_col.alias("d_col")),
-            F.struct("_err", (d_row * d_row + d_col * d_col).alias("length"), "_k"),
-        ).alias("_m")
-    )
-    return best.select("source_file_key", "block_row", "block_col", "_m.*")
+    cells = F.transform("values", lambda v: with_floor(v.cast("double")))
+    return motion.block_motion(grids, blocks, lookback, cells, chunk_seconds=chunk_seconds)
 
 
-def advection(grids: DataFrame, motion: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+def advection(grids: DataFrame, moved: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Nowcast rows: advected where motion is known, else carried like persistence.
 
     Advected rows have a ``forecast_key`` of their own per lead time and no ``members``.
     """
-    moving = motion.select(F.col("source_file_key").alias("file_key")).distinct().withColumn("_moving", F.lit(True))
+    moving = moved.select(F.col("source_file_key").alias("file_key")).distinct().withColumn("_moving", F.lit(True))
     rows = _issue(grids.withColumn("members", F.array("file_key")), ADVECTION, horizons, ensemble=False)
     known = rows.join(moving.withColumnRenamed("file_key", "source_file_key"), "source_file_key", "left")
     is_moving = F.coalesce("_moving", F.lit(False))
@@ -241,7 +173,7 @@ def advection(grids: DataFrame, motion: DataFrame, horizons: Sequence[int] = HOR
 
 
 def advection_blocks(
-    nowcasts: DataFrame, motion: DataFrame, grids: DataFrame, blocks: DataFrame, step_minutes: float = STEP_MINUTES
+    nowcasts: DataFrame, moved: DataFrame, grids: DataFrame, blocks: DataFrame, step_minutes: float = STEP_MINUTES
 ) -> DataFrame:
     """Blocks of the advected nowcasts: every cell comes from where its block's motion says it was.
 
@@ -255,7 +187,7 @@ def advection_blocks(
     own = ("row0", "col0", "height", "width")
     places = blocks.select(F.col("file_key").alias("source_file_key"), "block_row", "block_col", *own)
     wanted = (
-        moving.join(motion, "source_file_key")
+        moving.join(moved, "source_file_key")
         .join(places, ["source_file_key", "block_row", "block_col"])
         .join(shape, "source_file_key")
         .withColumn("_top", F.col("row0") - F.col("_steps") * F.col("d_row"))

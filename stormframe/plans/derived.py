@@ -119,10 +119,9 @@ class Tables:
 
     def points(self) -> DataFrame:
         """Probes in and around the grid, over all frames and some time beyond; every fifth longitude is given in [0, 360)."""
-        e, frames = F.col("event_id"), F.col("_frames")
-        count = self.base("embeddings").agg((F.max("vec_id") + 1).alias("_frames"))
+        e, frames = F.col("event_id"), self.base("embeddings").agg(F.max("vec_id") + 1).scalar()
         lng = F.lit(-100.125) + (e % 140) / F.lit(64.0)
-        return self.base("events").crossJoin(count).select(
+        return self.base("events").select(
             e.alias("point_id"),
             text("P", e % 3).alias("product"),
             F.lit(LEVEL).alias("level"),

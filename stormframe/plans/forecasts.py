@@ -191,7 +191,8 @@ def reliability_bins(t: Tables) -> DataFrame:
     )
 
 
-# Shifted differences summed over the frame pairs of a source; shifts read past the rim repeat it.
+# Shifts within the frame, read past the rim by repeating it.  Blocks of 4 x 4 have one level; its
+# window grows from three cells until it holds the best shift inside, or all shifts.
 _MOTION = """
     WITH frames AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product ORDER BY valid_epoch, file_key) AS rn FROM grids),
     steps AS MATERIALIZED (
@@ -202,14 +203,16 @@ _MOTION = """
         SELECT file_key, row_i, col_i, CASE WHEN NOT isnan(value) AND value >= 5 THEN value ELSE 5.0::DOUBLE END AS v FROM cells),
     errors AS MATERIALIZED (
         SELECT s.earlier, s.later, n.row_i // 4 AS br, n.col_i // 4 AS bc, dr, dc, sum((n.v - e.v) ** 2) AS err
-        FROM (SELECT DISTINCT earlier, later FROM steps) s JOIN floored n ON n.file_key = s.later, range(-2, 3) x(dr), range(-2, 3) y(dc)
+        FROM (SELECT DISTINCT earlier, later FROM steps) s JOIN floored n ON n.file_key = s.later, range(-7, 8) x(dr), range(-7, 8) y(dc)
         JOIN floored e ON e.file_key = s.earlier AND e.row_i = least(7, greatest(0, n.row_i - dr)) AND e.col_i = least(7, greatest(0, n.col_i - dc))
         GROUP BY ALL),
+    tried AS MATERIALIZED (
+        SELECT source_file_key, br, bc, w, dr, dc, row_number() OVER (PARTITION BY source_file_key, br, bc, w ORDER BY err, dr * dr + dc * dc, dr, dc) AS place
+        FROM (SELECT s.source_file_key, br, bc, dr, dc, round(sum(err), 6) AS err FROM steps s JOIN errors e USING (earlier, later) GROUP BY ALL),
+             range(3, 8) t(w) WHERE greatest(abs(dr), abs(dc)) <= w),
     motion AS MATERIALIZED (
-        SELECT source_file_key, br, bc, dr, dc FROM (
-            SELECT source_file_key, br, bc, dr, dc, row_number() OVER (PARTITION BY source_file_key, br, bc ORDER BY err, dr * dr + dc * dc, dr, dc) AS rn
-            FROM (SELECT s.source_file_key, br, bc, dr, dc, sum(err) AS err FROM steps s JOIN errors e ON e.earlier = s.earlier AND e.later = s.later
-                  GROUP BY ALL)) WHERE rn = 1)"""
+        SELECT source_file_key, br, bc, arg_min(dr, w) AS dr, arg_min(dc, w) AS dc FROM tried
+        WHERE place = 1 AND (w = 7 OR greatest(abs(dr), abs(dc)) < w) GROUP BY ALL)"""
 
 
 @query(
