@@ -212,30 +212,48 @@ def plain_template(text):
     return out
 
 
-def test_windows_against_a_plain_search(spark, docs):
-    rng = random.Random(12)
-    words = ["apple", "River", "7", "12", "km", "stone", "über", "Émile", "green", "walks", "hours", "a"]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 30)))) for k in range(15)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) + " " + (rng.choice(items)[1] if i % 2 else "")) for i in range(60)]
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+def plain_contaminated(rows, items):
+    """(document, item) by the stated rule: windows with equal slot patterns, those of few literal words with equal values or together."""
     want = set()
+    fold = re.compile("[A-Z]")
     parsed = {k: plain_template(t) for k, t in items}
     for i, t in rows:
         doc = plain_template(t)
         for k, item in parsed.items():
             n = min(decontam.WINDOW, len(item))
-            if n < decontam.LEAST_TOKENS:
+            if n == 0:
                 continue
+            shifts = collections.defaultdict(list)
             for a in range(len(doc) - n + 1):
                 for b in range(len(item) - n + 1):
                     x, y = doc[a : a + n], item[b : b + n]
                     if [p for p, _ in x] != [p for p, _ in y]:
                         continue
-                    sx, sy = ([v for p, v in z if p in ("num", "name", "unit")] for z in (x, y))
-                    few = n - len(sx) < min(decontam.LITERALS, n - 1)
-                    fold = [[tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in v) for v in s] for s in (sx, sy)]
-                    if (not few or fold[0] == fold[1]) and [fold[0].index(v) for v in fold[0]] == [fold[1].index(v) for v in fold[1]]:
-                        want.add((i, k))
+                    slots = [[tuple(fold.sub(lambda m: m[0].lower(), w) for w in v) for p, v in z if p in ("num", "name", "unit")] for z in (x, y)]
+                    if n < decontam.LEAST_TOKENS and slots[0] != slots[1]:
+                        continue
+                    if [slots[0].index(v) for v in slots[0]] == [slots[1].index(v) for v in slots[1]]:
+                        literal = {b + j for j, (p, _) in enumerate(y) if p not in ("num", "name", "unit")}
+                        few = len(literal) < min(decontam.LITERALS, n - 1)
+                        shifts[a - b].append((b, not few or slots[0] == slots[1], set(zip(*slots, strict=True)), literal))
+            for found in shifts.values():
+                pairs = set().union(*(p for *_, p, _ in found))
+                words = set().union(*(w for *_, w in found))
+                one = len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+                whole = len({b for b, *_ in found}) == len(item) - n + 1 and len(words) >= decontam.WHOLE_LITERALS
+                if any(alone for _, alone, *_ in found) or (one and (len(words) >= decontam.LITERALS or whole)):
+                    want.add((i, k))
+    return want
+
+
+def test_windows_against_a_plain_search(spark, docs):
+    rng = random.Random(12)
+    words = ["apple", "River", "7", "12", "km", "stone", "über", "Émile", "green", "walks", "hours", "a"]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(2, 30)))) for k in range(15)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) + " " + (rng.choice(items)[1] if i % 2 else "")) for i in range(60)]
+    rows += [(100 + i, re.sub("7|12", lambda m: str(int(m[0]) + 1), t)) for i, t in rows[:30]]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_contaminated(rows, items)
     assert got == want and want
 
 
