@@ -155,7 +155,7 @@ _WORDS = re.compile(
     rf"(?P<digits>(?<!\w){_ONE}(?:{_BETWEEN}{_ONE}){{{SPELLED - 2},}})"
     rf"|(?P<plus>(?<!\w)(?:plus|más)\s{{1,3}}(?=\d|{_ONE}))"
     rf"|(?P<at>{_AT_IN_BRACKETS})|(?P<bare>{_AT_AS_WORD})|(?P<dot>{_DOT_IN_BRACKETS})|(?P<word>{_DOT_AS_WORD})"
-    r"|(?P<mixed>(?<![^\W_])(?=[oil]*\d)[\doil]*[oil][\doil]*(?![^\W_]))",
+    r"|(?P<mixed>(?<![^\W_])(?=[oil]*\d)[\doil]*[oil][\doil]*(?![^\W_])|(?<=\d\.)[oil](?=\.\d))",
     re.IGNORECASE,
 )
 _INSIDE = re.compile(rf"(?P<times>(?:double|triple) )?(?P<one>{'|'.join(sorted(_VALUE, key=len, reverse=True))})(?!\w)|(?P<dot>\.|{_ANY_DOT})", re.IGNORECASE)
@@ -166,11 +166,11 @@ _NAMELIKE = re.compile(r"[A-Za-z0-9][._+-][a-z0-9]|^[A-Z][A-Za-z]*[._+-][A-Z]|[A
 # What a text must hold for the word transducer to find anything; all are cheap to look for.
 _SIGNS = ("arroba", "&#", "&commat;", "&period;")
 _DOT_WORDS = ("dot", "punto", "punkt", "point")
-_DOT_WORD = re.compile(rf"[\s_-](?:{'|'.join(_DOT_WORDS)})[\s_-]")
+_DOT_WORD = re.compile(rf"[\s_(\[{{<-](?:{'|'.join(_DOT_WORDS)})[\s_)\]}}>-]")
 _SIGN = re.compile(r"at\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9]|at[_-][a-z0-9-]{1,63}\.[a-z0-9]")
 _BRACKETED = re.compile(r"[(\[{<]\s{0,3}(?:at|@|\.)")
 _SPACED = re.compile(r"@\s")
-_MIXED = re.compile(r"\d[oil]|[oil]\d")
+_MIXED = re.compile(r"\d\.?[oil]|[oil]\d")
 _PLUS = re.compile(r"(?:plus|más)\s{1,3}\d")
 _SPELLED_WORDS = frozenset(_VALUE) | frozenset(_TIMES)
 
@@ -231,7 +231,7 @@ def _word_edits(text: str, marks: dict[int, str]) -> Iterator[tuple[int, int, st
                 yield m.start() + d.start(), m.start() + d.end(), made
                 last = d.end()
         elif kind == "mixed":
-            if 2 * len(_DIGIT.findall(m[0])) >= len(m[0]):
+            if len(m[0]) == 1 or 2 * len(_DIGIT.findall(m[0])) >= len(m[0]):
                 yield m.start(), m.end(), m[0].translate(_LETTER_DIGITS)
         else:
             marks[m.start()] = "dot" if "@" in m[0] else kind
