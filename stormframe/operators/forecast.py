@@ -89,10 +89,14 @@ def lagged_ensemble(
     """
     if size < 1:
         raise ValueError("an ensemble needs at least one member")
-    history = frame_history(grids, size, chunk_seconds=chunk_seconds)
+    return ensemble_of_history(frame_history(grids, size, chunk_seconds=chunk_seconds), horizons)
+
+
+def ensemble_of_history(frames: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """The lagged ensemble of frames that carry their ``history`` already, oldest first."""
     alike = F.forall("history", lambda f: (f["n_rows"] == F.col("n_rows")) & (f["n_cols"] == F.col("n_cols")))
     members = F.when(alike, F.transform("history", lambda f: f["file_key"])).otherwise(F.array("file_key"))
-    return _issue(history.withColumn("members", members), LAGGED, horizons, ensemble=True)
+    return _issue(frames.withColumn("members", members), LAGGED, horizons, ensemble=True)
 
 
 # --- member stacks -----------------------------------------------------------------------

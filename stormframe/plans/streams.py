@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.operators import calibration as cal
-from stormframe.operators.forecast import lagged_ensemble, persistence
+from stormframe.operators.forecast import ENSEMBLE_SIZE, ensemble_of_history, persistence
 from stormframe.plans.actions import _FIRED, _evals
-from stormframe.plans.derived import Tables
+from stormframe.plans.derived import CADENCE, EPOCH0, Tables
 from stormframe.plans.forecasts import _DETERMINISTIC
 from stormframe.plans.registry import big, epoch, query, rounded
 from stormframe.session import scratch_folder
 from stormframe.sources import events as messages
-from stormframe.streaming import jobs
+from stormframe.streaming import jobs, state
 
 
 #: The event time by which each streamed table arrives, and in how many pieces.
 ARRIVAL = {"events": "ts", "embeddings": "vec_id", "lineitem": "l_shipdate", "orders": "o_orderdate"}
 ARRIVALS = 3
+#: Files of a piece.
+WRITERS = 4
+
+
+def arrivals(table: DataFrame, order: Column, folder: str) -> DataFrame:
+    """A stream over ``table`` that brings a third of the range of ``order`` with each micro-batch."""
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    piece = F.least(F.lit(ARRIVALS - 1), F.floor((order - low) * ARRIVALS / max(high - low, 1)))
+    for k in range(ARRIVALS):
+        table.where(piece == k).repartition(WRITERS).write.parquet(f"{folder}/{k}")
+    read = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", WRITERS)
+    return read.option("recursiveFileLookup", "true").parquet(folder)
 
 
 class StreamTables(Tables):
@@ -29,11 +43,7 @@ class StreamTables(Tables):
         folder = scratch_folder(self.spark, f"arrivals-{name}")
         at = F.col(ARRIVAL[name])
         order = at.cast("timestamp").cast("double") if dict(table.dtypes)[ARRIVAL[name]] not in ("bigint", "int") else at.cast("double")
-        low, high = table.agg(F.min(order), F.max(order)).first()
-        piece = F.least(F.lit(ARRIVALS - 1), F.floor((order - low) * ARRIVALS / max(high - low, 1)))
-        for k in range(ARRIVALS):
-            table.where(piece == k).coalesce(1).write.parquet(f"{folder}/{k}")
-        stream = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        stream = arrivals(table, order, folder)
         naive = [f.name for f in table.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         return stream.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else stream
 
@@ -67,17 +77,37 @@ def nowcasts(t: Tables) -> DataFrame:
     return made.select("source_file_key", big("horizon"), epoch("valid_at", "valid_epoch"))
 
 
-@query(
-    "stream_lagged_nowcasts",
-    """SELECT source_file_key, CAST(h AS BIGINT) AS horizon, count(*) AS ensemble_size, string_agg(member_key, ',' ORDER BY ago DESC) AS members
-       FROM history, (VALUES (10), (30), (60)) t(h) GROUP BY source_file_key, h""",
-    ("history",),
-)
+_LAGGED = """SELECT source_file_key, CAST(h AS BIGINT) AS horizon, count(*) AS ensemble_size, string_agg(member_key, ',' ORDER BY ago DESC) AS members
+       FROM history, (VALUES (10), (30), (60)) t(h) GROUP BY source_file_key, h"""
+
+
+def _lagged(t: Tables, grids: DataFrame) -> DataFrame:
+    stream, step = jobs.nowcast_stream(grids, ensemble_of_history, history=ENSEMBLE_SIZE)
+    made = jobs.drain(t.spark, stream, "lagged", step)
+    return made.select("source_file_key", big("horizon"), big("ensemble_size"), F.concat_ws(",", "members").alias("members"))
+
+
+@query("stream_lagged_nowcasts", _LAGGED, ("history",))
 def lagged_nowcasts(t: Tables) -> DataFrame:
     """Ensembles of new frames, whose members arrived in earlier batches."""
-    step = jobs.nowcast_stream(_streams(t).grids(), lambda grids, h: lagged_ensemble(grids, horizons=h), grids=t.grids)
-    made = jobs.drain(t.spark, step[0], "lagged", step[1])
-    return made.select("source_file_key", big("horizon"), big("ensemble_size"), F.concat_ws(",", "members").alias("members"))
+    return _lagged(t, _streams(t).grids())
+
+
+@query("stream_hourly_nowcasts", _LAGGED, ("history",))
+def hourly_nowcasts(t: Tables) -> DataFrame:
+    """Frames an hour apart, and a gap of a day after every sixteenth: the same members, however old."""
+    since = (F.unix_timestamp("valid_at") - EPOCH0) / CADENCE
+    slow = F.timestamp_seconds(EPOCH0 + since * 3600 + F.floor(since / 16) * 86400)
+    return _lagged(t, _streams(t).grids().withColumn("valid_at", slow))
+
+
+def _due(t: Tables) -> Callable[[DataFrame], DataFrame]:
+    """Persistence of all grids as a stored table, of which a batch reads the hours it needs."""
+    folder = scratch_folder(t.spark, "nowcasts")
+    said = persistence(t.grids())
+    jobs.write_nowcasts(said, folder)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in said.schema.fields)
+    return jobs.due_nowcasts(t.spark, folder, f"{columns}, due_day string, due_hour string")
 
 
 @query(
@@ -88,7 +118,7 @@ def lagged_nowcasts(t: Tables) -> DataFrame:
 def verify_scores(t: Tables) -> DataFrame:
     """Scores of stored forecasts as their observations arrive, one row per forecast and observation."""
     said = persistence(t.grids())
-    step = jobs.score_batch(lambda: said, t.blocks)
+    step = jobs.score_batch(_due(t), t.blocks)
     scores = jobs.drain(t.spark, _streams(t).grids(), "scores", step, key=["nowcast_id", "observation_file_key"])
     named = scores.drop("horizon").join(said.select("nowcast_id", "source_file_key", "horizon"), "nowcast_id")
     return named.select("source_file_key", big("horizon"), "observation_file_key", "sample_count", rounded("mae"), "hits")
@@ -103,7 +133,7 @@ def verify_pairs(t: Tables) -> DataFrame:
 
 @query("stream_verify_new_grids", "SELECT source_file_key, horizon, observation_file_key FROM pairs", ("pairs",))
 def verify_new_grids(t: Tables) -> DataFrame:
-    step = jobs.verify_batch(lambda: persistence(t.grids()))
+    step = jobs.verify_batch(_due(t))
     pairs = jobs.drain(t.spark, _streams(t).grids(), "verified", step)
     return pairs.select("source_file_key", big("horizon"), "observation_file_key")
 
@@ -113,12 +143,8 @@ def rule_firing(t: Tables) -> DataFrame:
     """Evaluations arrive in order of time, in several batches; the first of a rule meets its stored state."""
     folder = scratch_folder(t.spark, "evaluations")
     evals = _evals(t).persist()
-    low, high = evals.agg(F.min(F.unix_timestamp("valid_at")), F.max(F.unix_timestamp("valid_at"))).first()
-    piece = F.least(F.lit(ARRIVALS - 1), F.floor((F.unix_timestamp("valid_at") - low) * ARRIVALS / max(high - low, 1)))
-    for k in range(ARRIVALS):
-        evals.where(piece == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    stream = arrivals(evals, F.unix_timestamp("valid_at"), folder)
     evals.unpersist()
-    stream = t.spark.readStream.schema(evals.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
     return jobs.drain(t.spark, jobs.rule_stream(stream, t.rules()), "firing").select("rule_id", "file_key", "satisfied", "fired")
 
 
@@ -129,8 +155,8 @@ def rule_firing(t: Tables) -> DataFrame:
 )
 def conflate_newest(t: Tables) -> DataFrame:
     slim = _streams(t).grids().select("product", "level", "valid_at", "file_key")
-    parts = jobs.drain(t.spark, slim, "conflated", lambda batch: jobs.conflate(batch, ["product", "level"], "valid_at"))
-    return jobs.merge_conflated(parts, ["product", "level"], "valid_at").select("product", "level", "file_key", "superseded")
+    key = ["product", "level"]
+    return jobs.drain(t.spark, jobs.conflate(slim, key, "valid_at"), "conflated", mode="update", key=key).select(*key, "file_key", "superseded")
 
 
 @query(
@@ -190,3 +216,34 @@ def series_matches_batch(t: Tables) -> DataFrame:
     batch = cal.calibration_series(t.verifications(), None, 86400)
     keys = ["algorithm", "horizon", "bucket_epoch", "verification_count", "sample_count", "hits", "misses", "false_alarms", "brier_sample_count"]
     return streamed.select(*keys).join(batch.select(*keys), keys).agg(F.count("*").alias("buckets"))
+
+
+@query("stream_failure_streaks", """
+    SELECT subscription_id, epoch(max(created_at))::BIGINT AS last_failed_epoch
+    FROM (SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY created_at DESC, id DESC) AS rn FROM deliveries WHERE status IN ('ok', 'failed'))
+    WHERE rn <= 5 GROUP BY subscription_id HAVING count(*) = 5 AND bool_and(status = 'failed')""", ("deliveries",))
+def failure_streaks(t: Tables) -> DataFrame:
+    """Breakers after all deliveries, which arrive in order of time, but not within a batch."""
+    states = jobs.drain(t.spark, state.streak_stream(_streams(t).deliveries()), "streaks", mode="update", key=["subscription_id"])
+    return states.where("failing").select("subscription_id", epoch("last_failed_at", "last_failed_epoch"))
+
+
+@query("stream_delivery_outcomes", """
+    WITH made AS (
+        SELECT 'D' || o_orderkey // 4 AS delivery_id, o_orderkey % 4 + 1 AS attempt, [NULL, 200, 404, 503, 301][o_custkey % 5 + 1] AS response,
+               epoch(o_orderdate) AS told_at, o_orderkey
+        FROM orders
+    ), told AS (SELECT *, least(2, floor((told_at - min(told_at) OVER ()) * 3 / greatest(max(told_at) OVER () - min(told_at) OVER (), 1))) AS batch FROM made),
+    ahead AS (SELECT *, max(attempt) OVER (PARTITION BY delivery_id ORDER BY batch, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM told),
+    final AS (
+        SELECT *, CASE WHEN response BETWEEN 200 AND 299 THEN 'ok' WHEN response BETWEEN 400 AND 499 OR attempt >= 4 THEN 'failed' END AS status
+        FROM ahead WHERE before IS NULL OR attempt > before
+    )
+    SELECT delivery_id, CAST(arg_min(attempt, (batch, attempt)) AS BIGINT) AS attempts, arg_min(status, (batch, attempt)) AS status
+    FROM final WHERE status IS NOT NULL GROUP BY delivery_id""")
+def delivery_outcomes(t: Tables) -> DataFrame:
+    """One final row a delivery, whichever batches bring its attempts; those that come after a later one are ignored."""
+    attempts = _streams(t).attempts().withColumns({"subscription_id": F.lit("S"), "created_at": F.timestamp_seconds(F.lit(EPOCH0))})
+    # No wait is over within a run, so that only outcomes come out.
+    made = jobs.drain(t.spark, state.delivery_stream(attempts, backoff_seconds=86400.0), "outcomes", waits=True)
+    return made.select("delivery_id", F.col("attempt").cast("long").alias("attempts"), "status")

@@ -7,37 +7,46 @@ replaces its own output; what replaces earlier rows is read by key, the latest b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import functools
+import operator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stormframe.functions.scores import DEFAULT_THRESHOLD
 from stormframe.operators.calibration import GROUP, pod_far_csi, series_aggregates
-from stormframe.operators.catalog import newest, unmaterialised_files
+from stormframe.operators.catalog import filter_catalog, frame_history, newest, unmaterialised_files
 from stormframe.operators.forecast import HORIZONS, persistence
 from stormframe.operators.joins import MATCH_WINDOW_SECONDS, match_forecasts
 from stormframe.operators.verify import verify
 from stormframe.session import scratch_folder
+from stormframe.streaming.state import frame_histories
 
-#: How far back stored grids are read as history of a new one.
-HISTORY_SECONDS = 6 * 3600
+#: A stored nowcast lies under the hour it falls due; a batch names at most so many hours one by one.
+DUE_KEYS = 2000
+HOUR = 3600
 
 BatchFn = Callable[[DataFrame, int], None]
 
 
-def run_available(stream: DataFrame, each: BatchFn, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what has arrived and stop."""
-    return (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available(stream: DataFrame, each: BatchFn, checkpoint: str, mode: str = "append", waits: bool = False) -> StreamingQuery:
+    """Process what has arrived and stop.
+
+    A stream that ``waits`` by the clock always asks for another batch; it gets none without input.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(not waits and before == "true").lower())
+    try:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def batch_writer(path: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> BatchFn:
@@ -57,13 +66,14 @@ def drain(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     mode: str = "append",
     key: Sequence[str] | None = None,
+    waits: bool = False,
 ) -> DataFrame:
     """Run a stream to the end of its input into a scratch table and return the table.
 
     With ``key``, later batches replace the rows of their keys, as update mode means them to.
     """
     folder = scratch_folder(spark, name)
-    run_available(stream, batch_writer(f"{folder}/out", transform), f"{folder}/checkpoint", mode).awaitTermination()
+    run_available(stream, batch_writer(f"{folder}/out", transform), f"{folder}/checkpoint", mode, waits).awaitTermination()
     table = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
     return table if key is None else latest_rows(table, key)
 
@@ -98,25 +108,76 @@ def nowcast_stream(
     stream: DataFrame,
     forecast: Callable[[DataFrame, Sequence[int]], DataFrame] = persistence,
     horizons: Sequence[int] = HORIZONS,
+    history: int = 1,
+    stored: DataFrame | None = None,
     grids: Callable[[], DataFrame] | None = None,
-    lookback_seconds: int = HISTORY_SECONDS,
 ) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """A grid stream and the batch step that turns new grids into nowcast rows.
 
-    Methods that need history (``lagged_ensemble``, advection) get it from ``grids``, the table of
-    stored grids, back to ``lookback_seconds`` before the batch; rows come out for new grids only.
+    With a ``history`` of more than one frame, ``forecast`` gets frames that carry it
+    (``ensemble_of_history``), from the stream's state; ``stored`` frames seed it.  The table behind
+    ``grids`` is read only for frames that come after names before them were forgotten.
     """
+    if history <= 1:
+        return stream, lambda batch: forecast(batch, horizons)
 
     def step(batch: DataFrame) -> DataFrame:
-        if grids is None:
-            return forecast(batch, horizons)
-        since = batch.agg(F.min("valid_at").alias("_since"))
-        stored = grids().crossJoin(since).where(F.col("valid_at") >= F.col("_since") - F.make_dt_interval(secs=F.lit(lookback_seconds))).drop("_since")
-        known = stored.join(batch.select("file_key"), "file_key", "left_anti").unionByName(batch.select(*stored.columns))
-        new = batch.select(F.col("file_key").alias("source_file_key")).distinct()
-        return forecast(known, horizons).join(new, "source_file_key", "left_semi")
+        known = batch.where("exact")
+        if grids is not None:
+            late = batch.where("NOT exact")
+            groups = [(r["product"], r["level"], r["upto"]) for r in late.groupBy("product", "level").agg(F.max("valid_at").alias("upto")).collect()]
+            for product, level, upto in groups:
+                table = filter_catalog(grids(), product, level).where(F.col("valid_at") <= F.lit(upto))
+                whole = table.unionByName(late.join(table, "file_key", "left_anti").where((F.col("product") == product) & (F.col("level") == level)), allowMissingColumns=True)
+                again = frame_history(whole.select("file_key", "product", "level", "valid_at", "n_rows", "n_cols"), history)
+                known = known.unionByName(again.join(late.select("file_key"), "file_key", "left_semi").withColumn("exact", F.lit(True)))
+        else:
+            known = batch
+        return forecast(known, horizons)
+
+    return frame_histories(stream, history, stored), step
+
+
+def write_nowcasts(nowcasts: DataFrame, path: str, mode: str = "append") -> None:
+    """Store nowcast rows under product, level and the day and hour they fall due."""
+    hour = F.date_format("valid_at", "HH")
+    due = nowcasts.withColumns({"due_day": F.date_format("valid_at", "yyyy-MM-dd"), "due_hour": hour})
+    due.write.mode(mode).partitionBy("product", "level", "due_day", "due_hour").parquet(path)
+
+
+def due_nowcasts(spark: SparkSession, path: str, schema: str, seconds: int = MATCH_WINDOW_SECONDS) -> Callable[[DataFrame], DataFrame]:
+    """For a batch of grids, the stored nowcasts that may fall due with it.
+
+    The batch's few products, levels and hours become filters on partition columns, so only their
+    folders are listed and read, whatever the table holds.  A batch over more than ``DUE_KEYS``
+    hours is given the range of days of each product and level instead.
+    """
 
-    return stream, step
+    def of(batch: DataFrame) -> DataFrame:
+        at = F.unix_timestamp("valid_at")
+        hours = F.sequence(F.floor((at - seconds) / HOUR), F.floor((at + seconds) / HOUR))
+        keys = batch.select("product", "level", F.explode(hours).alias("hour")).distinct()
+        found = keys.limit(DUE_KEYS + 1).collect()
+        table = spark.read.schema(schema).parquet(path)
+        wanted: list[Column] = []
+        if len(found) > DUE_KEYS:
+            day = F.date_format(F.timestamp_seconds(F.col("hour") * HOUR), "yyyy-MM-dd")
+            for r in keys.groupBy("product", "level").agg(F.min(day).alias("first"), F.max(day).alias("last")).collect():
+                wanted.append(_in_group(r) & F.col("due_day").between(r["first"], r["last"]))
+        else:
+            days: dict[tuple, list[str]] = {}
+            for r in found:
+                moment = datetime.fromtimestamp(r["hour"] * HOUR, UTC)
+                days.setdefault((r["product"], r["level"], f"{moment:%Y-%m-%d}"), []).append(f"{moment:%H}")
+            for (product, level, day), names in sorted(days.items()):
+                wanted.append(_in_group({"product": product, "level": level}) & (F.col("due_day") == day) & F.col("due_hour").isin(names))
+        return table.where(functools.reduce(operator.or_, wanted, F.lit(False)))
+
+    return of
+
+
+def _in_group(row: Mapping[str, str]) -> Column:
+    return (F.col("product") == row["product"]) & (F.col("level") == row["level"])
 
 
 def verify_stream(
@@ -151,16 +212,19 @@ def verify_stream(
     return left.join(right, same & within).drop("_bucket", "_o_bucket", *[f"_o_{c}" for c in by])
 
 
-def verify_batch(nowcast_table: Callable[[], DataFrame], seconds: int = MATCH_WINDOW_SECONDS) -> Callable[[DataFrame], DataFrame]:
-    """Batch step: each new grid against the forecasts stored so far."""
-    return lambda batch: match_forecasts(nowcast_table(), batch, seconds)
+def verify_batch(nowcasts: Callable[[DataFrame], DataFrame], seconds: int = MATCH_WINDOW_SECONDS) -> Callable[[DataFrame], DataFrame]:
+    """Batch step: each new grid against the forecasts stored so far; ``nowcasts`` gives those that a batch may meet."""
+    return lambda batch: match_forecasts(nowcasts(batch), batch, seconds)
 
 
 def score_batch(
-    nowcast_table: Callable[[], DataFrame], blocks: Callable[[], DataFrame], threshold: float | None = DEFAULT_THRESHOLD, seconds: int = MATCH_WINDOW_SECONDS
+    nowcasts: Callable[[DataFrame], DataFrame],
+    blocks: Callable[[], DataFrame],
+    threshold: float | None = DEFAULT_THRESHOLD,
+    seconds: int = MATCH_WINDOW_SECONDS,
 ) -> Callable[[DataFrame], DataFrame]:
     """Batch step: score the stored forecasts that the new grids fall due for; keyed by forecast and observation."""
-    return lambda batch: verify(nowcast_table(), batch, blocks(), None, threshold, seconds)
+    return lambda batch: verify(nowcasts(batch), batch, blocks(), None, threshold, seconds)
 
 
 _RULE_OUT = "rule_id string, file_key string, valid_at timestamp, value double, satisfied boolean, fired boolean, late boolean"
@@ -200,7 +264,11 @@ def rule_stream(evals: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 
 def conflate(batch: DataFrame, by: Sequence[str], arrival: str) -> DataFrame:
-    """Newest row per group by arrival, and how many it superseded."""
+    """Newest row per group by arrival, and how many it superseded.
+
+    Over a stream, in update mode, the newest row and the count are the state of a group: a batch's
+    rows are what holds after it, and earlier batches are not read again.
+    """
     payload = [c for c in batch.columns if c not in by]
     newest_row = batch.groupBy(*by).agg(
         F.max_by(F.struct(*payload), F.struct(arrival, *payload)).alias("_r"), (F.count("*") - 1).alias("superseded")

@@ -1,8 +1,13 @@
+import contextlib
+import io
+import time
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from helpers import START
-from stormframe.operators import rules
-from stormframe.streaming import jobs
+from stormframe.operators import catalog, forecast, rules
+from stormframe.streaming import jobs, state
 from test_tables import EVALS, at
 
 
@@ -15,8 +20,8 @@ def source(spark, df, folder):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
 
 
-def run(stream, out, checkpoint, transform=None):
-    jobs.run_available(stream, jobs.batch_writer(str(out), transform), str(checkpoint)).awaitTermination()
+def run(stream, out, checkpoint, transform=None, mode="append", waits=False):
+    jobs.run_available(stream, jobs.batch_writer(str(out), transform), str(checkpoint), mode, waits).awaitTermination()
 
 
 def test_rule_state_survives_restarts_and_matches_batch(spark, tmp_path):
@@ -92,3 +97,123 @@ def test_rules_start_from_their_stored_state_and_late_grids_do_not_fire(spark, t
         run(jobs.rule_stream(source(spark, df, tmp_path / "in"), state), tmp_path / "out", tmp_path / "checkpoint")
     got = {r.file_key: (r.fired, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"f1": (False, False), "f3": (False, False), "f2": (False, True), "f4": (True, False)}
+
+
+FRAMES = "file_key string, product string, level string, valid_at timestamp, n_rows int, n_cols int"
+
+
+def hourly(spark, n, gap_after):
+    """Frames an hour apart, with a day between two of them."""
+    rows = [(f"f{i:02d}", "P", "L", START + timedelta(hours=i + (24 if i > gap_after else 0)), 2, 2) for i in range(n)]
+    return spark.createDataFrame(rows, FRAMES)
+
+
+def members(df):
+    return {(r.source_file_key, r.horizon): tuple(r.members) for r in df.collect()}
+
+
+def test_history_is_exact_over_hours_gaps_and_restarts(spark, tmp_path):
+    df = hourly(spark, 12, 6)
+    stored = df.where("file_key < 'f03'")
+    for step in (["f03"], ["f05", "f04"], ["f06", "f05", "f07", "f08"], ["f09", "f10", "f11"]):
+        arrive(df.where(F.col("file_key").isin(step)), tmp_path / "in", step[0])
+        stream, issue = jobs.nowcast_stream(source(spark, df, tmp_path / "in"), forecast.ensemble_of_history, history=4, stored=stored)
+        run(stream, tmp_path / "out", tmp_path / "checkpoint", issue)
+    want = forecast.lagged_ensemble(df, 4).where("source_file_key >= 'f03'")
+    assert members(spark.read.parquet(str(tmp_path / "out"))) == members(want)
+
+
+def test_a_frame_older_than_what_is_remembered_takes_its_history_from_the_table(spark, tmp_path):
+    df = hourly(spark, 12, 20)
+    for step in ([f"f{i:02d}" for i in range(12) if i != 2], ["f02"]):
+        arrive(df.where(F.col("file_key").isin(step)), tmp_path / "in", step[0])
+        histories = state.frame_histories(source(spark, df, tmp_path / "in"), 3, kept=4)
+        _, issue = jobs.nowcast_stream(df, forecast.ensemble_of_history, history=3, grids=lambda: df)
+        run(histories, tmp_path / "out", tmp_path / "checkpoint", issue)
+    got = members(spark.read.parquet(str(tmp_path / "out")))
+    assert got["f02", 10] == ("f00", "f01", "f02") and got["f03", 10] == ("f00", "f01", "f03")
+
+
+def test_histories_seeded_from_a_table_are_those_of_the_whole(spark, tmp_path):
+    df = hourly(spark, 8, 3).unionByName(hourly(spark, 5, 2).withColumns({"product": F.lit("Q"), "file_key": F.concat(F.lit("q"), "file_key")}))
+    (tmp_path / "in").mkdir()
+    arrive(df.where("file_key >= 'f06' AND file_key < 'q' OR file_key >= 'qf04'"), tmp_path / "in", "a")
+    run(state.frame_histories(source(spark, df, tmp_path / "in"), 3, df.where("file_key < 'f06' OR file_key >= 'q' AND file_key < 'qf04'")), tmp_path / "out", tmp_path / "c")
+    got = {r.file_key: [h.file_key for h in r.history] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.file_key: [h.file_key for h in r.history] for r in catalog.frame_history(df, 3).collect()}
+    assert got == {k: want[k] for k in ("f06", "f07", "qf04")}
+
+
+def plan_text(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_a_batch_reads_only_the_hours_that_fall_due(spark, tmp_path):
+    grids = hourly(spark, 60, 100)
+    said = forecast.persistence(grids)
+    path = str(tmp_path / "nowcasts")
+    jobs.write_nowcasts(said, path)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in said.schema.fields)
+    due = jobs.due_nowcasts(spark, path, f"{columns}, due_day string, due_hour string")
+    batch = grids.where("file_key = 'f30'")
+    plan = plan_text(due(batch))
+    assert "PartitionFilters" in plan and "due_hour" in plan.split("PartitionFilters")[1].split("\n")[0]
+    few = len(due(batch).inputFiles())
+    assert 0 < len({f.rsplit("/", 1)[0] for f in due(batch).select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}) <= 2 < len({f.rsplit("/", 1)[0] for f in spark.read.parquet(path).inputFiles()}) and few
+    got = {tuple(r) for r in jobs.verify_batch(due)(batch).select("nowcast_id", "observation_file_key").collect()}
+    want = {tuple(r) for r in jobs.verify_batch(lambda _: said)(batch).select("nowcast_id", "observation_file_key").collect()}
+    assert got == want and got
+    assert jobs.verify_batch(due)(batch.limit(0)).count() == 0
+    # More hours than are named one by one: days instead, with the same pairs.
+    all_pairs = {tuple(r) for r in jobs.verify_batch(lambda _: said)(grids).select("nowcast_id", "observation_file_key").collect()}
+    before, jobs.DUE_KEYS = jobs.DUE_KEYS, 3
+    try:
+        assert {tuple(r) for r in jobs.verify_batch(due)(grids).select("nowcast_id", "observation_file_key").collect()} == all_pairs
+    finally:
+        jobs.DUE_KEYS = before
+
+
+def test_conflation_keeps_its_state_over_batches_and_restarts(spark, tmp_path):
+    rows = [("P", f"f{i}", at(i)) for i in range(4)] + [("Q", "g", at(0))]
+    df = spark.createDataFrame(rows, "product string, file_key string, arrived timestamp")
+    for step in (["f0", "f2", "g"], ["f1"], ["f3"]):
+        arrive(df.where(F.col("file_key").isin(step)), tmp_path / "in", step[0])
+        run(jobs.conflate(source(spark, df, tmp_path / "in"), ["product"], "arrived"), tmp_path / "out", tmp_path / "checkpoint", mode="update")
+    out = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    got = jobs.latest_rows(out, ["product"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.conflate(df, ["product"], "arrived").select(*got.columns).collect()))
+    # A batch writes the groups it has met.
+    assert {r["product"] for r in out.where("batch = 1").collect()} == {"P"}
+
+
+ATTEMPTS = "delivery_id string, subscription_id string, created_at timestamp, attempt int, response_status int"
+
+
+def test_deliveries_end_once_and_wait_for_their_next_attempt(spark, tmp_path):
+    rows = [("a", 1, 500), ("b", 1, 200), ("c", 1, 404), ("d", 1, None), ("a", 1, 500), ("a", 2, 201), ("b", 1, 200), ("d", 2, 503), ("d", 3, 503), ("d", 4, 503), ("a", 3, 500)]
+    df = spark.createDataFrame([(k, "s", at(0), n, c) for k, n, c in rows], ATTEMPTS).withColumn("i", F.monotonically_increasing_id())
+    order = [r.i for r in df.orderBy("i").collect()]
+    for step in (order[:4], order[4:5], order[5:8], order[8:]):
+        arrive(df.where(F.col("i").isin(step)), tmp_path / "in", str(step[0]))
+        run(state.delivery_stream(source(spark, df, tmp_path / "in"), backoff_seconds=0.5), tmp_path / "out", tmp_path / "checkpoint", waits=True)
+        time.sleep(1.2)
+    got = [(r.delivery_id, r.attempt, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    final = sorted(x for x in got if x[2] != "due")
+    assert final == [("a", 2, "ok"), ("b", 1, "ok"), ("c", 1, "failed"), ("d", 4, "failed")]
+    due = [x for x in got if x[2] == "due"]
+    # The wait of a and d was over when the second batch came; that of d's second attempt is cancelled by its third.
+    assert sorted(due) == [("a", 2, "due"), ("d", 2, "due")] and len(set(due)) == len(due)
+
+
+def test_streaks_equal_the_batch_whatever_the_order(spark, tmp_path):
+    rows = [(f"{s}{i:02d}", s, "failed" if (i > 3) ^ (s == "b" and i == 9) else "ok", at(i)) for s in "abc" for i in range(10 if s != "c" else 4)]
+    df = spark.createDataFrame(rows, "id string, subscription_id string, status string, created_at timestamp")
+    for k in (2, 0, 1):
+        arrive(df.where(F.substring("id", 2, 2).cast("int") % 3 == k), tmp_path / "in", f"s{k}")
+        run(state.streak_stream(source(spark, df, tmp_path / "in")), tmp_path / "out", tmp_path / "checkpoint", mode="update")
+    out = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    got = jobs.latest_rows(out, ["subscription_id"]).where("failing").select("subscription_id", "last_failed_at")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rules.failing_subscriptions(df).collect())) != []
