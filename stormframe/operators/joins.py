@@ -7,8 +7,9 @@ measured size allows, and splits skewed partitions otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.geo import edges_contain_point, parts_edges
@@ -79,43 +80,140 @@ def align_cells(forecast: DataFrame, observation: DataFrame) -> DataFrame:
     return left.join(right, ["pair_id", "row_i", "col_i"])
 
 
+#: How often a cover square may be cut in four, and the least points for which one is.
+COVER_DEPTH = 6
+LEAST_POINTS = 4096
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Squares of ``degrees``, cut in four where points are many; ``parts`` has the parts that the fullest last squares are dealt to.
+
+    Every cut square, and every square dealt to parts, holds more than ``most`` points, so there
+    are at most ``COVER_DEPTH`` times as many of them as ``most`` goes into the points.
+    """
+
+    degrees: float
+    cut: frozenset[int]
+    parts: dict[int, int]
+
+    def side(self, depth: int) -> float:
+        return self.degrees / 2**depth
+
+    def key(self, x: Column, y: Column, depth: int | Column) -> Column:
+        """A square's number, from its column, row and depth."""
+        return ((x.cast("long") + F.lit(1 << 27)) * F.lit(1 << 28) + y.cast("long") + F.lit(1 << 27)) * F.lit(8) + depth
+
+    def at(self, lng: Column, lat: Column, depth: int) -> Column:
+        return self.key(F.floor(lng / self.side(depth)), F.floor(lat / self.side(depth)), depth)
+
+    def is_cut(self, key: Column) -> Column:
+        return key.isin(*self.cut) if self.cut else F.lit(False)
+
+    def square(self, lng: Column, lat: Column) -> Column:
+        """The uncut square of a point."""
+        out = self.at(lng, lat, COVER_DEPTH)
+        for depth in reversed(range(COVER_DEPTH)):
+            key = self.at(lng, lat, depth)
+            out = F.when(self.is_cut(key), out).otherwise(key)
+        return out
+
+    def dealt(self, key: Column) -> Column:
+        """How many parts a square's points are dealt to."""
+        out = F.lit(1)
+        for n in sorted(set(self.parts.values())):
+            out = F.when(key.isin(*[k for k, m in self.parts.items() if m == n]), n).otherwise(out)
+        return out
+
+
+def measured_cover(points: DataFrame, lng: Column, lat: Column, degrees: float = COVER_DEGREES, most: int | None = None) -> Cover:
+    """A cover whose squares hold about ``most`` points (a quarter of a shuffle partition's share), from counts of all points."""
+    whole = Cover(degrees, frozenset(), {})
+    last = [F.floor(v / whole.side(COVER_DEPTH)).alias(n) for v, n in ((lng, "x"), (lat, "y"))]
+    counts = points.select(*last).groupBy("x", "y").agg(F.count("*").alias("n")).persist()
+    if most is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        most = max(LEAST_POINTS, total // (4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut: set[int] = set()
+    for depth in range(COVER_DEPTH):
+        up = 2 ** (COVER_DEPTH - depth)
+        key = whole.key(F.floor(F.col("x") / up), F.floor(F.col("y") / up), depth)
+        full = counts.groupBy(key.alias("k")).agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+        cut |= {r["k"] for r in full}
+        if not full:
+            break
+    heavy = counts.where(F.col("n") > most).select(whole.key(F.col("x"), F.col("y"), COVER_DEPTH).alias("k"), "n").collect()
+    counts.unpersist()
+    # Powers of two, so that few numbers of parts occur.
+    return Cover(degrees, frozenset(cut), {r["k"]: 1 << (-(-r["n"] // most) - 1).bit_length() for r in heavy})
+
+
+def _rim_meets(edges: str, left: Column, bottom: Column, side: float) -> Column:
+    """Whether the bounds of any edge touch a square."""
+
+    def touches(e: Column) -> Column:
+        across = (F.greatest(e["p"]["lng"], e["q"]["lng"]) >= left) & (F.least(e["p"]["lng"], e["q"]["lng"]) <= left + side)
+        return across & (F.greatest(e["p"]["lat"], e["q"]["lat"]) >= bottom) & (F.least(e["p"]["lat"], e["q"]["lat"]) <= bottom + side)
+
+    return F.exists(edges, lambda part: F.exists(part, touches))
+
+
+def _cover_polygons(polygons: DataFrame, cover: Cover) -> DataFrame:
+    """Polygons under the uncut squares they meet; ``_inside`` where a square needs no edge test.
+
+    A square that no edge's bounds touch lies wholly inside or outside, which its corner tells.
+    """
+    rows = polygons.where(F.col("parts").isNotNull() & F.col("min_lng").isNotNull()).withColumn("_edges", parts_edges(F.col("parts")))
+
+    def squares(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / cover.degrees), F.floor(F.col(high) / cover.degrees)))
+
+    rows = rows.withColumn("_x", squares("min_lng", "max_lng")).withColumn("_y", squares("min_lat", "max_lat")).withColumn("_inside", F.lit(False))
+    found: DataFrame | None = None
+    for depth in range(COVER_DEPTH + 1):
+        side = cover.side(depth)
+        left, bottom = F.col("_x") * side, F.col("_y") * side
+
+        rim = ~F.col("_inside") & _rim_meets("_edges", left, bottom, side)
+        within = F.col("_inside") | edges_contain_point(F.col("_edges"), left, bottom)
+        rows = rows.withColumn("_rim", rim).where(F.col("_rim") | within).withColumn("_inside", ~F.col("_rim")).drop("_rim")
+        rows = rows.withColumn("_square", cover.key(F.col("_x"), F.col("_y"), depth))
+        uncut = rows.where(~cover.is_cut(F.col("_square"))) if depth < COVER_DEPTH else rows
+        found = uncut if found is None else found.unionByName(uncut)
+        if depth == COVER_DEPTH or not any(k % 8 == depth for k in cover.cut):
+            break
+        quarters = F.explode(F.array(*[F.struct((F.col("_x") * 2 + i).alias("x"), (F.col("_y") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
+        rows = rows.where(cover.is_cut(F.col("_square"))).withColumn("_q", quarters)
+        rows = rows.withColumns({"_x": F.col("_q.x"), "_y": F.col("_q.y")}).drop("_q", "_square")
+    return found.drop("_x", "_y")
+
+
 def points_in_polygons(
     points: DataFrame,
     polygons: DataFrame,
     lng: str = "longitude",
     lat: str = "latitude",
-    cover_degrees: float = COVER_DEGREES,
+    cover: Cover | None = None,
 ) -> DataFrame:
     """Point and polygon pairs, boundary included; missing coordinates or geometry never match.
 
-    A polygon is listed under every cover square its bounds touch, a point under its own,
-    so a pair meets once.  ``polygons`` carries ``parts`` and its bounds columns.
+    A polygon is listed under every square of ``cover`` that it meets, a point under its own, so a pair
+    meets once.  Without a cover, one is measured on the points: squares with many points are cut in
+    four, again and again, and what is still too full at the last depth is dealt to parts.
     """
-
-    def square(value, name):
-        return F.floor(value / cover_degrees).alias(name)
-
-    def squares(low, high):
-        return F.explode(F.sequence(F.floor(F.col(low) / cover_degrees), F.floor(F.col(high) / cover_degrees)))
-
-    covered = (
-        polygons.where(F.col("parts").isNotNull() & F.col("min_lng").isNotNull())
-        .withColumn("_edges", parts_edges(F.col("parts")))
-        .withColumn("_cx", squares("min_lng", "max_lng"))
-        .withColumn("_cy", squares("min_lat", "max_lat"))
-    )
-    placed = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull()).select(
-        "*", square(F.col(lng), "_cx"), square(F.col(lat), "_cy")
-    )
-    in_bounds = F.col(lng).between(F.col("min_lng"), F.col("max_lng")) & F.col(lat).between(
-        F.col("min_lat"), F.col("max_lat")
-    )
-    return (
-        placed.join(covered, ["_cx", "_cy"])
-        .where(in_bounds)
-        .where(edges_contain_point(F.col("_edges"), F.col(lng), F.col(lat)))
-        .drop("_cx", "_cy", "_edges")
-    )
+    located = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull())
+    if cover is None:
+        cover = measured_cover(located, F.col(lng), F.col(lat))
+    covered = _cover_polygons(polygons, cover)
+    square = cover.square(F.col(lng), F.col(lat))
+    placed = located.withColumn("_square", square)
+    if cover.parts:
+        placed = placed.withColumn("_deal", F.pmod(F.xxhash64(*points.columns), cover.dealt(F.col("_square")).cast("long")))
+        covered = covered.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), cover.dealt(F.col("_square")).cast("long") - 1)))
+    on = ["_square", *(["_deal"] if cover.parts else [])]
+    in_bounds = F.col(lng).between(F.col("min_lng"), F.col("max_lng")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
+    exact = in_bounds & edges_contain_point(F.col("_edges"), F.col(lng), F.col(lat))
+    return placed.join(covered, on).where(F.col("_inside") | exact).drop(*on, "_edges", "_inside")
 
 
 def rules_for_grids(rules: DataFrame, grids: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:
