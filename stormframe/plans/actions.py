@@ -12,7 +12,9 @@ from stormframe.operators import changes, forecast, joins, rules
 from stormframe.plans.derived import EPOCH0, Tables, at_epoch, text
 from stormframe.plans.reads import axes
 from stormframe.plans.registry import big, epoch, micros, query, rounded
+from stormframe.session import scratch_folder
 from stormframe.sources import events as messages
+from stormframe.sources import partitions
 
 NOW = datetime(2024, 6, 1, tzinfo=UTC)
 
@@ -231,6 +233,24 @@ def upsert_files(t: Tables) -> DataFrame:
     return out.select("file_key", "action", "size_bytes", "etag", epoch("updated_at", "updated_epoch"))
 
 
+@query(
+    "upsert_files_stored",
+    f"""SELECT coalesce(o.file_key, n.file_key) AS file_key,
+               CASE WHEN {_ACTION} IN ('inserted', 'updated') THEN n.size_bytes ELSE o.size_bytes END AS size_bytes,
+               CASE WHEN {_ACTION} IN ('inserted', 'updated') THEN n.etag ELSE o.etag END AS etag,
+               CASE WHEN {_ACTION} IN ('inserted', 'updated') THEN 1717200000 ELSE 1704067200 END AS updated_epoch {_UPSERT}""",
+    ("files",),
+)
+def upsert_files_stored(t: Tables) -> DataFrame:
+    """The same batch into a table stored by day."""
+    path = f"{scratch_folder(t.spark, 'upserts')}/files"
+    day = F.date_format("valid_at", "yyyy-MM-dd").alias("valid_date")
+    target = _target(t).select("*", day)
+    target.write.partitionBy("valid_date").parquet(path)
+    partitions.upsert_stored(path, target.schema, _batch_once(t).select("*", day), ["file_key"], _MUTABLE, NOW, ["valid_date"], batch_order=["seq"])
+    return t.spark.read.schema(target.schema).parquet(path).select("file_key", "size_bytes", "etag", epoch("updated_at", "updated_epoch"))
+
+
 @query("upsert_action_counts", f"SELECT {_ACTION} AS action, count(*) AS n_rows {_UPSERT} GROUP BY 1", ("files",))
 def upsert_action_counts(t: Tables) -> DataFrame:
     return changes.action_counts(changes.upsert(_target(t), _batch_once(t), ["file_key"], _MUTABLE, NOW, batch_order=["seq"]))
@@ -284,15 +304,14 @@ def _stored(t: Tables) -> dict[str, DataFrame]:
 CUT = datetime(2024, 1, 1, 8, tzinfo=UTC)
 
 
-@query(
-    "prune_files_cascade",
-    """SELECT 'files' AS name, count(*) FILTER (WHERE valid_epoch >= 1704067200 + 7200) AS kept, count(*) FILTER (WHERE valid_epoch < 1704067200 + 7200) AS dropped FROM files
+_PRUNED = """SELECT 'files' AS name, count(*) FILTER (WHERE valid_epoch >= 1704067200 + 7200) AS kept, count(*) FILTER (WHERE valid_epoch < 1704067200 + 7200) AS dropped FROM files
        UNION ALL SELECT 'grids', count(*) FILTER (WHERE valid_epoch >= 1704067200 + 7200), count(*) FILTER (WHERE valid_epoch < 1704067200 + 7200) FROM grids
        UNION ALL SELECT 'nowcasts', 3 * count(*) FILTER (WHERE valid_epoch >= 1704067200 + 7200), 3 * count(*) FILTER (WHERE valid_epoch < 1704067200 + 7200) FROM grids
        UNION ALL SELECT 'verifications', count(*) FILTER (WHERE due_epoch - horizon * 60 >= 1704067200 + 7200 AND observation_epoch >= 1704067200 + 7200),
-                        count(*) FILTER (WHERE due_epoch - horizon * 60 < 1704067200 + 7200 OR observation_epoch < 1704067200 + 7200) FROM pairs""",
-    ("files", "grids", "pairs"),
-)
+                        count(*) FILTER (WHERE due_epoch - horizon * 60 < 1704067200 + 7200 OR observation_epoch < 1704067200 + 7200) FROM pairs"""
+
+
+@query("prune_files_cascade", _PRUNED, ("files", "grids", "pairs"))
 def prune_files_cascade(t: Tables) -> DataFrame:
     out = None
     for name, (kept, dropped) in changes.prune_files(_stored(t), 6, CUT).items():
@@ -301,6 +320,32 @@ def prune_files_cascade(t: Tables) -> DataFrame:
     return out
 
 
+@query("prune_files_stored", _PRUNED, ("files", "grids", "pairs"))
+def prune_files_stored(t: Tables) -> DataFrame:
+    """Retention on tables stored by the day of their source file."""
+    folder = scratch_folder(t.spark, "dated")
+    stored = _stored(t)
+    source = stored["nowcasts"].select("nowcast_id", (F.col("valid_at") - F.make_dt_interval(mins=F.col("horizon"))).alias("_issued"))
+    seen = stored["grids"].select(F.col("file_key").alias("observation_file_key"), F.col("valid_at").alias("_seen"))
+    scored = stored["verifications"].join(source, "nowcast_id").join(seen, "observation_file_key").withColumn("_first", F.least("_issued", "_seen"))
+    rows = {
+        "files": (stored["files"], F.col("valid_at")),
+        "grids": (stored["grids"], F.col("valid_at")),
+        "nowcasts": (stored["nowcasts"], F.col("valid_at") - F.make_dt_interval(mins=F.col("horizon"))),
+        "verifications": (scored, F.col("_first")),
+    }
+    paths = {name: f"{folder}/{name}" for name in rows}
+    for name, (df, at) in rows.items():
+        partitions.write_dated(df, paths[name], at)
+    tally = partitions.prune_stored(t.spark, paths, 6, CUT)
+    out = None
+    for name, path in paths.items():
+        kept = t.spark.read.parquet(path).agg(F.count("*").alias("kept"))
+        row = kept.select(F.lit(name).alias("name"), "kept", F.lit(tally[name]["rows"]).cast("long").alias("dropped"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "prune_alerts",
     "SELECT id FROM alerts WHERE expires IS NULL OR expires >= TIMESTAMP '1998-05-02'",

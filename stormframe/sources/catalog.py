@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from stormframe.functions.parsing import FILE_KEY_PATTERN
 from stormframe.operators.catalog import filter_catalog, scan_days
 from stormframe.operators.grid import explode_cells
+from stormframe.sources.partitions import in_partitions, partition_folders, replace_partitions
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +54,10 @@ def skipped(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count_if(F.col("valid_at").isNull()).alias("skipped"))
 
 
+#: Partition columns of stored blocks.
+STORED_BY = ("product", "level", "valid_date")
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """Store blocks by product, level and day.
 
@@ -70,16 +75,22 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     )
 
 
-def replace_grids(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
-    """Blocks to write so that the files in ``blocks`` replace their stored versions.
+def replace_grids(spark: SparkSession, path: str, blocks: DataFrame) -> list[str]:
+    """Store ``blocks`` in place of the stored versions of their files; the partitions written.
 
-    Whole days are rewritten; the other files of those days are carried over.
+    The days of these files are read, the other files of those days carried over, and the days
+    staged and moved in; files of other days are not touched.  The products, levels and days of the
+    new files, not their blocks, come to the driver.
     """
-    stored = read_blocks(spark, path)
-    days = blocks.select("product", "level", F.to_date("valid_at").alias("valid_date")).distinct()
-    same_days = stored.join(days, ["product", "level", "valid_date"], "left_semi")
-    others = same_days.join(blocks.select("file_key").distinct(), "file_key", "left_anti")
-    return others.select(*blocks.columns).unionByName(blocks)
+    dated = blocks.withColumn("valid_date", F.to_date("valid_at"))
+    days = [r.asDict() for r in dated.select(*STORED_BY).distinct().collect()]
+    rows = dated
+    if partition_folders(spark, path, len(STORED_BY)):
+        same_days = read_blocks(spark, path).where(in_partitions(days))
+        others = same_days.join(blocks.select("file_key").distinct(), "file_key", "left_anti")
+        rows = others.select(*dated.columns).unionByName(dated)
+    place = ("file_key", "block_row", "block_col")
+    return replace_partitions(rows.repartition(*STORED_BY, "file_key").sortWithinPartitions(*STORED_BY, *place), path, STORED_BY)
 
 
 def read_blocks(

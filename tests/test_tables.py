@@ -1,6 +1,7 @@
 import json
 import random
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from helpers import START
 from stormframe.functions.values import predicate_holds
 from stormframe.operators import catalog, changes, joins, ordering, rules
 from stormframe.sources import catalog as stored
-from stormframe.sources import feeds
+from stormframe.sources import feeds, partitions
 
 NAN = float("nan")
 
@@ -177,13 +178,76 @@ def test_stored_days_are_replaced_whole(spark, tmp_path):
 
     _, blocks, _ = make_grid(spark, [1, 2], [1, 2], {"a": [1] * 4, "b": [2] * 4})
     path = str(tmp_path / "store")
-    stored.write_blocks(blocks, path)
+    late = blocks.withColumns({"valid_at": F.col("valid_at") + F.expr("interval 3 days"), "file_key": F.concat("file_key", F.lit("-late"))})
+    stored.write_blocks(blocks.unionByName(late), path)
+    before = contents(path)
     changed = blocks.where("file_key = 'b'").withColumn("values", F.transform("values", lambda v: v + 5))
-    merged = stored.replace_grids(spark, path, changed)
-    stored.write_blocks(spark.createDataFrame(merged.collect(), merged.schema), path)
+    assert stored.replace_grids(spark, path, changed) == ["product=P/level=00.50/valid_date=2024-01-01"]
     got = {r.file_key: r.values_ for r in stored.read_blocks(spark, path).withColumnRenamed("values", "values_").collect()}
-    assert got["a"][0] == 1.0 and got["b"][0] == 7.0
-    assert stored.read_blocks(spark, path).where("level = '00.50'").count() == 2
+    assert got["a"][0] == 1.0 and got["b"][0] == 7.0 and got["b-late"][0] == 2.0
+    assert stored.read_blocks(spark, path).where("level = '00.50'").count() == 4
+    after = contents(path)
+    assert {k: v for k, v in after.items() if "01-04" in k} == {k: v for k, v in before.items() if "01-04" in k} != {}
+    # Into a store that is not there yet.
+    stored.replace_grids(spark, str(tmp_path / "new"), blocks)
+    assert stored.read_blocks(spark, str(tmp_path / "new")).count() == 2
+
+
+def contents(path):
+    """Data files and their bytes."""
+    return {str(f): f.read_bytes() for f in Path(path).rglob("*.parquet")}
+
+
+DAY_FILES = "file_key string, valid_at timestamp, size_bytes long, updated_at timestamp, valid_date string"
+
+
+def day_files(spark, rows):
+    return spark.createDataFrame([(k, START + timedelta(days=d), n, START, f"{START + timedelta(days=d):%Y-%m-%d}") for k, d, n in rows], DAY_FILES)
+
+
+def test_a_batch_of_one_day_leaves_other_days_alone(spark, tmp_path):
+    path = str(tmp_path / "files")
+    target = day_files(spark, [(f"f{d}-{i}", d, i) for d in range(4) for i in range(5)])
+    target.write.partitionBy("valid_date").parquet(path)
+    before = contents(path)
+    batch = day_files(spark, [("f2-1", 2, 1), ("f2-2", 2, 70), ("f2-9", 2, 9), ("f2-9", 2, 8), ("f3-0", 3, 0)]).drop("updated_at")
+    now = START + timedelta(days=9)
+
+    def apply():
+        done = partitions.upsert_stored(path, target.schema, batch, ["file_key"], ["size_bytes"], now, ["valid_date"], ["size_bytes"])
+        return {r.file_key: r.action for r in done.collect()}
+
+    assert apply() == {"f2-1": "unchanged", "f2-2": "updated", "f2-9": "inserted", "f3-0": "unchanged"}
+    after = contents(path)
+    kept = {k: v for k, v in before.items() if "01-03" not in k}
+    # Day 3 has a key of the batch too, but nothing changed there.
+    assert {k: v for k, v in after.items() if "01-03" not in k} == kept and len(kept) >= 3
+    want = changes.upsert(target, batch, ["file_key"], ["size_bytes"], now, ["size_bytes"]).drop("action")
+    table = spark.read.schema(target.schema).parquet(path)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, want.select(*table.columns).collect()))
+    assert apply() == {"f2-1": "unchanged", "f2-2": "unchanged", "f2-9": "unchanged", "f3-0": "unchanged"} and contents(path) == after
+    # A table that is not there yet.
+    first = partitions.upsert_stored(str(tmp_path / "none"), target.schema, batch, ["file_key"], ["size_bytes"], now, ["valid_date"], ["size_bytes"])
+    assert {r.action for r in first.collect()} == {"inserted"}
+
+
+def test_retention_drops_days_and_rewrites_one(spark, tmp_path):
+    rows = [(f"f{h:03d}", START + timedelta(hours=h)) for h in range(0, 120, 5)] + [("none", None)]
+    files = spark.createDataFrame(rows, "file_key string, valid_at timestamp")
+    path = str(tmp_path / "files")
+    partitions.write_dated(files, path, F.col("valid_at"))
+    before = contents(path)
+    now = START + timedelta(hours=118)
+    want = {k for k, at in rows if at is None or at >= now - timedelta(hours=60)}
+    tally = partitions.prune_stored(spark, {"files": path}, 60, now)
+    assert {r.file_key for r in spark.read.parquet(path).collect()} == want
+    assert tally == {"files": {"days": 2, "rows": len(rows) - len(want)}}
+    after = contents(path)
+    later = {k: v for k, v in before.items() if any(d in k for d in ("01-04", "01-05", "DEFAULT"))}
+    assert {k: v for k, v in after.items() if k in later} == later and len(later) >= 3
+    assert partitions.prune_stored(spark, {"files": path}, 60, now) == {"files": {"days": 0, "rows": 0}} and contents(path) == after
+    with pytest.raises(ValueError):
+        partitions.prune_stored(spark, {"files": path}, 0, now)
 
 
 def test_a_listed_folder_becomes_a_catalog(spark, tmp_path):
