@@ -76,16 +76,9 @@ def point_in_ring(lng: Column | float, lat: Column | float, ring: Column) -> Col
     return inside_scanline(scanline_crossings(ring_edges(ring), _num(lat)), _num(lng))
 
 
-def point_in_literal_ring(lng: Column, lat: Column, vertices: Sequence[tuple[float, float]]) -> Column:
-    """Ray cast against a few known vertices, unrolled so that it stays in generated code."""
-    inside = F.lit(False)
-    for (xi, yi), (xj, yj) in zip(vertices, [vertices[-1], *vertices[:-1]], strict=True):
-        if yi == yj:
-            continue
-        edge_x = (F.lit(xj - xi) * (lat - F.lit(yi))) / F.lit(yj - yi) + F.lit(xi)
-        crossing = ((F.lit(yi) > lat) != (F.lit(yj) > lat)) & (edge_x > lng)
-        inside = inside != crossing
-    return inside
+def literal_ring(vertices: Sequence[tuple[float, float]]) -> Column:
+    """A ring of known vertices."""
+    return F.array(*[F.struct(F.lit(float(x)).alias("lng"), F.lit(float(y)).alias("lat")) for x, y in vertices])
 
 
 def _turn(p: Column, q: Column, x: Column, y: Column) -> Column:

@@ -59,6 +59,45 @@ def active_at(df: DataFrame, t: datetime | Column) -> DataFrame:
     return df.where(is_active_at(df, t))
 
 
+#: Width of the narrowest time bucket in seconds, and buckets of the widest that the instants may span.
+NARROWEST, WIDE_BUCKETS = 3600, 64
+
+
+def active_at_instants(alerts: DataFrame, instants: DataFrame, at: str = "at") -> DataFrame:
+    """Every instant with each alert in force then, ends included and open where missing.
+
+    An interval index: an alert is listed in the buckets it meets of the narrowest width, doubling
+    from an hour, that is no shorter than it - one or two, or up to 65 of the widest width - and an
+    instant in its bucket of every width.  Open ends reach to the first and last instant.
+    """
+    range_ = instants.agg(F.min(F.unix_timestamp(at)).alias("low"), F.max(F.unix_timestamp(at)).alias("high")).first()
+    if range_["low"] is None:
+        return alerts.join(instants, F.lit(False))
+    low, high = range_["low"], range_["high"]
+    levels = 0
+    while (high - low) >= WIDE_BUCKETS * NARROWEST << levels:
+        levels += 1
+
+    def edge(names: tuple[str, str], open_: int) -> Column:
+        present = [F.unix_timestamp(n) for n in names if n in alerts.columns]
+        return F.coalesce(*present, F.lit(open_).cast("long"))
+
+    start, end = F.greatest(edge(("onset", "effective"), low), F.lit(low)), F.least(edge(("ends", "expires"), high), F.lit(high))
+    level = F.lit(levels)
+    for k in reversed(range(levels)):
+        level = F.when(F.col("_end") - F.col("_start") <= NARROWEST << k, k).otherwise(level)
+    width = F.element_at(F.array(*[F.lit(NARROWEST << k).cast("long") for k in range(levels + 1)]), F.col("_level") + 1)
+    listed = (
+        alerts.withColumns({"_start": start, "_end": end})
+        .where(F.col("_start") <= F.col("_end"))
+        .withColumn("_level", level)
+        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))))
+    )
+    seen = instants.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(levels + 1)])))
+    seen = seen.withColumn("_bucket", F.floor(F.unix_timestamp(at) / width))
+    return seen.join(listed, ["_level", "_bucket"]).where(is_active_at(listed, F.col(at))).drop("_level", "_bucket", "_start", "_end")
+
+
 def severity_at_least(df: DataFrame, severity: str, column: str = "severity") -> DataFrame:
     """Rows whose severity is one of the known rungs at or above the given one."""
     floor = SEVERITY_RANKS.get(severity, 0)

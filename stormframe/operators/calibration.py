@@ -98,6 +98,87 @@ def calibration_series(
     return pod_far_csi(chosen.groupBy(*GROUP, bucket).agg(*series_aggregates())).orderBy(*GROUP, "bucket_epoch")
 
 
+#: Width of the stored partial sums, and what wider buckets may be made of them.
+ROLLUP_SECONDS = 300
+WIDEST_SECONDS = 86400
+ROLLUP_KEY = ("product", "level", *GROUP, "bucket_epoch")
+
+_ROLLED = ("mae", "bias", "rmse")
+_COUNTED = ("hits", "misses", "false_alarms", "correct_negatives")
+_SUMMED = ("verification_count", "sample_count", *[f"{c}_sum" for c in _ROLLED], *_COUNTED, "scored_count", "brier_sum", "crps_sum")
+
+
+def calibration_rollup(verifications: DataFrame) -> DataFrame:
+    """Partial sums per product, level, algorithm, lead time and 300 seconds, from which all wider series follow."""
+    n, scored = F.col("sample_count"), F.col("brier_score").isNotNull()
+    cells = verifications.withColumn("bucket_epoch", bucket_start(F.col("verified_at"), ROLLUP_SECONDS)).groupBy(*ROLLUP_KEY)
+    return cells.agg(
+        F.count("*").alias("verification_count"),
+        F.sum(n).alias("sample_count"),
+        *[F.sum(F.col(c) * n).alias(f"{c}_sum") for c in _ROLLED],
+        *[F.sum(c).alias(c) for c in _COUNTED],
+        F.sum(F.when(scored, n).otherwise(0)).alias("scored_count"),
+        F.sum(F.col("brier_score") * n).alias("brier_sum"),
+        F.sum(F.col("crps") * n).alias("crps_sum"),
+        *_extremes(merged=False),
+    )
+
+
+def _extremes(merged: bool) -> list[Column]:
+    edges = (("low", F.min), ("high", F.max))
+    return [f(f"{edge}_{c}" if merged else c).alias(f"{edge}_{c}") for c in ("threshold_dbz", "ensemble_size") for edge, f in edges]
+
+
+def merge_rollups(rollups: DataFrame, bucket: Column | str = "bucket_epoch", key: Sequence[str] = ROLLUP_KEY[:-1]) -> DataFrame:
+    """Cells of one key and bucket as one; sums of sums, extremes of extremes."""
+    at = F.col(bucket) if isinstance(bucket, str) else bucket
+    return rollups.groupBy(*key, at.alias("bucket_epoch")).agg(*[F.sum(c).alias(c) for c in _SUMMED], *_extremes(merged=True))
+
+
+def series_of_rollup(
+    rollup: DataFrame,
+    bucket_seconds: int = BUCKET_SECONDS,
+    since: datetime | None = None,
+    product: str | None = None,
+    level: str | None = None,
+    algorithm: str | None = None,
+) -> DataFrame:
+    """``calibration_series`` of the verifications behind a roll-up, without reading them.
+
+    Widths are whole multiples of 300 seconds up to a day; ``since`` falls on such a boundary.
+    """
+    if bucket_seconds % ROLLUP_SECONDS or not ROLLUP_SECONDS <= bucket_seconds <= WIDEST_SECONDS:
+        raise ValueError(f"bucket width must be a multiple of {ROLLUP_SECONDS} up to {WIDEST_SECONDS} seconds")
+    if since is not None and since.timestamp() % ROLLUP_SECONDS:
+        raise ValueError(f"a roll-up starts on whole {ROLLUP_SECONDS} seconds")
+    chosen = rollup
+    for name, wanted in (("product", product), ("level", level), ("algorithm", algorithm)):
+        chosen = chosen if wanted is None else chosen.where(F.col(name) == wanted)
+    if since is not None:
+        chosen = chosen.where(F.col("bucket_epoch") >= int(since.timestamp()))
+    wide = (F.floor(F.col("bucket_epoch") / bucket_seconds) * bucket_seconds).cast("long")
+    merged = merge_rollups(chosen, wide, GROUP)
+    n, scored = F.col("sample_count"), F.col("scored_count")
+
+    def only(name: str) -> Column:
+        return F.when(F.col(f"low_{name}") == F.col(f"high_{name}"), F.col(f"high_{name}")).alias(name)
+
+    series = merged.select(
+        *GROUP,
+        "bucket_epoch",
+        "verification_count",
+        F.coalesce(n, F.lit(0)).cast("long").alias("sample_count"),
+        *[F.coalesce(ratio(F.col(f"{c}_sum"), n), F.lit(0.0)).alias(f"{c}_mean") for c in _ROLLED],
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _COUNTED],
+        only("threshold_dbz"),
+        only("ensemble_size"),
+        F.coalesce(scored, F.lit(0)).cast("long").alias("brier_sample_count"),
+        ratio(F.col("brier_sum"), scored).alias("brier_mean"),
+        ratio(F.col("crps_sum"), scored).alias("crps_mean"),
+    )
+    return pod_far_csi(series).orderBy(*GROUP, "bucket_epoch")
+
+
 def nested_series(series: DataFrame) -> DataFrame:
     """One row per algorithm and lead time with its points in order; a bucket is one point."""
     points = [c for c in series.columns if c not in GROUP]

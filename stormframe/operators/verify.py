@@ -122,56 +122,74 @@ def _merge_bins(per_bin: DataFrame, keys: list[str], sums: tuple[str, ...], *mor
     )
 
 
-def _block_sums(members: np.ndarray, observed: np.ndarray, ensemble: bool, threshold: float | None) -> Iterator[tuple]:
-    """(bin, sums...) of a block's cells, bin None for those without a probability; ``members`` is [M, cells]."""
+#: Cells of members that are held as arrays at a time.
+_CELLS_TOGETHER = 2_000_000
+
+
+def _block_sums(members: np.ndarray, observed: np.ndarray, ensemble: np.ndarray, threshold: float | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(block, bin, sums) of equal blocks: ``members`` is [block, member, cell], ``observed`` [block, cell].
+
+    One entry per block and bin that has cells; bin -1 holds those without a probability.
+    """
     there = ~np.isnan(members)
-    present = there.sum(0)
     with np.errstate(all="ignore"):
-        forecast = np.where(there, members, 0.0).sum(0) / present
+        forecast = np.where(there, members, 0.0).sum(1) / there.sum(1)
         gap = forecast - observed
     valid = np.isfinite(forecast) & np.isfinite(observed)
     gap = np.where(valid, gap, 0.0)
     limit = DEFAULT_THRESHOLD if threshold is None else threshold
     said, seen = forecast >= limit, observed >= limit
-    counted = ensemble & np.isfinite(observed) & np.isfinite(members).all(0)
-    size = len(members)
-    p = np.where(counted, (members >= limit).sum(0) / size, 0.0)
+    counted = ensemble[:, None] & np.isfinite(observed) & np.isfinite(members).all(1)
+    size = members.shape[1]
+    p = np.where(counted, (members >= limit).sum(1) / size, 0.0)
     bins = np.where(counted, np.searchsorted(np.array(bin_edges(BIN_COUNT)), p, "right") - 1, -1)
-    crps = np.zeros(len(observed))
+    crps = np.zeros(observed.shape)
     if counted.any():
-        ordered, y = np.sort(members[:, counted], axis=0), observed[counted]
-        crps[counted] = np.abs(ordered - y).mean(0)
+        at, cell = np.nonzero(counted)
+        ordered, y = np.sort(members[at, :, cell], axis=1), observed[counted]
+        crps[counted] = np.abs(ordered - y[:, None]).mean(1)
         if size > 1:
             weight = 2.0 * np.arange(1, size + 1) - size - 1.0
-            crps[counted] -= (weight[:, None] * ordered).sum(0) / (size * (size - 1))
+            crps[counted] -= (weight * ordered).sum(1) / (size * (size - 1))
     some = threshold is not None
     cells = (
         valid, np.abs(gap), gap, gap * gap, some & valid & said & seen, some & valid & ~said & seen, some & valid & said & ~seen,
         some & valid & ~said & ~seen, counted, counted & seen, p, np.where(counted, (p - seen) ** 2, 0.0), crps,
     )
-    for b in np.unique(bins):
-        own = bins == b
-        yield (None if b < 0 else int(b), *[c[own].sum().item() for c in cells])
+    slots = BIN_COUNT + 1
+    slot = (np.arange(len(observed))[:, None] * slots + bins + 1).ravel()
+    used = np.flatnonzero(np.bincount(slot, minlength=len(observed) * slots))
+    sums = [np.bincount(slot, np.broadcast_to(c, observed.shape).ravel(), len(observed) * slots)[used] for c in cells]
+    return used // slots, used % slots - 1, sums
 
 
 def _fold(meeting: DataFrame, threshold: float | None) -> DataFrame:
-    """Blocks of members and observations to a few rows of sums each, before any shuffle."""
+    """Blocks of members and observations to a few rows of sums each, before any shuffle; equal blocks of a batch together."""
     names = [*PAIR, "_bin", *_SUMS]
     whole = {"n", "hits", "misses", "false_alarms", "correct_negatives", "prob_n", "observed_events"}
-    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64() if c in whole else pa.float64() for c in _SUMS]]
+    kinds = [pa.int64() if c in whole else pa.float64() for c in _SUMS]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            ids = [batch.column(c).to_pylist() for c in (*PAIR, "_ensemble")]
-            for i, (nowcast, seen, ensemble) in enumerate(zip(*ids, strict=True)):
-                stack = [m.values.to_numpy(zero_copy_only=False) for m in batch.column("members")[i].values]
-                observed = batch.column("_observed")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
-                for sums in _block_sums(np.stack(stack).astype(np.float64), observed, ensemble, threshold):
-                    rows.append((nowcast, seen, *sums))
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            members, seen = batch.column("members"), batch.column("_observed")
+            stack = members.flatten()
+            member_at = members.offsets.to_numpy() - members.offsets[0].as_py()
+            cell_at = stack.offsets.to_numpy() - stack.offsets[0].as_py()
+            seen_at = seen.offsets.to_numpy() - seen.offsets[0].as_py()
+            cells, observed = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for x in (stack, seen))
+            ensemble = batch.column("_ensemble").to_numpy(zero_copy_only=False).astype(bool)
+            shapes = np.stack([np.diff(member_at), np.diff(seen_at)], axis=1)
+            for size, n in np.unique(shapes, axis=0):
+                if size == 0 or n == 0:
+                    continue
+                rows = np.flatnonzero((shapes == (size, n)).all(axis=1))
+                # A row's members lie one after the other, and so do their cells.
+                for part in np.array_split(rows, max(1, len(rows) * size * n // _CELLS_TOGETHER)):
+                    said = cells[cell_at[member_at[part]][:, None] + np.arange(size * n)].reshape(len(part), size, n)
+                    block, bin_, sums = _block_sums(said, observed[seen_at[part][:, None] + np.arange(n)], ensemble[part], threshold)
+                    ids = [batch.column(c).take(pa.array(part[block])) for c in PAIR]
+                    columns = [pa.array(np.rint(c).astype(np.int64) if t == pa.int64() else c, t) for c, t in zip(sums, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(bin_, pa.int32(), mask=bin_ < 0), *columns], names=names)
 
     sums = ", ".join(f"{c} {'bigint' if c in whole else 'double'}" for c in _SUMS)
     return meeting.select(*PAIR, "_ensemble", "members", "_observed").mapInArrow(each, f"nowcast_id string, observation_file_key string, _bin int, {sums}")

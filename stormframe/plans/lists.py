@@ -218,6 +218,19 @@ def alerts_active_at(t: Tables) -> DataFrame:
     return al.active_at(t.alerts(), NOW).select("id")
 
 
+@query(
+    "alerts_active_at_instants",
+    """SELECT epoch(moment)::BIGINT AS at_epoch, count(*) AS n_active, CAST(sum(CAST(substr(id, 2) AS BIGINT)) AS BIGINT) AS ids
+       FROM (SELECT DISTINCT l_shipdate AS moment FROM lineitem)
+       JOIN alerts ON (onset IS NULL OR onset <= moment) AND (expires IS NULL OR expires >= moment) GROUP BY moment""",
+    ("alerts",),
+)
+def alerts_active_at_instants(t: Tables) -> DataFrame:
+    instants = t.base("lineitem").select(F.col("l_shipdate").alias("at")).distinct()
+    active = al.active_at_instants(t.alerts().select("id", "onset", "expires"), instants)
+    return active.groupBy(epoch("at", "at_epoch")).agg(F.count("*").alias("n_active"), F.sum(F.substring("id", 2, 20).cast("long")).alias("ids"))
+
+
 @query("severity_at_least", "SELECT id, severity, rank FROM alerts WHERE rank >= 3", ("alerts",))
 def severity_at_least(t: Tables) -> DataFrame:
     rows = al.severity_at_least(t.alerts(), "Severe")

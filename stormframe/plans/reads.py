@@ -159,7 +159,7 @@ PENTAGON = ((-99.8, 30.1), (-98.9, 30.05), (-98.4, 30.9), (-99.1, 31.6), (-99.9,
 )
 def literal_ring_mask(t: Tables) -> DataFrame:
     cells = grid.explode_cells(t.blocks(), extra=())
-    kept = cells.where(geo.point_in_literal_ring(F.col("lng"), F.col("lat"), PENTAGON))
+    kept = cells.where(geo.point_in_ring(F.col("lng"), F.col("lat"), geo.literal_ring(PENTAGON)))
     total = F.sum(F.when(F.isnan("value"), 0.0).otherwise(F.col("value")))
     return kept.groupBy("file_key").agg(F.count("*").alias("inside"), F.round(total, 4).alias("total"))
 
@@ -274,11 +274,13 @@ def tiles_over_alerts(t: Tables) -> DataFrame:
 
 @query(
     "tile_pixel_centres",
-    """SELECT x, y, px, py, round((x * 8 + px + 0.5::DOUBLE) / (64 * 8) * 360 - 180, 6) AS longitude,
-              round(degrees(atan(sinh(pi() * (1 - 2 * (y * 8 + py + 0.5::DOUBLE) / (64 * 8))))), 6) AS latitude
-       FROM (SELECT DISTINCT CAST(floor((longitude + 180) / 360 * 64) AS BIGINT) AS x,
-                    CAST(floor((1 - ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / pi()) / 2 * 64) AS BIGINT) AS y
-             FROM devices WHERE latitude IS NOT NULL), range(8) a(px), range(8) b(py)""",
+    """SELECT x, y, count(*) AS pixels, round(sum(longitude), 4) AS longitudes, round(sum(latitude), 4) AS latitudes,
+              round(sum(longitude * px + latitude * py), 2) AS moments, round(min(latitude), 6) AS south, round(max(longitude), 6) AS east
+       FROM (SELECT x, y, px, py, (x * 256 + px + 0.5::DOUBLE) / (64 * 256) * 360 - 180 AS longitude,
+                    degrees(atan(sinh(pi() * (1 - 2 * (y * 256 + py + 0.5::DOUBLE) / (64 * 256))))) AS latitude
+             FROM (SELECT DISTINCT CAST(floor((longitude + 180) / 360 * 64) AS BIGINT) AS x,
+                          CAST(floor((1 - ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / pi()) / 2 * 64) AS BIGINT) AS y
+                   FROM devices WHERE latitude IS NOT NULL), range(256) a(px), range(256) b(py)) GROUP BY x, y""",
     ("devices",),
 )
 def tile_pixel_centres(t: Tables) -> DataFrame:
@@ -286,8 +288,12 @@ def tile_pixel_centres(t: Tables) -> DataFrame:
     used = placed.select(
         F.lit(6).alias("z"), geo.tile_x(F.col("longitude"), 6).alias("x"), geo.tile_y(F.col("latitude"), 6).alias("y")
     ).distinct()
-    pixels = tiles.tile_pixels(used, size=8)
-    return pixels.select(big("x"), big("y"), big("px"), big("py"), rounded("longitude"), rounded("latitude"))
+    lng, lat = F.col("longitude"), F.col("latitude")
+    per_tile = tiles.tile_pixels(used).groupBy(big("x"), big("y")).agg(
+        F.count("*").alias("pixels"), F.round(F.sum(lng), 4).alias("longitudes"), F.round(F.sum(lat), 4).alias("latitudes"),
+        F.round(F.sum(lng * F.col("px") + lat * F.col("py")), 2).alias("moments"), F.round(F.min(lat), 6).alias("south"), F.round(F.max(lng), 6).alias("east"),
+    )
+    return per_tile
 
 
 @query(
@@ -364,9 +370,9 @@ def _pyramid_sql(zooms: dict[int, str], size: int) -> str:
         WHERE alpha > 0 GROUP BY file_key, z, x, y"""
 
 
-@query("tile_pyramid", _pyramid_sql({2: "nearest", 3: "nearest", 4: "plain", 5: "smooth", 6: "smooth"}, 64), ("cells",))
+@query("tile_pyramid", _pyramid_sql({2: "nearest", 3: "nearest", 4: "plain", 5: "smooth", 6: "smooth"}, 256), ("cells",))
 def tile_pyramid(t: Tables) -> DataFrame:
-    made = tiles.build_tile_pyramid(t.blocks(), t.grids(), size=64)
+    made = tiles.build_tile_pyramid(t.blocks(), t.grids())
 
     def total(field: str):
         return F.aggregate("pixels", F.lit(0).cast("long"), lambda s, p: s + p[field].cast("long"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stormframe.operators import calibration as cal
 from stormframe.plans.derived import Tables
 from stormframe.plans.registry import big, query, rounded
+from stormframe.session import scratch_folder
 
 # Means of two-digit values over 64 or 128 rows end in an exact half; both engines round it
 # the same way once it is moved off the edge.
@@ -65,6 +66,29 @@ def calibration_series(t: Tables) -> DataFrame:
     return _tidy(cal.calibration_series(t.verifications(), SINCE, 86400, product="P1"), "bucket_epoch")
 
 
+@query(
+    "calibration_series_of_rollup",
+    " UNION ALL ".join(
+        f"""SELECT {w} AS width, s.* FROM (SELECT {_SUMS_SQL.format(extra=f"CAST(epoch_us(verified_at) // {w}000000 * {w} AS BIGINT) AS bucket_epoch,")}
+        FROM verifications WHERE verified_at >= TIMESTAMP '1996-01-01' AND product = 'P1' GROUP BY algorithm, horizon, bucket_epoch) s"""
+        for w in (300, 43200, 86400)
+    ),
+    ("verifications",),
+)
+def calibration_series_of_rollup(t: Tables) -> DataFrame:
+    """Series of three widths from partial sums stored for two halves of the verifications."""
+    v = t.verifications()
+    path = scratch_folder(t.spark, "rollup")
+    for part in (v.where("horizon = 10 OR hits % 2 = 0"), v.where("NOT (horizon = 10 OR hits % 2 = 0)")):
+        cal.calibration_rollup(part).write.mode("append").parquet(path)
+    stored = t.spark.read.parquet(path)
+    out = None
+    for width in (300, 43200, 86400):
+        series = _tidy(cal.series_of_rollup(stored, width, SINCE, product="P1"), "bucket_epoch").withColumn("width", F.lit(width))
+        out = series if out is None else out.unionByName(series)
+    return out
+
+
 @query(
     "calibration_series_nested",
     """SELECT algorithm, horizon, count(*) AS points, min(bucket) AS first_bucket, max(bucket) AS last_bucket,
