@@ -1,4 +1,6 @@
 import math
+import random
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -177,3 +179,45 @@ def test_one_member_is_no_ensemble(spark):
     grids, blocks, _ = make_grid(spark, [1, 2], [3, 4], {f"f{i}": [40] * 4 for i in range(9)})
     rows = verify.verify(forecast.lagged_ensemble(grids, 1, (10,)), grids, blocks).collect()
     assert rows and all(r.ensemble_size == 1 and r.brier_score is None and r.crps is None and r.reliability_bins is None for r in rows)
+
+
+def verification_rows(rng, n, since=0):
+    rows = []
+    for _ in range(n):
+        ensemble = rng.random() < 0.4
+        rows.append((
+            rng.choice(["persistence", "advection"]), rng.choice([10, 30]), rng.choice("PQ"), "L", START + timedelta(seconds=since + rng.randrange(90_000)),
+            rng.choice([0, 3, 50]), rng.uniform(0, 5), rng.uniform(-2, 2), rng.uniform(0, 9), *[rng.randrange(9) for _ in range(4)],
+            rng.choice([35.0, 35.0, None, 40.0]), 8 if ensemble else None, rng.random() if ensemble else None, rng.random() if ensemble else None,
+        ))
+    return rows
+
+
+VERIFICATIONS = (
+    "algorithm string, horizon int, product string, level string, verified_at timestamp, sample_count bigint, mae double, bias double, rmse double, hits bigint, "
+    "misses bigint, false_alarms bigint, correct_negatives bigint, threshold_dbz double, ensemble_size int, brier_score double, crps double"
+)
+
+
+def test_series_of_a_rollup_equal_the_direct_ones_and_late_rows_add_to_their_cell(spark):
+    rng = random.Random(8)
+    first, late = verification_rows(rng, 400), verification_rows(rng, 40)
+    whole = spark.createDataFrame([*first, *late], VERIFICATIONS)
+    parts = [calibration.calibration_rollup(spark.createDataFrame(rows, VERIFICATIONS)) for rows in (first, late)]
+    rollup = calibration.merge_rollups(parts[0].unionByName(parts[1]))
+    assert rollup.count() == rollup.select(*calibration.ROLLUP_KEY).distinct().count()
+    since = START + timedelta(hours=3)
+    for width in (300, 3600, 86400):
+        for choice in ({}, {"product": "P"}, {"since": since, "algorithm": "advection"}):
+            want = calibration.calibration_series(whole, bucket_seconds=width, **choice).collect()
+            for source in (rollup, parts[0].unionByName(parts[1])):
+                got = calibration.series_of_rollup(source, width, **choice)
+                assert len(want) > 0
+                for g, w in zip(got.collect(), want, strict=True):
+                    assert g.asDict().keys() == w.asDict().keys()
+                    assert all(g[c] == (w[c] if not isinstance(w[c], float) else pytest.approx(w[c])) for c in w.asDict())
+    for width in (0, 200, 450, 172800):
+        with pytest.raises(ValueError):
+            calibration.series_of_rollup(rollup, width)
+    with pytest.raises(ValueError):
+        calibration.series_of_rollup(rollup, 300, since=START + timedelta(seconds=7))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import START
 from stormframe.functions.values import predicate_holds
-from stormframe.operators import catalog, changes, joins, ordering, rules
+from stormframe.operators import alerts, catalog, changes, joins, ordering, rules
 from stormframe.sources import catalog as stored
 from stormframe.sources import feeds, partitions
 
@@ -267,3 +267,23 @@ def test_the_work_queue_is_no_page(spark):
     none = spark.createDataFrame([], "file_key string")
     assert catalog.unmaterialised_files(files, none, 550).count() == 550
     assert catalog.unmaterialised_files(files, none, 0).count() == 0
+
+
+def test_alerts_in_force_at_many_instants(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        start = rng.choice([None, rng.randrange(-5000, 20_000)])
+        length = rng.choice([None, 0, 3, 50, 700, 9000])
+        rows.append((i, None if start is None else at(start), None if length is None else at((start or 0) + length)))
+    rows += [(900, at(5), at(4)), (901, at(60), at(60)), (902, None, None)]
+    alert = spark.createDataFrame(rows, "id int, onset timestamp, expires timestamp")
+    moments = [at(m) for m in (0, 5, 60, 61, 4999, 5000, 9000, 19_999)] + [at(rng.randrange(15_000)) for _ in range(80)]
+    instants = spark.createDataFrame([(m,) for m in moments] + [(None,)], "at timestamp")
+    got = sorted((r["at"], r.id) for r in alerts.active_at_instants(alert, instants).collect())
+    naive = [m.replace(tzinfo=None) for m in moments]
+    spans = [(i, s and s.replace(tzinfo=None), e and e.replace(tzinfo=None)) for i, s, e in rows]
+    assert got == sorted((m, i) for m in naive for i, s, e in spans if (s is None or s <= m) and (e is None or e >= m))
+    plan = alerts.active_at_instants(alert, instants)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert alerts.active_at_instants(alert, instants.limit(0)).count() == 0
