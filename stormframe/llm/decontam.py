@@ -230,6 +230,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that share a consistent window with an item."""
-    hit = contaminated(documents, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """``documents`` without those that share a consistent window with an item.
+
+    Rows that share an id go together; rows without one are judged each, by their texts.
+    """
+    named = documents.where(F.col("doc_id").isNotNull())
+    hit = contaminated(named.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    kept = named.join(hit, "doc_id", "left_anti").select(*documents.columns)
+    mark = F.sha2(F.coalesce("text", F.lit("")), 256)
+    nameless = documents.where(F.col("doc_id").isNull())
+    # Equal texts are equally contaminated, so a text's hash serves as its id.
+    marked = nameless.select(F.xxhash64("text").alias("doc_id"), "text", mark.alias("mark"))
+    leaks = contaminated(marked.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    gone = marked.join(leaks, "doc_id", "left_semi").select(F.col("mark").alias("_gone")).distinct()
+    return kept.unionByName(nameless.join(gone, mark == gone["_gone"], "left_anti"))

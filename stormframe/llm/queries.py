@@ -83,7 +83,7 @@ def _ngram_jaccard(table):
 
 @query("op6_suffix_array")
 def _suffix_array(table):
-    return suffix.deduplicate(table("documents"))
+    return suffix.deduplicate(table("documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 @query("op5_lm_scoring")

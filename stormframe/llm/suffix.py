@@ -472,12 +472,19 @@ def repeats_one_by_one(bodies: DataFrame, parts: int) -> DataFrame:
         twice = np.zeros(len(h), bool)
         twice[1:] = h[1:] == h[:-1]
         twice[:-1] |= twice[1:]
+        # One row per fragment, with all its places.
+        owner, place = owner[twice], place[twice]
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
         digests = list(number)
-        return pa.table({"digest": pa.array([digests[i] for i in owner[twice]], pa.binary()), "place": pa.array(place[twice], pa.int32())})
+        places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(place)), pa.int32()), pa.array(place, pa.int32()))
+        return pa.table({"digest": pa.array([digests[i] for i in owner[begins]], pa.binary()), "places": places})
 
     dealt = bodies.mapInArrow(deal, "part int, h binary, owner binary, place binary, digests binary")
-    hit = dealt.groupBy("part").applyInArrow(compare, "digest binary, place int")
-    per = hit.groupBy("digest").agg(F.sort_array(F.collect_set("place")).alias("starts"))
+    hit = dealt.groupBy("part").applyInArrow(compare, "digest binary, places array<int>")
+    # A fragment's places are fewer than its bytes.
+    per = hit.groupBy("digest").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("starts"))
     return per.select("digest", "starts", F.transform("starts", lambda i: i + 1).alias("ends"))
 
 

@@ -257,6 +257,15 @@ def test_windows_against_a_plain_search(spark, docs):
     assert got == want and want
 
 
+def test_rows_without_an_id_are_judged_each(spark, docs):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, ITEM), (None, "a clean row without an id"), (None, None), (None, "a clean row without an id"), (3, ITEM), (4, "clean"), (4, f"{ITEM} twice")]
+    frame = docs(rows).withColumns({"_hit": F.lit("x"), "mark": F.lit("y")})
+    got = decontam.clean(frame, bench)
+    assert got.columns == frame.columns
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(repr, [rows[1], rows[2], rows[3]]))
+
+
 # ------------------------------------------------------------------ mixing
 
 
