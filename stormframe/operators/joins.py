@@ -18,17 +18,48 @@ MATCH_WINDOW_SECONDS = 60
 COVER_DEGREES = 1.0
 
 
+def hot_keys(left: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys that hold more than half a shuffle partition's share of the rows, and ``_salts``, how many times that.
+
+    Counted over all rows; there are at most twice as many such keys as shuffle partitions.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n")).persist()
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(1, total // (2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.ceil(F.col("_n") / share).cast("int").alias("_salts")
+    rows = counts.where(F.col("_n") > share).select(*on, salts).collect()
+    counts.unpersist()
+    return left.sparkSession.createDataFrame(rows, left.select(*on, F.lit(0).alias("_salts")).schema)
+
+
+def spread_sides(
+    left: DataFrame, right: DataFrame, on: Sequence[str], salts: int | DataFrame, by: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a ``_salt``: left rows have one, right rows all those of their key.
+
+    ``salts``: the same number for every key, or a frame of ``hot_keys``; other keys have one then.
+    """
+    if isinstance(salts, int):
+        mine, theirs, many = left, right, F.lit(salts)
+    else:
+        # As many rows as hot keys, whose number is bounded.
+        mine, theirs = (side.join(F.broadcast(salts), list(on), "left") for side in (left, right))
+        many = F.coalesce("_salts", F.lit(1))
+    spread = mine.withColumn("_salt", F.pmod(F.xxhash64(*(by or left.columns)), many.cast("long")).cast("int"))
+    listed = theirs.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
+    return spread.select(*left.columns, "_salt"), listed.select(*right.columns, "_salt")
+
+
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 32, by: Sequence[str] | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], salts: int | None = None, by: Sequence[str] | None = None
 ) -> DataFrame:
     """Inner equi-join on keys with very few values (event types, products).
 
-    Left rows of one key are spread over ``salts`` partitions by the columns ``by`` (all of
-    them if not given) and the right side is listed once per salt, so no key is confined to
-    one task.
+    Left rows of a hot key are spread over salts by the columns ``by`` (all of them if not given) and
+    its right rows listed once per salt, so no key is confined to one task.  The salts follow the
+    counted rows of each key, or are ``salts`` for every key where counting is not worth a pass.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int"))
-    listed = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread, listed = spread_sides(left, right, on, hot_keys(left, on) if salts is None else salts, by)
     return spread.join(listed, [*on, "_salt"]).drop("_salt")
 
 

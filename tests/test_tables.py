@@ -287,3 +287,21 @@ def test_alerts_in_force_at_many_instants(spark):
     plan = alerts.active_at_instants(alert, instants)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert alerts.active_at_instants(alert, instants.limit(0)).count() == 0
+
+
+def test_salts_follow_the_counted_rows(spark):
+    rng = random.Random(2)
+    events = [(i, "hot" if rng.random() < 0.99 else f"k{rng.randrange(30)}") for i in range(4000)]
+    left = spark.createDataFrame(events, "id int, event_type string")
+    right = spark.createDataFrame([(f"s{k}", t) for k in range(20) for t in ("hot", "k1", "k2", "none")], "sub string, event_type string")
+    hot = joins.hot_keys(left, ["event_type"])
+    assert [r.event_type for r in hot.collect()] == ["hot"]
+    salts = hot.first()["_salts"]
+    spread, listed = joins.spread_sides(left, right, ["event_type"], hot)
+    # Rare keys are listed once, the hot one as often as its rows need.
+    assert listed.count() == 60 + 20 * salts and salts == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_salt = [r["count"] for r in spread.where("event_type = 'hot'").groupBy("_salt").count().collect()]
+    assert len(per_salt) == salts and max(per_salt) < 2 * min(per_salt)
+    got = joins.spread_join(left, right, ["event_type"])
+    assert sorted(map(tuple, got.select("id", "sub").collect())) == sorted((i, f"s{k}") for i, t in events if t in ("hot", "k1", "k2") for k in range(20))
+    assert joins.spread_join(left.limit(0), right, ["event_type"]).count() == 0
