@@ -3,7 +3,8 @@
 Candidates are groups of keys, each with some tokens; groups that share one may link.  Only connected
 components are asked for, so pairs inside one component need no test.  Rounds of stars come first:
 each group is tried against one group of another component at a time, which merges dense clusters
-with work in proportion to their size.  The last round joins every pair of groups that still lie in
+with work in proportion to their size; the first hubs are the most central groups, with which the
+others of their cluster most likely link.  The last round joins every pair of groups that still lie in
 different components, so that no link is lost.
 """
 
@@ -14,14 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import written
+from stormframe.llm.common import discard, written
 
 #: Stars are tried while the pairs left between components outnumber the entries by this, so often at
 #: most, and while at least this share of what they try links.
 FEW_PAIRS, MOST_STARS, FRUITFUL = 2, 4, 0.25
 
 
-
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` of every node of undirected ``links(a, b)``; component is its smallest node.
 
@@ -40,7 +40,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), F.col("a").alias("u"))
         small = small.select("a", "b").union(small.select(F.col("u").alias("a"), "b")).where(F.col("a") != F.col("b")).distinct()
-        edges = written(small, name)
+        old, edges = edges, written(small, name)
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -66,14 +67,14 @@ def grouped_components(
     carried: tuple[str, ...],
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
-    enough: Callable[[Column, Callable[[str], Column], Callable[[str], Column]], Column] = lambda shared, a, b: shared > 0,
+    central: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(key, label)`` of every key that links with another; label is the smallest key it reaches.
 
     ``entries(token, group, *carried)`` hold tokens that at least two groups share; ``members(key,
-    group, head)`` the keys.  ``may_link(a, b)`` says of two entries of one token whether their groups
-    can link at all, ``enough(shared, a, b)`` whether two groups can that share so many tokens, and
-    ``verify(pairs(a, b))`` keeps the pairs of keys that do.
+    group, head)`` the keys.  ``may_link(a, b)`` says of two entries of one token whether this token can
+    be the one by which their groups are found, and ``verify(pairs(a, b))`` keeps the pairs of keys that
+    link.  The first hub of a token is the group least by the ``central`` columns of its entries.
     """
     links = tested = labels = None
 
@@ -98,12 +99,18 @@ def grouped_components(
         linked = new.count()
         if linked:
             links = new if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-            labels = written(components(links, "labels"), "labels")
+            before, labels = labels, written(components(links, "labels"), "labels")
+            discard(new)
+            if before is not None:
+                discard(before)
         return linked >= FRUITFUL * count
 
     def here(name: str) -> Column:
         return F.col(name)
 
+    def there(name: str) -> Column:
+        return F.col(f"{name}2")
+
     # Members of one group first: each against the group's head.
     try_pairs(members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
     total = entries.count()
@@ -113,29 +120,29 @@ def grouped_components(
         left = per.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).agg(F.sum("left")).first()[0] or 0
         if left <= FEW_PAIRS * total:
             break
-        hub = F.min(F.struct(F.xxhash64("head", F.lit(star)).alias("h"), "head", "label", "group", *carried)).alias("hub")
+        first = [F.col(c).alias(f"o_{c}") for c in central] if star == 0 else []
+        hub = F.min(F.struct(*first, F.xxhash64("head", F.lit(star)).alias("h"), "head", "label", "group", *carried)).alias("hub")
         hubs = placed.groupBy("token").agg(hub, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "hub")
         near = placed.join(hubs, "token").where((F.col("label") != F.col("hub.label")) & may_link(here, lambda c: F.col(f"hub.{c}")))
         # Of the hubs that a group meets, that with which it shares most.
-        own, others = [F.first(c).alias(c) for c in carried], [F.first(f"hub.{c}").alias(f"{c}2") for c in carried]
-        met = near.groupBy("head", F.col("hub.head").alias("other")).agg(F.count("*").alias("c"), *own, *others)
-        met = met.where(enough(F.col("c"), here, lambda c: F.col(f"{c}2")))
+        met = near.groupBy("head", F.col("hub.head").alias("other")).agg(F.count("*").alias("c"))
         best = met.groupBy("head").agg(F.max(F.struct("c", "other")).alias("m")).select(F.col("head").alias("a"), F.col("m.other").alias("b"))
         if not try_pairs(best):
             break
-    # Every pair of groups that is not yet in one component.
+    # Every pair of groups that is not yet in one component.  Of a token's entries, those of the component
+    # with most of them need no comparison with each other, so only the others look for partners.
     state = labelled(members, "key")
     placed = entries.join(state.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "group")
-    open_tokens = placed.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("token")
-    placed = placed.join(open_tokens, "token")
-    other = placed.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "lo", "hi", *carried)))
-    apart = (F.col("group") < F.col("group2")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))
-    def there(name: str) -> Column:
-        return F.col(f"{name}2")
-
-    met = placed.join(other, "token").where(apart & may_link(here, there)).groupBy("group", "group2")
-    met = met.agg(F.count("*").alias("c"), *(F.first(x).alias(x) for c in carried for x in (c, f"{c}2")))
-    met = met.where(enough(F.col("c"), here, there)).select("group", "group2")
+    whole = F.col("lo") == F.col("hi")
+    shares = placed.groupBy("token", F.when(whole, F.col("lo")).alias("label")).agg(F.count("*").alias("c"))
+    ranked = F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label"))).alias("most")
+    open_tokens = shares.groupBy("token").agg(F.count("*").alias("labels"), F.bool_or(F.col("label").isNull()).alias("mixed"), ranked)
+    open_tokens = open_tokens.where("labels > 1 OR mixed").select("token", F.col("most.label").alias("main"))
+    placed = placed.join(open_tokens, "token").withColumn("seeks", ~F.coalesce(whole & (F.col("lo") == F.col("main")), F.lit(False)))
+    other = placed.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "lo", "hi", "seeks", *carried)))
+    once = (F.col("group") != F.col("group2")) & (~F.col("seeks2") | (F.col("group") < F.col("group2")))
+    apart = once & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))
+    met = placed.where("seeks").join(other, "token").where(apart & may_link(here, there)).select("group", "group2").distinct()
     mine = state.select("group", F.col("key").alias("a"), F.col("label").alias("la"))
     theirs = state.select(F.col("group").alias("group2"), F.col("key").alias("b"), F.col("label").alias("lb"))
     across = met.join(mine, "group").join(theirs, "group2").where("la <> lb").select("a", "b")

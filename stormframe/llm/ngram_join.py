@@ -3,7 +3,8 @@
 A text's set holds the hashes of its distinct word shingles.  Under one global order (rare first),
 two sets of Jaccard similarity t share an element of their prefixes.  Texts of equal sets are one
 class; classes of equal size and prefix are one group, and only groups are joined by prefix elements.
-Group pairs whose sizes fit and whose prefixes share enough are expanded to their members and verified.
+Group pairs whose sizes fit, and that a shared element can be the first to find by its places in both
+sets, are expanded to their members and verified.
 """
 
 from __future__ import annotations
@@ -194,24 +195,19 @@ def _sizes_fit(n: Column, m: Column, similar: int) -> Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
-def _prefixes_agree(shared: Column, n: Column, m: Column, similar: int) -> Column:
-    """Can two sets link whose prefixes share so many elements?
+def _found_first(i: Column, n: Column, j: Column, m: Column, similar: int) -> Column:
+    """Can the elements at places ``i`` and ``j`` of two sets be the first that linking ones have in common?
 
-    Of the prefix that ends first in the global order, every common element is in the other prefix
-    too; beyond it, no more can be common than the rest of its set.
+    No element before them is common then, so no more can be common than what follows in either set.
     """
-
-    def rest(size: Column) -> Column:
-        return -F.floor(-similar * size / 100) - 1
-
-    return (100 + similar) * (shared + F.greatest(rest(n), rest(m))) >= similar * (n + m)
+    return (100 + similar) * (F.least(n - i, m - j)) >= similar * (n + m)
 
 
 def class_components(documents: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """``(key, label)`` of every class that links with another; label is the smallest key it reaches."""
     groups = rows.where("prefix IS NOT NULL").groupBy("group").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     members = rows.where("n > 0").select("key", "group").distinct()
-    entries = groups.select("group", "n", F.explode("prefix").alias("token"))
+    entries = groups.select("group", "n", F.posexplode("prefix").alias("i", "token"))
     # One exchange by token serves both the count and the join.
     entries = entries.repartition("token")
     shared = entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
@@ -232,10 +228,11 @@ def class_components(documents: DataFrame, rows: DataFrame, shingle: int = SHING
     return grouped_components(
         entries,
         members,
-        ("n",),
-        lambda a, b: _sizes_fit(a("n"), b("n"), similar),
+        ("n", "i"),
+        lambda a, b: _sizes_fit(a("n"), b("n"), similar) & _found_first(a("i"), a("n"), b("i"), b("n"), similar),
         verify,
-        lambda shared, a, b: _prefixes_agree(shared, a("n"), b("n"), similar),
+        # A group with few elements rarer than the shared one is close to what its cluster has in common.
+        ("i",),
     )
 
 
