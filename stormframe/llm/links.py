@@ -148,6 +148,8 @@ def grouped_components(
     across = met.join(mine, "group").join(theirs, "group2").where("la <> lb").select("a", "b")
     within = mine.join(theirs, F.col("group") == F.col("group2")).where("a < b AND la <> lb").select("a", "b")
     try_pairs(across.union(within))
+    if tested is not None:
+        discard(tested)
     if labels is None:
         return members.select("key", F.col("key").alias("label")).limit(0)
     return labels.select(F.col("node").alias("key"), F.col("component").alias("label"))

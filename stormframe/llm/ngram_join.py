@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import VECTOR, WordHasher, mix, summed, text_batches, vector_rows, written
+from stormframe.llm.common import VECTOR, WordHasher, discard, mix, summed, text_batches, vector_rows, written
 from stormframe.llm.links import grouped_components, touched_members
 
 #: Words of a shingle, and similarity in hundredths, where a caller names no others.
@@ -223,9 +223,10 @@ def class_components(documents: DataFrame, rows: DataFrame, shingle: int = SHING
         keys = written(keys, "wanted")
         if not keys.isEmpty():
             sets.append(written(wanted_sets(documents, keys, shingle), "sets"))
+        discard(keys)
         return verified(pairs, reduce(DataFrame.union, sets), similar)
 
-    return grouped_components(
+    labels = grouped_components(
         entries,
         members,
         ("n", "i"),
@@ -234,6 +235,9 @@ def class_components(documents: DataFrame, rows: DataFrame, shingle: int = SHING
         # A group with few elements rarer than the shared one is close to what its cluster has in common.
         ("i",),
     )
+    for table in (entries, *sets):
+        discard(table)
+    return labels
 
 
 def near_copies(documents: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
