@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from helpers import START
 from stormframe.functions.values import predicate_holds
 from stormframe.operators import alerts, catalog, changes, joins, ordering, rules
+from stormframe.plans.all import QUERIES
+from stormframe.plans.derived import Tables
+from stormframe.plans.reads import axes
 from stormframe.sources import catalog as stored
 from stormframe.sources import feeds, partitions
 
@@ -90,6 +93,19 @@ def test_edge_trigger_rearms_on_errors(spark):
     assert left.currently_firing and left.times_fired == 2 and left.last_fired_at == at(225).replace(tzinfo=None)
 
 
+def test_rules_are_evaluated_once_for_their_transitions(spark, tmp_path):
+    spark.range(60).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    cells = "transform(sequence(1, 64), i -> CAST((i * (id + 3)) % 7 AS FLOAT) / 7)"
+    spark.range(24).selectExpr("id AS vec_id", f"{cells} AS embedding", "CAST(id % 3 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["rule_transitions"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_fold" not in plan and "ArrowEvalPython" not in plan
+    t = Tables(spark, str(tmp_path))
+    direct = rules.rule_transitions(rules.evaluate_rules(t.rules(), t.grids(), t.blocks(), axes(t)), t.rules())
+    got = sorted(map(tuple, out.collect()))
+    assert got and got == sorted(map(tuple, direct.select(*out.columns).collect()))
+
+
 def test_failure_streak(spark):
     rows = [("s", f"d{i}", at(i), s) for i, s in enumerate(["ok", "failed", "retrying", "failed"])] + [("q", "e", at(1), "failed")]
     df = spark.createDataFrame(rows, "subscription_id string, id string, created_at timestamp, status string")
