@@ -2,7 +2,7 @@
 
 Token weights are raked to the marginals of source, language and topic; documents are then sampled
 with the probabilities that give those weights in expectation.  Topics are clusters of texts by their
-words, fitted on a bounded sample.
+words, fitted on all texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormframe.llm.common import WordHasher, text_batches
+from stormframe.llm.common import VECTOR, WordHasher, discard, mix, summed, text_batches, vector_rows, written
 
 #: Production targets: shares of tokens.  Every source has its own, in proportion to its tokens to the power of TEMPER;
 #: in given targets and for languages, "*" stands for every class that is not named.
@@ -26,10 +26,12 @@ TOPICS = 4
 #: Share of the corpus's tokens to sample.
 KEEP = 0.45
 SEED = 11
-#: Texts that topics are fitted on, distinct words taken from each, words that tell topics apart, and the rarest and
-#: commonest of them by the texts (and the share of texts) that hold them.
-SAMPLE, SAMPLE_WORDS, TOPIC_WORDS = 4096, 2048, 2048
-RAREST, COMMONEST = 3, 0.5
+#: Words that tell topics apart, and the rarest and commonest of them by the texts (and the share of texts) that hold them.
+TOPIC_WORDS, RAREST, COMMONEST = 2048, 3, 0.5
+#: Starts of the clustering, and the most passes that they make over the table.
+STARTS, ROUNDS = 2, 10
+#: Parts of one in which texts are summed; texts that one step takes; distinct words that a task counts together.
+UNIT, ROWS_TOGETHER, COUNTED_TOGETHER = 2.0**20, 4096, 1 << 20
 
 
 class Topics(NamedTuple):
@@ -55,73 +57,167 @@ class Topics(NamedTuple):
         return np.where(length > 0, near.argmax(1), 0).astype(np.int32)
 
 
-def _clusters(x: np.ndarray, topics: int, seed: int) -> np.ndarray:
-    """Centres of k-means, the best of a few starts."""
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros((topics, x.shape[1])))
-    own = (x * x).sum(1)
-    for _ in range(8):
-        centres = x[rng.integers(len(x))][None]
-        while len(centres) < topics:
-            far = np.maximum((own[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).min(1), 0)
-            centres = np.concatenate([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else 0][None]])
-        before = None
-        for _ in range(50):
-            distance = own[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
-            to = distance.argmin(1)
-            if before is not None and (to == before).all():
-                break
-            before = to
-            centres = np.stack([x[to == k].mean(0) if (to == k).any() else centres[k] for k in range(topics)])
-        cost = float(distance.min(1).sum())
-        if cost < best[0]:
-            best = cost, centres
-    return best[1]
+def _counted(documents: DataFrame) -> DataFrame:
+    """Words (hashes) with the number of texts that hold them, of every text; a null word counts the texts with words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, texts, held, size = WordHasher(), 0, [], 0
+
+        def rows() -> pa.RecordBatch:
+            words, place = np.unique(np.concatenate([w for w, _ in held] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([k for _, k in held] or [np.zeros(0)]), len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([*words.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), texts], pa.int64())], ["word", "n"])
+
+        for batch in (part for whole in batches for part in text_batches(whole, "text")):
+            for row, end, hashes, counts in hasher.words(batch.column("text")):
+                words, place = np.unique(hashes, return_inverse=True)
+                once = np.unique(np.repeat(np.arange(end - row), counts) * len(words) + place)
+                held.append((words, np.bincount(once % max(1, len(words)), minlength=len(words))))
+                texts, size = texts + int((counts > 0).sum()), size + len(words)
+                if size > COUNTED_TOGETHER:
+                    yield rows()
+                    texts, held, size = 0, [], 0
+        yield rows()
+
+    return documents.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class _Rows(NamedTuple):
+    """Texts as sparse rows over the topic words: text, word and value of each entry, values in units of ``1 / UNIT``, so that sums are exact in any order."""
+
+    lang: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, weights: np.ndarray) -> _Rows:
+        lists, lang = batch.column("words"), batch.column("_lang").to_numpy()
+        text, word = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+        length = np.sqrt(np.bincount(text, weights[word] ** 2, minlength=len(lists)))
+        return cls(lang, text, word, np.rint(weights[word] / length[text] * UNIT))
+
+    def squares(self, means: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Squared distances of texts, less the mean of their language, to centres of any number of leading axes."""
+        n, flat = len(self.lang), centres.reshape(-1, centres.shape[-1])
+        value = self.value / UNIT
+        own = np.bincount(self.text, value * (value - 2 * means[self.lang[self.text], self.word]), minlength=n) + (means * means).sum(1)[self.lang]
+        near = np.stack([np.bincount(self.text, value * c[self.word], minlength=n) for c in flat], 1) - (means @ flat.T)[self.lang]
+        return np.maximum(own[:, None] - 2 * near + (flat * flat).sum(1), 0).reshape(n, *centres.shape[:-1])
+
+    def sums(self, to: np.ndarray, classes: int, words: int) -> np.ndarray:
+        """The rows of each class added up."""
+        return np.bincount(to[self.text] * words + self.word, self.value, minlength=classes * words).reshape(classes, words)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(i, ROWS_TOGETHER) for whole in batches for i in range(0, whole.num_rows, ROWS_TOGETHER))
+
+
+def _first_centres(texts: DataFrame, topics: int, weights: np.ndarray, means: np.ndarray, seed: int) -> np.ndarray:
+    """Centres of each start, texts drawn from all: the first at even chances, the others by their squared distance to those before.
+
+    The draw is a race of exponential times from the keyed hash of a text's id, so only the winners come to the driver.
+    """
+    centres = np.zeros((STARTS, 0, len(weights)))
+    for place in range(topics):
+
+        def race(batches: Iterator[pa.RecordBatch], place: int = place, centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                h = batch.column("_h").to_numpy().view(np.uint64)
+                far = _Rows.of(batch, weights).squares(means, centres).min(2) if place else np.ones((len(h), STARTS))
+                for k in range(STARTS):
+                    u = ((mix(h ^ np.uint64((seed << 16) + place * STARTS + k + 1)) >> np.uint64(11)) + np.uint64(1)).astype(float) / 2**53
+                    time = np.divide(-np.log(u), far[:, k], out=np.full(len(u), np.inf), where=far[:, k] > 1e-9)
+                    first = np.flatnonzero(time == time.min()).tolist()
+                    rows = batch.select(["_lang", "words"]).take(pa.array(first))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(first), pa.int32()), pa.array(time[first]), *rows.columns], ["k", "time", "_lang", "words"])
+
+        won = texts.mapInArrow(race, "k int, time double, _lang int, words array<short>").groupBy("k").agg(F.min(F.struct("time", "_lang", "words")).alias("w"))
+        won = won.select("k", "w._lang", "w.words").orderBy("k").toArrow().combine_chunks().to_batches()[0]
+        rows = _Rows.of(won, weights)
+        drawn = rows.sums(np.arange(STARTS), STARTS, len(weights)) / UNIT - means[rows.lang]
+        centres = np.concatenate([centres, drawn[:, None]], 1)
+    return centres
+
+
+def _clusters(texts: DataFrame, topics: int, weights: np.ndarray, means: np.ndarray, seed: int) -> np.ndarray:
+    """Centres of k-means over all ``texts``, the best of a few starts that go through the table together."""
+    centres, languages, before = _first_centres(texts, topics, weights, means, seed), len(means), None
+    shape = (STARTS, topics, len(weights) + languages)
+    for _ in range(ROUNDS):
+
+        def step(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total, cost = np.zeros(shape), np.zeros(STARTS)
+            for batch in _slices(batches):
+                rows = _Rows.of(batch, weights)
+                far = rows.squares(means, centres)
+                for k, to in enumerate(far.argmin(2).T):
+                    total[k, :, : len(weights)] += rows.sums(to, topics, len(weights))
+                    np.add.at(total[k, :, len(weights) :], (to, rows.lang), 1)
+                cost += np.rint(far.min(2) * UNIT).sum(0)
+            yield vector_rows(np.concatenate([total.ravel(), cost]))
+
+        sums = summed(texts.mapInArrow(step, VECTOR))
+        total, cost = sums[:-STARTS].reshape(shape), sums[-STARTS:]
+        if before is not None and (total == before).all():
+            break
+        before, in_lang = total, total[:, :, len(weights) :]
+        n = in_lang.sum(2, keepdims=True)
+        moved = (total[:, :, : len(weights)] / UNIT - in_lang @ means) / np.maximum(n, 1)
+        last, centres = centres, np.where(n > 0, moved, centres)
+        best = last[int(cost.argmin())]
+    return best
 
 
 def fit_topics(documents: DataFrame, topics: int, languages: int, seed: int = SEED) -> Topics:
-    """Topics of ``documents(doc_id, text, _lang)``, fitted on the ``SAMPLE`` texts whose ids have the smallest keyed hash.
+    """Topics of ``documents(doc_id, text, _lang)``, fitted on all of them.
 
-    At most ``SAMPLE`` lists of ``SAMPLE_WORDS`` hashes come to the driver.  A text is its distinct
-    words, rare ones weighing more, less the mean text of its language: topics are not languages.
+    Words, their weights, the languages' means and the centres are counts and sums over every text; a
+    scratch table holds the numbers of each text's topic words, and fixed-size sums come to the driver.
+    A text is its distinct words, rare ones weighing more, less the mean text of its language: topics are
+    not languages.
     """
-    of_id = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
-    share = min(1.0, 2 * SAMPLE / max(1, documents.count()))
-    chosen = documents.withColumn("_h", of_id).where(F.col("_h") <= F.lit(int(-(2**63) + share * (2**64 - 2**12)))).select("_h", "text", "_lang")
+    none = Topics(np.zeros(0, np.uint64), np.zeros(0), np.zeros((topics, 0)), np.zeros((languages, topics)))
+    counted = _counted(documents).persist()
+    n = counted.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    common = counted.where(F.col("word").isNotNull() & F.col("n").between(min(RAREST, n), max(1, COMMONEST * n)))
+    fit = common.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(TOPIC_WORDS).toArrow()
+    counted.unpersist()
+    if not fit.num_rows:
+        return none
+    words = fit["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, weights = words[order], np.log(1 + n / fit["n"].to_numpy()[order])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in (part for whole in batches for part in text_batches(whole, "text")):
-            lists = []
-            for _, _, hashes, counts in hasher.words(batch.column("text")):
-                lists += [np.unique(h)[:SAMPLE_WORDS].view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_lang"), pa.array(lists, pa.list_(pa.int64()))], ["_h", "_lang", "words"])
-
-    sample = chosen.mapInArrow(listed, "_h long, _lang int, words array<long>").where("size(words) > 0").orderBy("_h", "_lang", "words").limit(SAMPLE).toArrow()
-    none = Topics(np.zeros(0, np.uint64), np.zeros(0), np.zeros((topics, 0)), np.zeros((languages, topics)))
-    if not sample.num_rows:
-        return none
-    lang = sample["_lang"].to_numpy()
-    lists = sample["words"].combine_chunks()
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    words, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    fit = np.flatnonzero((count >= min(RAREST, len(lists))) & (count <= max(1, COMMONEST * len(lists))))
-    fit = np.sort(fit[np.argsort(-count[fit], kind="stable")[:TOPIC_WORDS]])
-    if not len(fit):
-        return none
-    weights = np.log(1 + len(lists) / count[fit])
-    number = np.full(len(words), -1)
-    number[fit] = np.arange(len(fit))
-    has = number[place] >= 0
-    x = np.zeros((len(lists), len(fit)), np.float32)
-    x[text[has], number[place[has]]] = weights[number[place[has]]]
-    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]
-    means = np.zeros((languages, len(fit)))
-    for k in np.unique(lang):
-        means[k] = x[lang == k].mean(0)
-        x[lang == k] -= means[k].astype(np.float32)
-    centres = _clusters(x, topics, seed).astype(float)
-    return Topics(words[fit], weights, centres, -means @ centres.T - (centres * centres).sum(1) / 2)
+            for row, end, hashes, counts in hasher.words(batch.column("text")):
+                at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+                hit = words[at] == hashes
+                once = np.unique(np.repeat(np.arange(end - row), counts)[hit] * len(words) + at[hit])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(once // len(words), minlength=end - row))])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(once % len(words), pa.int16()))
+                part = pa.RecordBatch.from_arrays([*batch.select(["_h", "_lang"]).slice(row, end - row).columns, lists], ["_h", "_lang", "words"])
+                yield part.filter(pa.array(counts > 0))
+
+    hashed = documents.select(F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("_h"), "text", "_lang")
+    texts = written(hashed.mapInArrow(listed, "_h long, _lang int, words array<short>"), "mixing-words")
+
+    def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((languages, len(weights) + 1))
+        for batch in _slices(batches):
+            rows = _Rows.of(batch, weights)
+            total[:, :-1] += rows.sums(rows.lang, languages, len(weights))
+            total[:, -1] += np.bincount(rows.lang, minlength=languages)
+        yield vector_rows(total.ravel())
+
+    total = summed(texts.mapInArrow(by_language, VECTOR)).reshape(languages, -1)
+    means = total[:, :-1] / UNIT / np.maximum(total[:, -1:], 1)
+    centres = _clusters(texts, topics, weights, means, seed)
+    discard(texts)
+    return Topics(words, weights, centres, -means @ centres.T - (centres * centres).sum(1) / 2)
 
 
 def with_topic(documents: DataFrame, topics: int, languages: int) -> DataFrame:

@@ -9,13 +9,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brute import near_copies
 from conftest import EDGES
 from stormframe.llm import decontam, mixing, shards, topk, toxicity, warc
-from stormframe.llm.common import scratch
+from stormframe.llm.common import WordHasher, scratch
 
 VOCABULARY = os.environ.get("STORMFRAME_VOCABULARY", shards.VOCABULARY)
 
@@ -326,6 +327,19 @@ def test_every_source_has_a_target_and_topics_follow_the_words(spark):
     assert kept.total() == pytest.approx(0.3 * all_.total())
 
 
+def test_topics_are_fitted_on_every_text(spark):
+    rows = [(i, f"all{i % 3} {'seldom' if i % 700 == 0 else 'often'} sea{i % 5} sea{i % 7}", i % 2) for i in range(6000)]
+    rows += [(None, None, 0), (6000, " ", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _lang int")
+    fitted = mixing.fit_topics(frame.repartition(7), 2, 2)
+    known = {int(w): x for w, x in zip(fitted.words, fitted.weights, strict=True)}
+    for word, n in (("seldom", 9), ("all0", 2000), ("sea0", sum(i % 5 == 0 or i % 7 == 0 for i in range(6000)))):
+        (_, _, hashes, _), = WordHasher().words(pa.array([word]))
+        assert known[int(hashes[0])] == pytest.approx(np.log(1 + 6000 / n))
+    again = mixing.fit_topics(frame.repartition(3), 2, 2)
+    assert all(np.array_equal(a, b) for a, b in zip(fitted, again, strict=True))
+
+
 # ------------------------------------------------------------------ pipeline
 
 
