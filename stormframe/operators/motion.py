@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.operators.catalog import frame_history
-from stormframe.operators.grid import BLOCK_ID, lay_pieces
+from stormframe.operators.grid import BLOCK_ID, lay_rectangles
 from stormframe.operators.ordering import DEFAULT_CHUNK_SECONDS
 from stormframe.session import scratch_folder
 
@@ -30,6 +30,8 @@ LEAST_SIDE = 4
 FIRST_WINDOW = 3
 #: How far around its start a window may grow before more of the earlier frames is fetched.
 FIRST_REACH = 4
+#: Cells and tried shifts that a task holds at once, for as many blocks as have so many.
+MOST_CELLS = 1 << 20
 #: Digits of summed squares below which two shifts count as equally good.
 DIGITS = 6
 
@@ -71,46 +73,94 @@ def coarse_blocks(blocks: DataFrame, factor: int) -> DataFrame:
 
 
 class _Search:
-    """Shifts of one block tried in one level, over all frame steps of its source."""
-
-    def __init__(self, place: dict, strips: pa.StructArray, steps: int, reach: int) -> None:
-        self.p, self.reach = place, reach
-        number, now = strips.field("step").to_numpy(), strips.field("now").to_numpy(zero_copy_only=False)
-        self.now, self.before = [], []
-        top, left, bottom, right = place["top"], place["left"], place["bottom"], place["right"]
-        for k in range(steps):
-            mine = number == k
-            here, there = (strips.filter(pa.array(mine & s)) for s in (now, ~now))
-            self.now.append(lay_pieces(here, place["row0"], place["col0"], place["height"], place["width"]))
-            self.before.append(lay_pieces(there, top, left, bottom - top, right - left))
-        self.seen: dict[tuple[int, int], float] = {}
-
-    def error(self, dr: int, dc: int) -> float:
-        """Squared differences of the block and where it would come from; past the rim the edge is repeated."""
-        if (dr, dc) not in self.seen:
-            p = self.p
-            rows = np.clip(np.arange(p["row0"], p["row0"] + p["height"]) - dr, 0, p["n_rows"] - 1) - p["top"]
-            cols = np.clip(np.arange(p["col0"], p["col0"] + p["width"]) - dc, 0, p["n_cols"] - 1) - p["left"]
-            total = sum(float(((now - before[rows[:, None], cols]) ** 2).sum()) for now, before in zip(self.now, self.before, strict=True))
-            self.seen[dr, dc] = round(total, DIGITS)
-        return self.seen[dr, dc]
-
-    def best(self) -> tuple[int, int, bool]:
-        """The shift of least error in the first window that holds it inside, and whether the search left the rectangle."""
+    """Shifts of many blocks tried in one level, over all frame steps of their sources."""
+
+    def __init__(self, place: pa.StructArray, strips: pa.ListArray, steps: int, reach: int) -> None:
+        self.p = {f.name: place.field(f.name).to_numpy(zero_copy_only=False).astype(np.int64) for f in place.type}
+        self.steps, self.reach = steps, reach
+        n = len(place)
+        pieces, row = strips.flatten(), np.repeat(np.arange(n), strips.value_lengths().to_numpy())
+        rectangle = row * steps + pieces.field("step").to_numpy()
+        now = pieces.field("now").to_numpy(zero_copy_only=False).astype(bool)
+
+        def laid(mine: np.ndarray, *sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return lay_rectangles(pieces.filter(pa.array(mine)), rectangle[mine], *(np.repeat(s, steps) for s in sides))
+
         p = self.p
-        r0, c0 = p["c_row"], p["c_col"]
+        self.now, self.now_at = laid(now, p["row0"], p["col0"], p["height"], p["width"])
+        self.before, self.before_at = laid(~now, p["top"], p["left"], p["bottom"] - p["top"], p["right"] - p["left"])
+        self.first = np.where(p["begun"] > 0, 1, FIRST_WINDOW)
+
+    def _errors(self, rows: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """Squared differences of equally large blocks and where each shift, counted from their centres, has them come from.
+
+        Past the rim the edge is repeated.
+        """
+        p = {c: v[rows] for c, v in self.p.items()}
+        height, width = int(p["height"][0]), int(p["width"][0])
+        frame = rows[:, None] * self.steps + np.arange(self.steps)
+        now = self.now[self.now_at[frame][:, :, None] + np.arange(height * width)]
+        before_at = self.before_at[frame][:, :, None]
+        across = (p["right"] - p["left"])[:, None]
+
+        def line(axis: str, length: int, by: int, first: str) -> np.ndarray:
+            cells = p[f"{axis}0"][:, None] + np.arange(length) - (p[f"c_{axis}"] + by)[:, None]
+            return np.clip(cells, 0, p[f"n_{axis}s"][:, None] - 1) - p[first][:, None]
+
+        r = {by: line("row", height, by, "top") * across for by in np.unique(shifts[:, 0]).tolist()}
+        c = {by: line("col", width, by, "left") for by in np.unique(shifts[:, 1]).tolist()}
+        out = np.empty((len(rows), len(shifts)))
+        for k, (a, b) in enumerate(shifts.tolist()):
+            cells = (r[a][:, :, None] + c[b][:, None, :]).reshape(len(rows), 1, -1)
+            out[:, k] = ((now - self.before[before_at + cells]) ** 2).sum(axis=2).sum(axis=1)
+        return np.round(out, DIGITS)
+
+    def _best_of(self, rows: np.ndarray, radius: int) -> np.ndarray:
+        """(shift of rows, of columns, whether the search left the rectangle) of equally large blocks that begin alike."""
+        reach, side = self.reach, 2 * self.reach + 1
+        p = {c: self.p[c][rows] for c in ("c_row", "c_col", "n_rows", "n_cols")}
+        around = np.arange(-reach, reach + 1)
+        dr, dc = (np.broadcast_to(x, (len(rows), side, side)) for x in ((p["c_row"][:, None] + around)[:, :, None], (p["c_col"][:, None] + around)[:, None, :]))
         most_r, most_c = p["n_rows"] - 1, p["n_cols"] - 1
-        radius = 1 if p["begun"] else FIRST_WINDOW
-        while True:
-            rows = range(max(-most_r, r0 - radius), min(most_r, r0 + radius) + 1)
-            cols = range(max(-most_c, c0 - radius), min(most_c, c0 + radius) + 1)
-            dr, dc = min(((a, b) for a in rows for b in cols), key=lambda s: (self.error(*s), s[0] ** 2 + s[1] ** 2, *s))
-            whole = len(rows) == 2 * most_r + 1 and len(cols) == 2 * most_c + 1
-            if whole or max(abs(dr - r0), abs(dc - c0)) < radius:
-                return dr, dc, False
-            if radius == self.reach:
-                return dr, dc, True
+        allowed = (np.abs(dr) <= most_r[:, None, None]) & (np.abs(dc) <= most_c[:, None, None])
+        far = np.maximum(np.abs(around)[:, None], np.abs(around)[None, :])
+        errors = np.full((len(rows), side, side), np.inf)
+        out = np.empty((len(rows), 3), np.int64)
+        going, tried = np.arange(len(rows)), -1
+        while len(going):
+            new = np.argwhere((far > tried) & (far <= radius))
+            errors[going[:, None], new[:, 0], new[:, 1]] = self._errors(rows[going], new - reach)
+            tried = radius
+            window = slice(reach - radius, reach + radius + 1)
+            r, c, ok, e = (x[going, window, window].reshape(len(going), -1) for x in (dr, dc, allowed, errors))
+            first = np.argmax(ok, axis=1)
+            each = np.arange(len(going))
+            unknown = np.isnan(e[each, first])
+            e = np.where(ok & ~np.isnan(e), e, np.inf)
+            tied = e == e.min(axis=1, keepdims=True)
+            length = np.where(tied & ok, r**2 + c**2, np.iinfo(np.int64).max)
+            # Of the shortest, the first is the least; a window that begins with a missing cell stays there.
+            pick = np.where(unknown, first, np.argmin(length, axis=1))
+            r, c = r[each, pick], c[each, pick]
+            r0, c0, most = p["c_row"][going], p["c_col"][going], (most_r[going], most_c[going])
+            whole = (r0 - radius <= -most[0]) & (r0 + radius >= most[0]) & (c0 - radius <= -most[1]) & (c0 + radius >= most[1])
+            settled = whole | (np.maximum(np.abs(r - r0), np.abs(c - c0)) < radius)
+            ended = settled | (radius == reach)
+            out[going[ended]] = np.stack([r, c, ~settled], axis=1)[ended]
+            going = going[~ended]
             radius += 1
+        return out
+
+    def best(self) -> np.ndarray:
+        """Per block the shift of least error in the first window that holds it inside, and whether the search left the rectangle."""
+        out = np.zeros((len(self.first), 3), np.int64)
+        kinds = np.stack([self.p["height"], self.p["width"], self.first], axis=1)
+        for height, width, radius in np.unique(kinds, axis=0).tolist():
+            rows = np.flatnonzero((kinds == (height, width, radius)).all(axis=1))
+            size = max(1, MOST_CELLS // max(height * width * self.steps, (2 * self.reach + 1) ** 2))
+            for some in np.split(rows, range(size, len(rows), size)):
+                out[some] = self._best_of(some, radius)
+        return out
 
 
 def _searched(asked: DataFrame, steps: DataFrame, level: DataFrame, factor: int, lookback: int, reach: int) -> DataFrame:
@@ -164,9 +214,8 @@ def _searched(asked: DataFrame, steps: DataFrame, level: DataFrame, factor: int,
 
     @F.arrow_udf("struct<d_row int, d_col int, wider boolean>")
     def search(strips: pa.Array, places: pa.Array) -> pa.Array:
-        found = [_Search(p, strips[i].values, lookback - 1, reach).best() for i, p in enumerate(places.to_pylist())]
-        kinds = (pa.int32(), pa.int32(), pa.bool_())
-        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()), kinds, strict=True)]
+        found = _Search(places, strips, lookback - 1, reach).best()
+        columns = [pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2] > 0)]
         return pa.StructArray.from_arrays(columns, ["d_row", "d_col", "wider"])
 
     inside = [c for c in place.columns if c not in _KEY]

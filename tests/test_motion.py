@@ -1,6 +1,7 @@
 """Motion of any speed, found level by level."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import make_grid
@@ -82,3 +83,43 @@ def test_a_flat_field_stands_still_and_short_history_has_no_motion(spark):
     grids, blocks, _ = make_grid(spark, range(8), range(8), flat)
     assert {(r.source_file_key, r.d_row, r.d_col) for r in forecast.block_motion(grids, blocks).collect()} == {("f2", 0, 0)}
     assert forecast.block_motion(grids.where("file_key < 'f2'"), blocks).count() == 0
+
+
+def test_many_blocks_are_searched_together(monkeypatch):
+    """Blocks of several shapes, cut ones at the rim included, in a call per shift window instead of one each."""
+    rng = np.random.default_rng(9)
+    n, m, block, copies = 10, 7, 4, 30
+    calls, errors = [], motion._Search._errors
+    monkeypatch.setattr(motion._Search, "_errors", lambda self, rows, shifts: calls.append(len(rows)) or errors(self, rows, shifts))
+    places, strips, expected = [], [], []
+    for _ in range(copies):
+        frames = [rng.integers(0, 4, (n, m)).astype(float) for _ in range(3)]
+        for row0 in range(0, n, block):
+            for col0 in range(0, m, block):
+                h, w = min(block, n - row0), min(block, m - col0)
+                places.append(dict(begun=False, row0=row0, col0=col0, height=h, width=w, n_rows=n, n_cols=m, c_row=0, c_col=0, top=0, left=0, bottom=n, right=m))
+                mine = []
+                for step in (0, 1):
+                    mine.append(dict(step=step, now=True, top=row0, left=col0, width=w, cells=frames[step + 1][row0 : row0 + h, col0 : col0 + w].ravel().tolist()))
+                    # The earlier frame comes in two pieces.
+                    for left, right in ((0, 4), (4, m)):
+                        mine.append(dict(step=step, now=False, top=0, left=left, width=right - left, cells=frames[step][:, left:right].ravel().tolist()))
+                strips.append(mine)
+                rows, cols = np.arange(row0, row0 + h)[:, None], np.arange(col0, col0 + w)[None, :]
+
+                def key(s, frames=frames, rows=rows, cols=cols):
+                    came = np.clip(rows - s[0], 0, n - 1), np.clip(cols - s[1], 0, m - 1)
+                    return sum(((frames[k + 1][rows, cols] - frames[k][came]) ** 2).sum() for k in (0, 1)), s[0] ** 2 + s[1] ** 2, *s
+
+                reach = 4
+                for radius in range(motion.FIRST_WINDOW, reach + 1):
+                    tried = [(a, b) for a in range(max(1 - n, -radius), min(n - 1, radius) + 1) for b in range(max(1 - m, -radius), min(m - 1, radius) + 1)]
+                    best = min(tried, key=key)
+                    whole = len(tried) == (2 * n - 1) * (2 * m - 1)
+                    if whole or max(map(abs, best)) < radius:
+                        break
+                expected.append((*best, int(not whole and max(map(abs, best)) == radius)))
+    got = motion._Search(pa.array(places), pa.array(strips), 2, 4).best()
+    assert [tuple(r) for r in got.tolist()] == expected and any(r[2] for r in expected)
+    shapes = {(p["height"], p["width"]) for p in places}
+    assert len(calls) <= len(shapes) * 6 and sum(calls) >= len(places)
