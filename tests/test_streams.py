@@ -208,6 +208,24 @@ def test_deliveries_end_once_and_wait_for_their_next_attempt(spark, tmp_path):
     assert sorted(due) == [("a", 2, "due"), ("d", 2, "due")] and len(set(due)) == len(due)
 
 
+def test_deliveries_share_the_state_of_their_bucket(spark, tmp_path):
+    # Forty deliveries, one of them without an id and one without a time, whose second attempts end every other one.
+    ids = [None, *(f"d{i:02d}" for i in range(1, 40))]
+    rows = [(i, "s", at(0) if k != 7 else None, n, [503, 200 if k % 2 else 503][n - 1]) for k, i in enumerate(ids) for n in (1, 2)]
+    df = spark.createDataFrame(rows, ATTEMPTS)
+    kept = []
+    for n in (1, 2):
+        arrive(df.where(F.col("attempt") == n), tmp_path / "in", f"n{n}")
+        stream = state.delivery_stream(source(spark, df, tmp_path / "in"), backoff_seconds=3600.0, buckets=4)
+        query = jobs.run_available(stream, jobs.batch_writer(str(tmp_path / "out")), str(tmp_path / "checkpoint"), waits=True)
+        query.awaitTermination()
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    got = {(r.delivery_id, r.created_at is None, r.attempt, r.status, r.response_status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(i, k == 7, 2, "ok", 200) for k, i in enumerate(ids) if k % 2}
+    # A state and a call each for a bucket, not for a delivery.
+    assert kept == [4, 4]
+
+
 def test_streaks_equal_the_batch_whatever_the_order(spark, tmp_path):
     rows = [(f"{s}{i:02d}", s, "failed" if (i > 3) ^ (s == "b" and i == 9) else "ok", at(i)) for s in "abc" for i in range(10 if s != "c" else 4)]
     df = spark.createDataFrame(rows, "id string, subscription_id string, status string, created_at timestamp")
