@@ -196,20 +196,27 @@ class Blocks:
         self.size, self.texts = self.size + len(key), self.texts + len(marks)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        shard, key, doc = (np.concatenate(x) for x in (self.shards, self.keys, self.docs))
-        marks, train = np.concatenate(self.marks), np.concatenate(self.train)
-        order = np.lexsort((key, shard))
-        shard, key, doc = shard[order], key[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        """One shard is sorted at a time, so a task holds the entries once, and their order."""
+        number, texts = self.number, (np.concatenate(self.marks), np.concatenate(self.train))
+        whole = []
+        for held in (self.shards, self.keys, self.docs):
+            whole.append(np.concatenate(held))
+            held.clear()
+        shard, key, doc = whole
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard, np.unique(shard), sorter=order)
         squeeze = zstandard.ZstdCompressor(1)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True):
-            used, local = np.unique(doc[a:b], return_inverse=True)
+        for at in np.split(order, edges[1:]) if len(order) else ():
+            k = key[at]
+            by_key = np.argsort(k, kind="stable")
+            used, local = np.unique(doc[at[by_key]], return_inverse=True)
             small = local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-            columns = [[int(shard[a])], [self.number], [_planes(key[a:b])], [squeeze.compress(bytes([small.itemsize]) + small.tobytes())], [marks[used].tobytes()], [train[used].tobytes()]]
+            marks, train = (t[used].tobytes() for t in texts)
+            columns = [[int(shard[at[0]])], [number], [_planes(k[by_key])], [squeeze.compress(bytes([small.itemsize]) + small.tobytes())], [marks], [train]]
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
             names = ["shard", "block", "keys", "docs", "marks", "train"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-        self.__init__(self.number + 1)
+        self.__init__(number + 1)
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:

@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -135,6 +137,33 @@ def test_elias_fano_and_its_trie(tmp_path):
     assert trie.two.children(np.arange(len(trie.root_weight))).sum() == trie.two.n
 
 
+def test_blocks_of_text_are_sorted_without_copies_of_the_whole():
+    rng, n, shards = np.random.default_rng(5), 50_000, 16
+    keys, shard, doc = rng.integers(0, 1 << 50, (8, n)), rng.integers(0, shards, (8, n)), np.sort(rng.integers(0, 100, (8, n)))
+    blocks = lm.Blocks(7)
+    for part in range(8):
+        blocks.add(shard[part], keys[part].copy(), doc[part], np.arange(100) + 100 * part, np.arange(100) % 5 > 0)
+    seen = set()
+    for row in blocks.rows():
+        found = lm._gathered(pa.Table.from_batches([row]))
+        s, text = row.column("shard")[0].as_py(), found[2][0][found[1]]
+        own = shard.ravel() == s
+        want = sorted(zip(keys.ravel()[own].tolist(), (doc + 100 * np.arange(8)[:, None]).ravel()[own].tolist(), strict=True))
+        assert sorted(zip(found[0].tolist(), text.tolist(), strict=True)) == want and (np.diff(found[0]) >= 0).all()
+        seen.add(s)
+    assert seen == set(range(shards)) and not blocks.size
+    tracemalloc.start()
+    for part in range(8):
+        blocks.add(shard[part], keys[part].copy(), doc[part], np.arange(100), np.ones(100, bool))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert sum(1 for _ in blocks.rows()) == shards
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    # The entries come together once, and their order; sorted copies of all of them took twice as much.
+    assert peak < 30 * 8 * n
+
+
 def test_scores_against_a_plain_model(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
     rng = random.Random(5)
