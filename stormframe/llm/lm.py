@@ -31,6 +31,8 @@ DISCOUNT_2, DISCOUNT_3 = 0.75, 0.85
 #: Tokens of one shard and of one block of text on its way there, about; a middle word of more than a
 #: 64th of all tokens is split by the word before it.
 SHARD_TOKENS, BLOCK_TOKENS, HOT_SHARE = 3_000_000, 4_000_000, 64
+#: Distinct trigrams that a shard looks up at once.
+ASKED = 1 << 18
 END_HASH = int(mix(np.array([0x454E44], np.uint64))[0])
 RARE = 0
 _SLOTS = 1 << 20
@@ -225,7 +227,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     for k, d, m, t in zip(*(table[c].to_pylist() for c in ("keys", "docs", "marks", "train")), strict=True):
         raw = zstandard.ZstdDecompressor().decompress(d)
         keys.append(_values(k))
-        docs.append(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1).astype(np.int64) + base)
+        docs.append(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1).astype(np.int32) + np.int32(base))
         marks.append(np.frombuffer(m, np.int64))
         train.append(np.frombuffer(t, bool))
         base += len(marks[-1])
@@ -314,19 +316,26 @@ def build_trie(folder: str, keys: np.ndarray, universe: int, base: np.ndarray, h
     """The trie of sorted training keys (v * universe + u) * universe + w.
 
     ``base`` are probabilities of symbols; ``hot`` gives the full row of counts after middle words
-    that are spread over several shards.
+    that are spread over several shards.  What is not needed further is dropped at once: a shard's
+    arrays are what a task's memory consists of.
     """
     tri, c3 = _runs(keys)
-    pair, w3 = tri // universe, tri % universe
-    v3 = pair // universe
+    pair, w3 = tri // universe, (tri % universe).astype(np.int32)
+    del tri
     context, start = np.unique(pair, return_index=True)
     total = np.add.reduceat(c3, start) if len(c3) else c3
     kinds = np.diff(np.append(start, len(c3)))
-    of = np.repeat(np.arange(len(context)), kinds)
-    vw = v3 * universe + w3
+    u3 = (pair % universe).astype(np.int32)
+    pair //= universe
+    v3 = pair.astype(np.int32)
+    vw = pair
+    vw *= universe
+    vw += w3
+    del pair, start
     order = np.argsort(vw, kind="stable")
     two, first = np.unique(vw[order], return_index=True)
     c2 = np.add.reduceat(c3[order], first) if len(c3) else c3
+    del order, first
     for v, row in hot.items():
         own = two // universe == v
         if own.any():
@@ -334,20 +343,53 @@ def build_trie(folder: str, keys: np.ndarray, universe: int, base: np.ndarray, h
             two, c2 = np.concatenate([two[~own], v * universe + seen]), np.concatenate([c2[~own], row[seen]])
     order = np.argsort(two)
     two, c2 = two[order], c2[order]
+    del order
     roots, start = np.unique(two // universe, return_index=True)
     kinds2 = np.diff(np.append(start, len(two)))
     total2 = np.add.reduceat(c2, start) if len(c2) else c2
     weight2 = DISCOUNT_2 * kinds2 / total2
     parent = np.repeat(np.arange(len(roots)), kinds2)
     p2 = (c2 - DISCOUNT_2) / total2[parent] + weight2[parent] * base[two % universe]
+    del c2, parent
+    lower = p2[np.searchsorted(two, vw)]
+    del vw
     weight3 = DISCOUNT_3 * kinds / total
-    p3 = (c3 - DISCOUNT_3) / total[of] + weight3[of] * p2[np.searchsorted(two, vw)]
+    lower *= np.repeat(weight3, kinds)
+    p3 = (c3 - DISCOUNT_3) / np.repeat(total, kinds)
+    p3 += lower
+    del c3, lower
     log = np.log10
     bigrams = (two // universe, two % universe, log(p2), roots, log(weight2))
-    trigrams = (context // universe, context % universe, log(weight3), v3, pair % universe, w3, log(p3))
+    del two, p2
+    log(p3, out=p3)
+    trigrams = (context // universe, context % universe, log(weight3), v3, u3, w3, p3)
     return Trie(folder, universe, bigrams, trigrams)
 
 
+def shard_scores(table: pa.Table, base: np.ndarray, hot: dict[int, np.ndarray]) -> pa.Table:
+    """A shard's blocks with the summed log10 probabilities of their texts' entries, by the shard's own trie."""
+    universe = len(base)
+    key, doc, marks, train = _gathered(table)
+    with tempfile.TemporaryDirectory() as folder:
+        learned = key[train[doc]]
+        learned.sort()
+        trie = build_trie(folder, learned, universe, base, hot)
+        del learned
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        asked, times = _runs(key[order])
+        del key
+        logs = np.empty(len(asked))
+        for at in range(0, len(asked), ASKED):
+            some = asked[at : at + ASKED]
+            pair, w = some // universe, some % universe
+            logs[at : at + ASKED] = trie.log10(pair // universe, pair % universe, w, np.log10(base[w]))
+        del asked
+        each = np.empty(len(order))
+        each[order] = np.repeat(logs, times)
+        del order, logs, times
+        return pa.table(_packed(table, marks, doc, {"score": each}))
+
+
 def score_shards(texts: DataFrame, hashes: np.ndarray, base: np.ndarray, shards: int, hot: np.ndarray, hot_counts: np.ndarray, parts: int) -> DataFrame:
     """Blocks with sums per text of log10 p(symbol | two before)."""
     universe = len(base)
@@ -366,19 +408,7 @@ def score_shards(texts: DataFrame, hashes: np.ndarray, base: np.ndarray, shards:
         return of
 
     rows = {int(v): c for v, c in zip(hot, hot_counts, strict=True)}
-
-    def score(table: pa.Table) -> pa.Table:
-        key, doc, marks, train = _gathered(table)
-        with tempfile.TemporaryDirectory() as folder:
-            learned = key[train[doc]]
-            learned.sort()
-            trie = build_trie(folder, learned, universe, base, rows)
-            asked, place = np.unique(key, return_inverse=True)
-            pair, w = asked // universe, asked % universe
-            logs = trie.log10(pair // universe, pair % universe, w, np.log10(base[w]))
-            return pa.table(_packed(table, marks, doc, {"score": logs[place]}))
-
-    return _dealt(texts, entries).groupBy("shard").applyInArrow(score, "block long, marks binary, score binary")
+    return _dealt(texts, entries).groupBy("shard").applyInArrow(lambda t: shard_scores(t, base, rows), "block long, marks binary, score binary")
 
 
 def score(documents: DataFrame) -> DataFrame:

@@ -137,6 +137,38 @@ def test_elias_fano_and_its_trie(tmp_path):
     assert trie.two.children(np.arange(len(trie.root_weight))).sum() == trie.two.n
 
 
+def test_a_shard_is_scored_in_little_memory(monkeypatch):
+    monkeypatch.setattr(lm, "ASKED", 20_000, raising=False)
+    n, universe = 200_000, 5000
+    rng = np.random.default_rng(5)
+    u, v, w = (np.minimum(universe ** rng.random(n), universe - 1).astype(np.int64) for _ in range(3))
+    blocks = lm.Blocks(0)
+    blocks.add(np.zeros(n, np.int64), (v * universe + u) * universe + w, np.sort(rng.integers(0, 900, n)), rng.integers(0, 1 << 60, 900), rng.random(900) < 0.8)
+    table = pa.Table.from_batches(list(blocks.rows()))
+    tracemalloc.start()
+    try:
+        out = lm.score_shards(_Held(), np.arange(1, universe - 2).astype(np.uint64), np.full(universe, 1 / universe), 1, np.zeros(0, np.int64), np.zeros((0, universe), np.int64), 1)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sums = np.frombuffer(out["score"][0].as_py())
+    assert len(sums) == 900 and (sums < 0).all()
+    assert peak < 190 * n
+
+
+class _Held:
+    """Stands for the texts, and gives the function that a shard's table goes through."""
+
+    def mapInArrow(self, f, schema):
+        return self
+
+    def groupBy(self, key):
+        return self
+
+    def applyInArrow(self, f, schema):
+        return f
+
+
 def test_blocks_of_text_are_sorted_without_copies_of_the_whole():
     rng, n, shards = np.random.default_rng(5), 50_000, 16
     keys, shard, doc = rng.integers(0, 1 << 50, (8, n)), rng.integers(0, shards, (8, n)), np.sort(rng.integers(0, 100, (8, n)))
