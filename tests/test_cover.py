@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from helpers import START
+from stormframe.functions import geo
 from stormframe.operators import alerts, joins
+from stormframe.plans.all import QUERIES
 
 POLYGONS = "id string, parts array<array<array<struct<lng: double, lat: double>>>>"
 
@@ -66,3 +69,41 @@ def test_no_square_holds_many_points(spark):
     # Most pairs inside need no test of edges.
     listed = joins._cover_polygons(polygons(spark).where("id = 'world'"), cover)
     assert listed.where("_inside").count() > 0.9 * listed.count()
+
+
+def test_points_meet_polygons_in_packs(spark):
+    """Pairs are tested as arrays: no interpreted test of edges runs for each pair."""
+    rows = [
+        ("two", [*shape((0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.1, 0.4)), *shape((0.2, 0.3), (0.8, 0.3), (0.5, 0.9))]),
+        ("open", [[[{"lng": 0.1, "lat": 0.1}, {"lng": None, "lat": 0.5}, {"lng": 0.9, "lat": 0.1}, {"lng": 0.5, "lat": 0.8}]]]),
+        ("far", shape((5, 5), (6, 5), (6, 6))),
+    ]
+    shapes = alerts.with_bounds(spark.createDataFrame(rows, POLYGONS))
+    rng = random.Random(9)
+    at = [(rng.choice((rng.random(), 0.3, 0.5, 0.1)), rng.choice((rng.random(), 0.1, 0.3, 0.4))) for _ in range(400)]
+    # Rows may repeat, and keys be null.
+    found = spark.createDataFrame([(i if i % 9 else None, x, y) for i, (x, y) in enumerate(at)] * 2, "token int, longitude double, latitude double")
+    met = joins.points_in_polygons(found, shapes)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[: plan.index("Join")]
+    assert "_hits" in join and "exists(" not in join
+    parts = shapes.select("id", F.col("parts").alias("whole"))
+    plain = found.crossJoin(parts).where(geo.parts_contain_point(F.col("whole"), F.col("longitude"), F.col("latitude")))
+
+    def listed(df):
+        return sorted(((r.id, r.token, r.longitude, r.latitude) for r in df.collect()), key=repr)
+
+    got = listed(met)
+    assert got == listed(plain) and {r[0] for r in got} == {"two", "open"}
+
+
+def test_payloads_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(60)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = [(k, k, "O", "1-URGENT", START) for k in range(60)]
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/orders.parquet")
+    made = QUERIES["push_payloads"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json(") == plan.count("StructsToJsonEvaluator") == 1
+    got = made.collect()
+    assert got and all(r.title == "Storm O" and r.body and r.lat is not None and r.lng is not None for r in got)
