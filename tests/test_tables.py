@@ -6,9 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import START
+from helpers import START, make_grid
+from stormframe.functions.parsing import parse_polygon
 from stormframe.functions.values import predicate_holds
-from stormframe.operators import alerts, catalog, changes, joins, ordering, rules
+from stormframe.operators import alerts, catalog, changes, grid, joins, ordering, rules
 from stormframe.plans.all import QUERIES
 from stormframe.plans.derived import Tables
 from stormframe.plans.reads import axes
@@ -321,3 +322,42 @@ def test_salts_follow_the_counted_rows(spark):
     got = joins.spread_join(left, right, ["event_type"])
     assert sorted(map(tuple, got.select("id", "sub").collect())) == sorted((i, f"s{k}") for i, t in events if t in ("hot", "k1", "k2") for k in range(20))
     assert joins.spread_join(left.limit(0), right, ["event_type"]).count() == 0
+
+
+def test_rules_are_evaluated_where_grids_are_read(spark):
+    """Pairs of rules and grids are not shuffled, and come out as joined reads of single pairs would have them."""
+    lats, lngs = [30 + 0.25 * i for i in range(6)], [-100 + 0.25 * i for i in range(6)]
+    frames = {f"f{k}": [float((i * (k + 3)) % 40) if (i + k) % 7 else NAN for i in range(36)] for k in range(5)}
+    grids, blocks, axes_ = make_grid(spark, lats, lngs, frames, 4)
+    far = grids.where("file_key = 'f1'").withColumn("file_key", F.lit("unread"))
+    grids = grids.unionByName(far).unionByName(grids.where("file_key = 'f2'"))
+
+    def config(kind, k, polygon=None):
+        op = (">", "<=", "!=")[k % 3]
+        reducer = ("max", "mean", "min", "count_ge")[k % 4] if kind == "polygon" else None
+        return (kind, "P" if k % 5 else "Q", "00.50", 30.0 + 0.02 * k, -100.0 + 0.03 * k, polygon, reducer, None if k % 6 == 1 else 9.0, (op, 12.0))
+
+    boxes = [f"{x},{y},{x + w},{y},{x},{y + w}" for x, y, w in ((-100.1, 29.9, 0.8), (-99.4, 30.6, 1.0), (-99.99, 30.01, 0.1), (-80.0, 40.0, 1.0))]
+    rows = [(f"p{k}", "s", "active", config("point", k)) for k in range(40)] + [(f"a{k}", "s", "active", config("polygon", k, boxes[k // 4 % 4])) for k in range(30)]
+    rows += [("bad", "s", "active", config("polygon", 1, "1,2,3")), ("off", "s", "paused", config("point", 1)), rows[3], rows[45], (rows[46][0], "s", "active", config("polygon", 2, boxes[1]))]
+    listed = spark.createDataFrame(rows, f"rule_id string, subscription_id string, status string, config {rules.CONFIG_TYPE}")
+    evals = rules.evaluate_rules(listed, grids, blocks, axes_)
+    plan = rules.evaluate_rules(listed.where("rule_id NOT IN ('bad') AND rule_id NOT LIKE 'a%'"), grids, blocks, axes_)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(_points")]
+    due = joins.rules_for_grids(listed, grids)
+    points = due.where("config.type = 'point'").select("rule_id", "file_key", F.col("config.lat").alias("latitude"), F.col("config.lng").alias("longitude"))
+    shaped = listed.where("status = 'active' AND config.type = 'polygon'").select(
+        F.col("rule_id").alias("polygon_id"), parse_polygon(F.col("config.polygon")).alias("p"), F.col("config.reducer").alias("reducer"),
+        F.col("config.count_threshold").alias("threshold"), F.col("config.product").alias("product"), F.col("config.level").alias("level"),
+    )
+    reduced = grid.reduce_polygons(shaped.where("p.ring IS NOT NULL").withColumn("ring", F.col("p.ring")), blocks).withColumnRenamed("polygon_id", "rule_id")
+    area = due.where("config.type = 'polygon'").select("rule_id", "file_key").join(reduced.withColumn("read", F.lit(1)), ["rule_id", "file_key"], "left")
+    wrong = shaped.where("p.error_reason IS NOT NULL").select(F.col("polygon_id").alias("rule_id"), F.col("p.error_reason").alias("text"))
+    area = area.join(wrong, "rule_id", "left").withColumn("error_reason", F.expr("coalesce(text, error_reason, if(read IS NULL, 'out_of_domain', NULL))"))
+    want = grid.sample_points(points, grids, blocks, axes_).select("rule_id", "file_key", "value", "error_reason").unionByName(area.select("rule_id", "file_key", "value", "error_reason"))
+
+    def rounded(df):
+        return sorted((r.rule_id, r.file_key, repr(r.value and round(r.value, 9)), r.error_reason) for r in df.collect())
+
+    got = rounded(evals)
+    assert got == rounded(want) and {e for *_, e in got} >= {None, "out_of_domain", "missing_threshold"} and len(got) > 400
