@@ -361,3 +361,21 @@ def test_rules_are_evaluated_where_grids_are_read(spark):
 
     got = rounded(evals)
     assert got == rounded(want) and {e for *_, e in got} >= {None, "out_of_domain", "missing_threshold"} and len(got) > 400
+
+
+def test_small_groups_need_no_chunks(spark):
+    rows = [(f"r{k % 50}" if k % 11 else None, f"f{k:03d}", at(k if k % 7 else 0), k % 3 == 0) for k in range(600)] + [("r1", "late", None, True)]
+    df = spark.createDataFrame(rows, "rule_id string, file_key string, valid_at timestamp, satisfied boolean")
+    out = ordering.with_previous(df, ["rule_id"], ["valid_at", "file_key"], ordering.time_chunk(F.col("valid_at"), 3600), F.col("satisfied"), "before")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [lag") == 1
+    last, want = {}, {}
+    for rule, key, _, held in sorted((r for r in rows if r[0] and r[2]), key=lambda r: (r[2], r[1])):
+        want[rule, key] = last.get(rule)
+        last[rule] = held
+    got = out.collect()
+    assert {(r.rule_id, r.file_key): r.before for r in got} == want and len(got) == len(want)
+    # Few groups, each larger than a partition's share, go through their chunks.
+    two = ordering.with_previous(df.withColumn("rule_id", F.lit("r")), ["rule_id"], ["valid_at", "file_key"], ordering.time_chunk(F.col("valid_at"), 3600), F.col("satisfied"), "before")
+    ordered = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1]))
+    assert {r.file_key: r.before for r in two.collect()} == {r[1]: (ordered[i - 1][3] if i else None) for i, r in enumerate(ordered)}
