@@ -379,3 +379,14 @@ def test_small_groups_need_no_chunks(spark):
     two = ordering.with_previous(df.withColumn("rule_id", F.lit("r")), ["rule_id"], ["valid_at", "file_key"], ordering.time_chunk(F.col("valid_at"), 3600), F.col("satisfied"), "before")
     ordered = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1]))
     assert {r.file_key: r.before for r in two.collect()} == {r[1]: (ordered[i - 1][3] if i else None) for i, r in enumerate(ordered)}
+
+
+def test_envelopes_are_read_once(spark, tmp_path):
+    spark.range(60).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(24).selectExpr("id AS vec_id", "array_repeat(CAST(id % 5 AS FLOAT) / 5, 64) AS embedding", "CAST(id % 3 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["rule_fired_envelopes"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json(") == 1
+    fired = {(r.rule_id, r.file_key) for r in QUERIES["rule_transitions"](spark, str(tmp_path)).where("fired").collect()}
+    got = out.collect()
+    assert {(r.rule_id, r.file_key) for r in got} == fired != set() and {(r.event, r.type, r.satisfied) for r in got} == {("rule.fired", "WebhookEvent", True)}
