@@ -235,3 +235,18 @@ def test_streaks_equal_the_batch_whatever_the_order(spark, tmp_path):
     out = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     got = jobs.latest_rows(out, ["subscription_id"]).where("failing").select("subscription_id", "last_failed_at")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rules.failing_subscriptions(df).collect())) != []
+
+
+def test_rules_of_a_bucket_are_judged_together(spark, tmp_path):
+    rows = [(f"r{k % 9}" if k % 9 else None, f"f{k // 9}", at(k // 9), float(k), (k * 7 + k // 9) % 3 == 0, None) for k in range(90)]
+    df = spark.createDataFrame(rows, EVALS)
+    state = spark.createDataFrame([("r1", True), ("r2", None)], "rule_id string, currently_firing boolean")
+    for step in range(3):
+        arrive(df.where(F.floor(F.substring("file_key", 2, 9).cast("int") / 4) == step), tmp_path / "in", f"step{step}")
+        run(jobs.rule_stream(source(spark, df, tmp_path / "in"), state, buckets=2), tmp_path / "out", tmp_path / "checkpoint")
+    want, firing = {}, {"r1": True}
+    for rule, key, _, _, held, _ in sorted(rows, key=lambda r: r[2]):
+        want[rule, key] = held and not firing.get(rule, False)
+        firing[rule] = held
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.rule_id, r.file_key): r.fired for r in got} == want and len(got) == 90 and not any(r.late for r in got)
