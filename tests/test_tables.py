@@ -390,3 +390,14 @@ def test_envelopes_are_read_once(spark, tmp_path):
     fired = {(r.rule_id, r.file_key) for r in QUERIES["rule_transitions"](spark, str(tmp_path)).where("fired").collect()}
     got = out.collect()
     assert {(r.rule_id, r.file_key) for r in got} == fired != set() and {(r.event, r.type, r.satisfied) for r in got} == {("rule.fired", "WebhookEvent", True)}
+
+
+def test_rules_without_a_live_subscription_meet_no_grid(spark):
+    config = ("point", "P", "L", 0.0, 0.0, None, None, None, (">", 1.0))
+    listed = spark.createDataFrame([(f"r{k}", f"s{k % 3}", "active", config) for k in range(6)], f"rule_id string, subscription_id string, status string, config {rules.CONFIG_TYPE}")
+    grids = spark.createDataFrame([("f", "P", "L"), ("g", "P", "L")], "file_key string, product string, level string")
+    live = spark.createDataFrame([("s0", "active"), ("s0", "active"), ("s1", "paused"), (None, "active")], "id string, status string")
+    out = joins.rules_for_grids(listed, grids, live)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
+    assert sorted((r.rule_id, r.file_key) for r in out.collect()) == [("r0", "f"), ("r0", "g"), ("r3", "f"), ("r3", "g")]
